@@ -311,9 +311,12 @@ def generated_page(rng: np.random.Generator) -> str:
 
     def body() -> str:
         out = [f"<h1>{MAIN}{sentence(2, 12)}</h1>"] if rng.random() < 0.85 else []
-        for _ in range(rng.integers(1, 14)):
+        short = rng.random() < 0.3
+        for _ in range(rng.integers(1, 3 if short else 14)):
             k = rng.random()
-            if k < 0.72:
+            if short and k < 0.8:
+                out.append(f"<p>{MAIN}{pick('', '<b>')}{sentence(1, 8)}{pick('</p>', '', '<br>')}")
+            elif k < 0.72:
                 out.append(f"<p>{prose(True)}{pick('</p>', '</p>', '</p>', '')}")
             elif k < 0.78:
                 out.append(f"<p><b>{prose(True, 1, 3)}<br>")

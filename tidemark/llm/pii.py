@@ -29,7 +29,7 @@ _GENDER = {n: k for k, names in GIVEN.items() for n in names}
 _TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f"}
 _NAME = r"[A-ZÀ-ÖØ-ÞА-Я][\w'’-]+"
 _TAIL = {"latin": ["son", "ley", "mann", "ert", "ini", "ard", "ez", "ton"], "cyrillic": ["ов", "ев", "ин", "ский"]}
-ENTITY = re.compile(
+NUMBERED = re.compile(
     r"(?P<email>[A-Za-z0-9À-ÿ._%+\-]+@[A-Za-z0-9À-ÿ\-]+(?:\.[A-Za-z0-9À-ÿ\-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<secret>\b(?:[0-9a-f]{32,}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,})\b)"
@@ -37,15 +37,42 @@ ENTITY = re.compile(
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w))"
-    rf"|(?P<name>\b(?:Mr|Mrs|Ms|Herr|Frau|Monsieur|Madame|Señor|Señora)\.? {_NAME}(?: {_NAME})?)"
-    rf"|(?P<person>\b(?:{'|'.join(_GENDER)}) {_NAME})"
 )
+NAMED = re.compile(
+    rf"(?P<name>\b(?:{'|'.join(_TITLES)})\.? {_NAME}(?: {_NAME})?)|(?P<person>\b(?:{'|'.join(_GENDER)}) {_NAME})"
+)
+_STARTS = {*_TITLES, *(t + "." for t in _TITLES), *_GENDER}
+_DIGIT_OR_AT = re.compile("[0-9@]")
 
 
 def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """Kind, value and span of each entity of a text."""
-    for m in ENTITY.finditer(text):
-        yield m.lastgroup, m[0], m.start(), m.end()
+    """Kind, value and span of each entity of a text, in order and apart from each other.
+
+    All kinds but names hold a digit or an @, so only the words around those are matched; names are
+    looked for where a title or a given name is among the words.
+    """
+    found = []
+    done = 0
+    for hit in _DIGIT_OR_AT.finditer(text):
+        at = hit.start()
+        if at < done:
+            continue
+        begin = max(done, text.rfind(" ", 0, at) + 1, text.rfind("\n", 0, at) + 1)
+        m = NUMBERED.search(text, begin, at + 400)
+        if m and m.start() <= at:
+            found.append((m.lastgroup, m[0], m.start(), m.end()))
+            done = m.end()
+        else:
+            done = at + 1
+    words = set(text.split())
+    if not _STARTS.isdisjoint(words) or not _STARTS.isdisjoint({w.lstrip("\"'([{<«„“‚‘-–—.,;:") for w in words if not w[0].isalnum()}):
+        found += [(m.lastgroup, m[0], m.start(), m.end()) for m in NAMED.finditer(text)]
+        found.sort(key=lambda e: e[2])
+    end = 0
+    for e in found:
+        if e[2] >= end:
+            yield e
+            end = e[3]
 
 
 def _stream(key: bytes, kind: str, value: str, attempt: int) -> Iterator[int]:
@@ -97,7 +124,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "card":
         made = _letters(value, draw)
         digits = [c for c in value if c.isdigit()]
-        if _luhn("".join(digits)[::-1][::-1]) == 0:  # a valid number stays valid
+        if _luhn("".join(digits)) == 0:  # a valid number stays valid
             for last in "0123456789":
                 fixed = made[:-1] + last
                 if _luhn("".join(c for c in fixed if c.isdigit())) == 0:

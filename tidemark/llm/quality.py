@@ -94,7 +94,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
 
 
 def pooled(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """For each document: mean index vector, mean context vector, and how concentrated each is."""
+    """For each document: mean index, context and neighbour vectors, and how concentrated they are."""
     h, wo = tokens(buf, off)
     n = np.maximum(np.diff(wo), 1)[:, None]
     index = _index_vectors(h, wo) / n
@@ -103,8 +103,13 @@ def pooled(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
     if len(full):
         context[full] = np.add.reduceat(table[(h >> U64(52)).astype(np.int64)], wo[:-1][full], axis=0)
     context /= n
+    # Neighbours bound by the product of their signs: a word that follows itself gives ones.
+    bound = np.zeros((len(off) - 1, DIM))
+    if len(full) and len(h) > 1:
+        same = np.append(~(h[:-1] ^ h[1:]), U64(0))
+        bound = _index_vectors(same, wo) / n
     norm = lambda x: (x * x).sum(1, keepdims=True)
-    return np.hstack([index, context, np.sqrt(norm(index)), np.log(norm(index) + 1e-4), np.sqrt(norm(context)), np.log1p(np.diff(wo))[:, None] / 5])
+    return np.hstack([index, context, bound, bound.mean(1, keepdims=True), np.sqrt(norm(index)), np.log(norm(index) + 1e-4), np.sqrt(norm(context)), np.log1p(np.diff(wo))[:, None] / 5])
 
 
 @dataclass
@@ -130,7 +135,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 80, batc
     Without rows the network is undecided: every probability is one half.
     """
     rng = np.random.default_rng(seed)
-    d = x.shape[1] if len(x) else 2 * DIM + 4
+    d = x.shape[1] if len(x) else 3 * DIM + 5
     net = Network(np.zeros(d), np.ones(d), rng.normal(0, 1 / np.sqrt(d), (d, hidden)), np.zeros(hidden), np.zeros(hidden), 0.0)
     if not len(x):
         return net
