@@ -20,7 +20,7 @@ from .kernels import blocks, spans, utf8
 from .storage import cut, fresh
 
 #: Rows of a (source, length) that are ranked together.
-RANKED = 4096
+RANKED = 512
 #: Largest budget, in words, that the knapsack programme works on, beyond twice the longest document.
 BUDGET = 1 << 14
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import blocks, spans, utf8
+from .kernels import LOWER, blocks, spans, utf8, word_hashes
 from .storage import fresh
 
 LAYOUT = {
@@ -30,64 +31,109 @@ LAYOUT = {
     "parquet.enable.dictionary#place": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Distinct words that one task remembers.
-REMEMBER = 400_000
+#: Distinct words that one Python worker remembers.
+REMEMBER = 300_000
+#: Classes of bytes: white space, ASCII letters, digits, ASCII marks, and what is left to the tokenizer.
+_KIND = np.full(256, 5, np.uint8)
+_KIND[33:127] = 4
+_KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_KIND[97:123] = _KIND[65:91] = 1
+_KIND[48:58] = 3
+_KIND[ord("'")] = 5
+
+
+def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of stretches that the tokenizer encodes on their own.
+
+    It drops white space and takes runs of letters, single digits and runs of marks apart, so those
+    of ASCII and Latin-1 letters are units. A word with anything else in it, such as an apostrophe,
+    another script or the start of a special token, is one unit as it stands.
+    """
+    kind = _KIND[buf]
+    if len(buf) > 1:
+        pair = np.flatnonzero((buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] != 0x97) & (buf[1:] != 0xB7))
+        kind[pair] = kind[pair + 1] = 1
+        kind[np.flatnonzero((buf[:-1] == 60) & (buf[1:] == 124))] = 5
+    start, end, _ = spans(buf, off)
+    if not len(start):
+        return start, end
+    cut = np.ones(len(kind), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 3)
+    odd = np.concatenate([[0], np.cumsum(kind == 5)])
+    for k in np.flatnonzero(odd[end] > odd[start]).tolist():
+        cut[start[k] : end[k]] = False
+    cut[start] = True
+    at = np.flatnonzero(cut & (kind > 0))
+    word = np.searchsorted(start, at, "right") - 1
+    return at, np.minimum(np.append(at[1:], len(buf)), end[word])
 
 
-@dataclass
 class Encoder:
-    """Encodes words between ASCII white space once and remembers their ids.
-
-    No token of the tokenizer spans white space and none depends on what stands beyond it, so a
-    text's ids are those of its words in a row; ``whole`` encodes without that, for comparison.
-    """
+    """Encodes each distinct unit once with the tokenizers library and remembers its ids."""
 
-    path: str
-    known: dict[bytes, int] = field(default_factory=dict)
-    ids: list[np.ndarray] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(self.path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        new = list(dict.fromkeys(w for w in words if w not in self.known))
+        if new:
+            text = {w: w.decode("utf-8", "replace") for w in new}
+            letters, rest = [w for w in new if text[w].isalpha()], [w for w in new if not text[w].isalpha()]
+            for part, encode in ((letters, self._apart), (rest, self._each)):
+                ids, size = encode([text[w] for w in part])
+                self.known.update(zip(part, range(len(self.at) - 1, len(self.at) - 1 + len(part)), strict=True))
+                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+                self.flat = np.concatenate([self.flat, ids])
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of words of letters, encoded as one text with a digit between them."""
+        (between,) = self.whole("0")
+        ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join([*words, ""])], add_special_tokens=False)[0].ids, np.int32)
+        ends = np.flatnonzero(ids == between)
+        return ids[ids != between], np.diff(ends, prepend=-1) - 1
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter(chain.from_iterable(got), np.int32, int(size.sum())), size
+
     def encode(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, each closed by ``end``, and the documents' offsets."""
-        raw = buf.tobytes()
-        words: list[bytes] = []
-        count = []
-        for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-            own = raw[a:b].split()
-            words += own
-            count.append(len(own))
         if len(self.known) > REMEMBER:
-            self.known, self.ids = {}, []
-        new = list(dict.fromkeys(w for w in set(words) if w not in self.known))
-        if new:
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                self.known[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.int32))
-        code = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        used, code = np.unique(code, return_inverse=True)
-        lists = [self.ids[u] for u in used.tolist()]
-        size = np.array([len(x) for x in lists], np.int64)
-        flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-        at = np.cumsum(size) - size
-        # Close each document with its end id: one more place after its last word.
-        wo = np.concatenate([[0], np.cumsum(count)])
-        n = size[code] if len(code) else np.empty(0, np.int64)
+            self.forget()
+        low = LOWER[buf]
+        start, stop = units(low, off)
+        _, first, code = np.unique(word_hashes(low, start, stop), return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        code = self.codes([raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])[code]
+        n = self.at[code + 1] - self.at[code]
         sums = np.concatenate([[0], np.cumsum(n)])
-        doc = np.repeat(np.arange(len(count)), count)
-        out = np.full(int(sums[-1]) + len(count), end, np.int32)
-        target = np.repeat(sums[:-1] + doc, n) + np.arange(int(sums[-1])) - np.repeat(sums[:-1], n)
-        source = np.repeat(at[code], n) + np.arange(int(sums[-1])) - np.repeat(sums[:-1], n) if len(code) else np.empty(0, np.int64)
-        out[target] = flat[source]
+        wo = np.searchsorted(start, off)
+        # One more place after each document's last unit, for its end id.
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(wo))
+        out = np.full(int(sums[-1]) + len(off) - 1, end, np.int32)
+        step = np.arange(int(sums[-1])) - np.repeat(sums[:-1], n)
+        out[np.repeat(sums[:-1] + doc, n) + step] = self.flat[np.repeat(self.at[code], n) + step]
         return out, sums[wo] + np.arange(len(wo))
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One a Python worker, so that its tasks share what it remembers."""
+    return Encoder(path)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     """Encode every whole text (null: empty), append ``end`` and write the data set at ``path``.
 
@@ -96,11 +142,11 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, place = Encoder(tokenizer), TaskContext.get().partitionId(), 0
+        own, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, off = utf8(batch.column(1))
             for i, j in blocks(off):
-                ids, so = encoder.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
+                ids, so = own.encode(buf[off[i] : off[j]], off[i : j + 1] - off[i], end)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
