@@ -18,6 +18,7 @@ from .storage import cut
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 _QUERIES, _ROWS = 64, 2048  # of one dense score array
+_NONE = -(2**62)  # below every score
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -62,16 +63,16 @@ def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
                     score[:, at] += own[:, t, None] * weight[None, :]
             # One number orders by score and then by smaller id; a query's own rows come last of all.
             rank = score.astype(np.int64) * len(rows) - np.arange(len(rows))
-            rank[ids[:, None] == rows[None, :]] = np.iinfo(np.int64).min
+            rank[ids[:, None] == rows[None, :]] = _NONE
             keep = min(k, len(rows))
             top = np.argpartition(-rank, keep - 1, axis=1)[:, :keep] if keep < len(rows) else np.tile(np.arange(keep), (len(ids), 1))
-            real = np.take_along_axis(rank, top, 1) > np.iinfo(np.int64).min
-            best_s.append(np.where(real, np.take_along_axis(score, top, 1), np.iinfo(np.int64).min))
+            real = np.take_along_axis(rank, top, 1) > _NONE
+            best_s.append(np.where(real, np.take_along_axis(score, top, 1).astype(np.int64), _NONE))
             best_c.append(rows[top])
-        s, r = np.concatenate(best_s, 1).astype(np.int64), np.concatenate(best_c, 1)
-        order = np.lexsort((r, -s.astype(np.float64)), axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(ids), 1))
+        s, r = np.concatenate(best_s, 1), np.concatenate(best_c, 1)
+        order = np.lexsort((r, -s), axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(ids), 1))
         s, r = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-        real = s > np.iinfo(np.int64).min
+        real = s > _NONE
         out[0].append(np.repeat(ids, real.sum(1)))
         out[1].append(r[real])
         out[2].append(s[real])
