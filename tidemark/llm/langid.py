@@ -186,7 +186,7 @@ def fit_identify(docs: DataFrame, learn: str, per_lang: int = 400, seed: int = 7
 
     ``per_lang`` bounds the sample: about so many texts of each language, twice as many at most.
     """
-    rows = sample(docs.where(learn), per_lang, seed)
+    rows = sample(docs.where(learn).select("doc_id", "lang", "text"), per_lang, seed)
     n = rows.select("lang").distinct().count()
     picked = rows.orderBy("u", "lang").limit(2 * per_lang * max(n, 1)).collect()
     return identify(docs, train([r.text for r in picked], [r.lang for r in picked], seed=seed))

@@ -158,8 +158,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total: float =
 
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them; doc_ids must be distinct."""
-    chosen = mix(docs, **how).where("copies > 0").select(F.col("doc_id").alias("_mix_id"), "copies")
-    out = docs.join(chosen, F.col("doc_id") == F.col("_mix_id"))
-    out = out.withColumn("_copy", F.explode(F.expr("sequence(1L, copies)")))
-    return out.select(*docs.columns)
+    """The rows of ``docs`` that the mix takes, as often as it takes them.
+
+    Rows that share a doc_id (null too) are taken alike, as often as the most taken of them.
+    """
+    chosen = mix(docs, **how).groupBy("doc_id").agg(F.max("copies").alias("copies")).where("copies > 0")
+    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]))
+    rows = rows.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.explode(F.sequence(F.lit(1).cast("long"), chosen["copies"])))
+    return rows.select("row.*")

@@ -192,11 +192,13 @@ def drawn_again(docs: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
 def replace_pii(docs: DataFrame, key: bytes = b"tidemark", text: str = "text") -> DataFrame:
     """``docs`` with surrogates in ``text``, and n_entities, the number of mentions replaced.
 
-    Null texts stay null with 0 entities. Every other column and every row is kept.
+    Null texts stay null with 0 entities. Every other column and every row is kept; a column that is
+    called n_entities already is replaced.
     """
     plain = docs.select("doc_id", F.col(text).alias("text"))
     again = cut(drawn_again(plain, key), "drawn_again")
-    columns = docs.columns
+    columns = [c for c in docs.columns if c != "n_entities"]
+    packed = docs.select(F.struct(*columns).alias("row"))
 
     def rewrite(values: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for t, other in values:
@@ -215,12 +217,12 @@ def replace_pii(docs: DataFrame, key: bytes = b"tidemark", text: str = "text") -
 
     changed = F.arrow_udf(rewrite, "struct<text: string, n: bigint>")
     if again.isEmpty():
-        rows = docs.withColumn("_other", F.expr("cast(null as map<string, string>)"))
+        rows = packed.withColumn("other", F.expr("cast(null as map<string, string>)"))
     else:
-        mentions = _mentions(plain).join(again, ["kind", "value"]).groupBy("_id").agg(F.expr("map_from_entries(collect_set(struct(value, made)))").alias("_other"))
-        rows = docs.join(mentions, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
-    rows = rows.withColumn("_new", changed(F.col(text), F.col("_other")))
-    return rows.select(*[F.col("_new.text").alias(text) if c == text else F.col(c) for c in columns], F.col("_new.n").alias("n_entities"))
+        mentions = _mentions(plain).join(again, ["kind", "value"]).groupBy("_id").agg(F.expr("map_from_entries(collect_set(struct(value, made)))").alias("other"))
+        rows = packed.join(mentions, F.col("row.doc_id").eqNullSafe(F.col("_id")), "left").select("row", "other")
+    rows = rows.withColumn("new", changed(F.col(f"row.{text}"), F.col("other")))
+    return rows.select(*[F.col("new.text").alias(text) if c == text else F.col(f"row.{c}") for c in columns], F.col("new.n").alias("n_entities"))
 
 
 def _mentions(docs: DataFrame) -> DataFrame:
