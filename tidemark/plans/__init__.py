@@ -1,4 +1,5 @@
 """All registered queries; importing the modules registers them."""
 
-from . import joins, series  # noqa: F401
+from . import aggregates, gates, joins, relational, series  # noqa: F401
+from ..streaming import feeds  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
