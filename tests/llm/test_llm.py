@@ -106,6 +106,51 @@ def test_near_duplicates_of_documents(spark):
     assert small == kept
 
 
+def test_near_duplicate_chains_and_large_groups(spark, monkeypatch):
+    """Groups equal the components of all pairs of 0.8 or more, in buckets far smaller than a group."""
+    rng = random.Random(5)
+    texts = []
+    for size in (120, 40):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts.append(base)
+        for _ in range(size - 1):  # chains: each text is an edit of an earlier one
+            words = texts[-1 - rng.randrange(min(size, 3, len(texts)))][:]
+            for _ in range(3):
+                words[rng.randrange(400)] = f"x{rng.randrange(10**6)}"
+            texts.append(words)
+    texts += [[f"z{rng.randrange(5000)}" for _ in range(200)] for _ in range(40)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)], DOCS)
+    want = {i: find(i) for i in range(len(texts))}
+    seen = []
+    whole = simhash_dedup._rest_of_large
+    monkeypatch.setattr(simhash_dedup, "_rest_of_large", lambda *a: seen.append(1) or whole(*a))
+    for bucket in (256, 16):
+        assert {r.doc_id: r.group_id for r in simhash_dedup.near_duplicate_groups(docs, bucket=bucket).collect()} == want
+    assert seen == [1]
+
+
+def test_closest_links_connect_what_is_near():
+    words = np.array([0b0, 0b11, 0b1111, 0b111111, 0b111 << 40], np.uint64)[:, None]
+    a, b = simhash_dedup._tree(words, np.arange(5), 4)
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())} == {(0, 1), (1, 2), (2, 3), (0, 4)}
+    a, b = simhash_dedup._tree(words, np.array([7, 7, 7, 3, 4]), 2)
+    assert {tuple(sorted(x)) for x in zip(a.tolist(), b.tolist())} == {(2, 3)}
+
+
 def test_op2_surrogates(spark):
     text = "Mail anna.b@mail1.example.com or +1 (017) 555-7713, host 10.20.30.40, card 4111111111111111, Mrs. Anna Schmidt and Anna Schmidt; anna.b@mail1.example.com."
     docs = odd_documents(spark).select("doc_id", "text", *CLASH).union(spark.createDataFrame([(9, text)], "doc_id long, text string").select("*", *[F.lit(7) for _ in CLASH]))

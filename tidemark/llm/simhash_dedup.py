@@ -208,24 +208,52 @@ def _forest(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return label[other], other
 
 
+def _tree(words: np.ndarray, tied: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The closest links that connect what is within the radius; members of one ``tied`` already are."""
+    n = len(words)
+    near = np.zeros((n, n), np.int32)
+    for w in range(words.shape[1]):
+        near += np.bitwise_count(words[:, w, None] ^ words[None, :, w])
+    near[near > radius] = radius + 1
+    near[tied[:, None] == tied[None, :]] = -1
+    reach, via = near[0].copy(), np.zeros(n, np.int64)
+    out = np.zeros(n, bool)
+    out[0] = True
+    a, b = [], []
+    for _ in range(n - 1):
+        k = int(np.where(out, radius + 2, reach).argmin())
+        if 0 <= reach[k] <= radius:
+            a.append(via[k])
+            b.append(k)
+        out[k] = True
+        closer = near[k] < reach
+        reach[closer], via[closer] = near[k][closer], k
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
 def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
-    """``buckets``: ids array<long>, words array<binary>. Returns a, b within the radius."""
+    """``buckets``: ids and ties array<long>, words array<binary>. Returns a, b within the radius.
+
+    The links of a bucket are its closest ones that connect it, so that a chain of near texts is
+    verified link by link. Members of one tie are connected as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
-            for ids, words in zip(batch.column(0), batch.column(1), strict=True):
+            for ids, ties, words in zip(*batch.columns, strict=True):
                 x = ids.values.to_numpy(zero_copy_only=False)
                 w = np.frombuffer(b"".join(words.values.to_pylist()), "<u8").reshape(len(x), -1)
                 order = np.argsort(x)
                 x = x[order]
-                i, j = _forest(w[order], radius)
+                i, j = _tree(w[order], ties.values.to_numpy(zero_copy_only=False)[order], radius)
                 a.append(x[i])
                 b.append(x[j])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-    return buckets.select("ids", "words").mapInArrow(run, "a long, b long")
+    return buckets.select("ids", "ties", "words").mapInArrow(run, "a long, b long")
 
 
 def fp_bucket_links(rows: DataFrame, radius: int) -> DataFrame:
@@ -368,6 +396,30 @@ def verified_links(docs: DataFrame, links: DataFrame, shingle: int, similarity:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
+def _blocks(member: DataFrame, classes: DataFrame, *block: str) -> DataFrame:
+    """ids, ties, words of each block of a bucket that holds two members or more."""
+    member = member.join(classes.select("id", "sig"), "id")
+    lists = member.groupBy("key", *block).agg(F.collect_list("id").alias("ids"), F.collect_list("tie").alias("ties"), F.collect_list("sig").alias("words"))
+    return lists.where("size(ids) > 1")
+
+
+def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
+    """Blocks of large buckets in which those outside the bucket's greatest component meet all others.
+
+    ``large``: key, nb (blocks), i (own block), id. ``roots``: node, root of the links found so far.
+    Members of the greatest component are connected already, so their pairs are left out.
+    """
+    tied = large.join(roots, F.col("id") == F.col("node"), "left").select("key", "nb", "i", "id", F.coalesce("root", "id").alias("tie"))
+    tied = cut(tied, "tied")
+    counts = tied.groupBy("key", "tie").agg(F.count("*").alias("n"))
+    great = counts.groupBy("key").agg(F.max_by("tie", F.struct("n", "tie")).alias("great"), (F.sum("n") - F.max("n")).alias("others"))
+    great = great.where("others > 0").withColumn("no", F.expr(f"cast(ceil(others / {half}) as bigint)"))
+    tied = tied.join(great, "key").withColumn("o", F.expr("pmod(xxhash64(id, 3), no)"))
+    side = tied.where("tie <> great").select("key", "id", "tie", "o", F.explode(F.expr("sequence(0L, nb - 1)")).alias("i"))
+    every = tied.select("key", "id", "tie", F.explode(F.expr("sequence(0L, no - 1)")).alias("o"), "i")
+    return side.union(every).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16, bucket: int = 256) -> DataFrame:
     """doc_id, group_id (its smallest doc_id): links between documents of at least ``similarity``.
 
@@ -375,10 +427,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     ``words`` bits); the bands widen with the number of classes, so the chance meetings stay in
     proportion to it. Members of a bucket are compared by Hamming distance, and the links that tie
     them together are verified on the exact sets. A bucket of more than ``bucket`` members is dealt
-    into blocks that meet in pairs, so nothing is dropped. A null or empty text has no shingles; all
-    such documents form one class. Rows of one doc_id share their decision.
+    into blocks, each with the same few leaders of the bucket; whoever is then outside the bucket's
+    greatest component meets all its members, so no pair of members goes unseen unless the two are
+    connected. A null or empty text has no shingles; all such documents form one class. Rows of one
+    doc_id share their decision.
     """
-    spark = docs.sparkSession
     own = cut(wide_fingerprints(docs, shingle, words), "wide")
     classes = cut(own.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")).where("id is not null"), "wide_classes")
     n = classes.count()
@@ -389,14 +442,20 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     radius = int(total * share + 4 * math.sqrt(total * share * (1 - share)))
     keys = band_keys(classes, width, words)
     sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    half = bucket // 2
-    member = keys.join(sizes, "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1, ceil(c / {half}))")).withColumn("i", F.expr("pmod(xxhash64(id), nb)"))
-    member = member.withColumn("j", F.explode(F.expr("sequence(0L, cast(nb - 1 as bigint))")))
-    member = member.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "id")
-    member = member.join(classes.select("id", "sig"), "id")
-    lists = member.groupBy("key", "lo", "hi").agg(F.collect_list("id").alias("ids"), F.collect_list("sig").alias("words")).where("size(ids) > 1")
-    links = cut(bucket_links(lists, radius).distinct(), "links")
-    roots = components(verified_links(docs, links, shingle, similarity))
+    half = max(bucket // 2, 1)
+    member = keys.join(sizes, "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1L, cast(ceil(c / {half}) as bigint))"))
+    member = cut(member.select("key", "nb", F.expr("pmod(xxhash64(id), nb)").alias("i"), "id"), "members")
+    # About a quarter of a block's size: the leaders of a large bucket, members of its first block.
+    leaders = member.where("nb > 1 and i = 0 and pmod(xxhash64(id, 7), 4) = 0").select("key", F.explode(F.expr("sequence(1L, nb - 1)")).alias("i"), "id")
+    once = member.select("key", "i", "id").union(leaders).withColumn("tie", F.col("id"))
+    links = verified_links(docs, cut(bucket_links(_blocks(once, classes, "i"), radius).distinct(), "links"), shingle, similarity)
+    large = member.where("nb > 1")
+    if not large.isEmpty():
+        links = cut(links, "verified")
+        more = bucket_links(_blocks(_rest_of_large(large, components(links), half), classes, "i", "o"), radius)
+        more = cut(more.distinct().join(links, ["a", "b"], "left_anti"), "links")
+        links = links.union(verified_links(docs, more, shingle, similarity))
+    roots = components(links)
     named = classes.select("whole", "id").join(roots, F.col("id") == F.col("node"), "left").select("whole", F.coalesce("root", "id").alias("group_id"))
     return own.select("doc_id", "whole").join(named, "whole", "left").select("doc_id", "group_id")
 
