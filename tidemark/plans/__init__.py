@@ -1,5 +1,5 @@
 """All registered queries; importing the modules registers them."""
 
-from . import aggregates, gates, joins, relational, scalars, selection, series, splits, tables  # noqa: F401
+from . import aggregates, gates, joins, relational, scalars, selection, series, splits, tables, web  # noqa: F401
 from ..streaming import feeds  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
