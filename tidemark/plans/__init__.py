@@ -1,5 +1,5 @@
 """All registered queries; importing the modules registers them."""
 
-from . import aggregates, chances, gates, joins, links, relational, scalars, scoring, selection, series, splits, tables, web  # noqa: F401
+from . import aggregates, chances, gates, joins, links, relational, reports, scalars, scoring, selection, series, splits, tables, web  # noqa: F401
 from ..streaming import feeds  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
