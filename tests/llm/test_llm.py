@@ -143,6 +143,17 @@ def test_near_duplicate_chains_and_large_groups(spark, monkeypatch):
     assert seen == [1]
 
 
+def test_near_duplicates_are_all_found(spark):
+    """600 pairs of a similarity of exactly 0.8."""
+    rows = []
+    for g in range(600):
+        words = [f"w{g}x{i}" for i in range(49)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join([f"v{g}x{i}" for i in range(5)] + words[5:]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.group_id for r in simhash_dedup.near_duplicate_groups(docs).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
 def test_closest_links_connect_what_is_near():
     words = np.array([0b0, 0b11, 0b1111, 0b111111, 0b111 << 40], np.uint64)[:, None]
     a, b = simhash_dedup._tree(words, np.arange(5), 4)

@@ -10,6 +10,7 @@ choice of t_i bits struck out; those that share a file are candidates, and are v
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import U64, bit_counts, blocks, doc_shingles, mix, pack_bits, simhash, utf8
+from .kernels import U64, blocks, doc_shingles, mix, simhash, utf8
 from .storage import cut, fresh
 
 #: Members of a bucket that one task compares with each other; larger buckets are divided.
@@ -208,21 +209,29 @@ def _forest(words: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return label[other], other
 
 
-def _tree(words: np.ndarray, tied: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The closest links that connect what is within the radius; members of one ``tied`` already are."""
-    n = len(words)
-    near = np.zeros((n, n), np.int32)
+def _distance(words: np.ndarray) -> np.ndarray:
+    near = np.zeros((len(words), len(words)), np.int32)
     for w in range(words.shape[1]):
         near += np.bitwise_count(words[:, w, None] ^ words[None, :, w])
-    near[near > radius] = radius + 1
+    return near
+
+
+def _tree(words: np.ndarray, tied: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The closest links that connect what is within the radius; members of one ``tied`` already are.
+
+    ``radius`` is a number, or a matrix with one for each pair.
+    """
+    n = len(words)
+    near, far = _distance(words), int(np.max(radius)) + 1
+    near[near > radius] = far
     near[tied[:, None] == tied[None, :]] = -1
     reach, via = near[0].copy(), np.zeros(n, np.int64)
     out = np.zeros(n, bool)
     out[0] = True
     a, b = [], []
     for _ in range(n - 1):
-        k = int(np.where(out, radius + 2, reach).argmin())
-        if 0 <= reach[k] <= radius:
+        k = int(np.where(out, far + 1, reach).argmin())
+        if 0 <= reach[k] < far:
             a.append(via[k])
             b.append(k)
         out[k] = True
@@ -231,11 +240,25 @@ def _tree(words: np.ndarray, tied: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
-    """``buckets``: ids and ties array<long>, words array<binary>. Returns a, b within the radius.
+def _pairs(words: np.ndarray, tied: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair within the radius that is not tied."""
+    return np.nonzero(np.triu((_distance(words) <= radius) & (tied[:, None] != tied[None, :]), 1))
 
-    The links of a bucket are its closest ones that connect it, so that a chain of near texts is
-    verified link by link. Members of one tie are connected as they are.
+
+def _reach(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Elements in which two sets of these sizes may differ at ``similarity``; -1 where sizes rule it out."""
+    n = n.astype(float)
+    most = np.floor((1 - similarity) / (1 + similarity) * (n[:, None] + n[None, :]) + 1e-6).astype(np.int64)
+    most[np.minimum(n[:, None], n[None, :]) < similarity * np.maximum(n[:, None], n[None, :]) - 1e-6] = -1
+    return most
+
+
+def bucket_links(buckets: DataFrame, similarity: float, every: bool = False) -> DataFrame:
+    """``buckets``: ids and ties array<long>, words array<binary> (see ``set_signatures``). Returns a, b.
+
+    Left out are only pairs that the sizes or the parities of the sets rule out. Of the others the
+    closest links that connect the bucket, so that a chain of near texts is verified link by link;
+    with ``every`` all pairs. Members of one tie are connected as they are.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,8 +268,8 @@ def bucket_links(buckets: DataFrame, radius: int) -> DataFrame:
                 x = ids.values.to_numpy(zero_copy_only=False)
                 w = np.frombuffer(b"".join(words.values.to_pylist()), "<u8").reshape(len(x), -1)
                 order = np.argsort(x)
-                x = x[order]
-                i, j = _tree(w[order], ties.values.to_numpy(zero_copy_only=False)[order], radius)
+                x, w = x[order], w[order]
+                i, j = (_pairs if every else _tree)(w[:, 1:], ties.values.to_numpy(zero_copy_only=False)[order], _reach(w[:, 0], similarity))
                 a.append(x[i])
                 b.append(x[j])
             if a:
@@ -334,39 +357,81 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, text:
 # ------------------------------------------------------------------ near-duplicates of documents
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, words: int) -> DataFrame:
-    """doc_id, whole (hash of the set of shingles), sig (64 x words bits of SimHash)."""
+def shingle_levels(docs: DataFrame, shingle: int, bits: int = 22) -> np.ndarray:
+    """For each value of a hash's first ``bits`` bits, how common shingles of it are, in half powers of two.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    It only orders the shingles, the rare ones first, so values that share a counter do no harm.
+    """
+    part = 1 << 16
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << bits, np.uint32)
         for batch in batches:
-            whole, sig = [], []
-            for i, j, h, so in doc_shingles(batch.column(1), shingle):
-                n = np.diff(so)
-                cols = [pack_bits(2 * bit_counts(mix(h ^ mix(np.full(1, s + 1, U64))), so) > n[:, None]) for s in range(words)]
-                sig.append(np.stack(cols, axis=1))
-                whole += [int(mix(np.unique(h[a:b])).sum(dtype=U64)) for a, b in zip(so[:-1], so[1:], strict=True)]
-            sig = np.concatenate(sig) if sig else np.empty((0, words), U64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(whole, U64).view(np.int64)), pa.array([r.tobytes() for r in sig], pa.binary())], names=["doc_id", "whole", "sig"]
-            )
+            for _, _, h, _ in doc_shingles(batch.column(0), shingle):
+                np.add.at(n, (h >> U64(64 - bits)).astype(np.int64), 1)
+        for k in range(len(n) // part):
+            own = n[k * part : (k + 1) * part]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["part", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                total.setdefault(k, np.zeros(part, np.int64))
+                total[k] += np.frombuffer(zlib.decompress(n.as_py()), np.uint32)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.round(2 * np.log2(n + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "n"])
+
+    out = np.zeros(1 << bits, np.uint8)
+    parts = fresh(docs, "text").mapInArrow(count, "part long, n binary").repartition((1 << bits) // part, "part")
+    for r in parts.mapInArrow(add, "part long, n binary").collect():  # 64 rows of 64 KB
+        out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.n, np.uint8)
+    return out
 
-    return fresh(docs, "doc_id", "text").mapInArrow(run, "doc_id long, whole long, sig binary")
 
+def set_signatures(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
+    """doc_id, whole (hash of the set of shingles), sig, prefix.
 
-def band_keys(sigs: DataFrame, width: int, words: int) -> DataFrame:
-    """key, id: a hash of each run of ``width`` bits of a wide fingerprint."""
+    sig: the set's size, then for each of 64 x ``words`` cells whether an odd number of shingles fall
+    into it. Two sets differ in as many shingles at least as their parities differ in cells. prefix:
+    the set's rarest shingles, so many that two sets of ``similarity`` have one of them in common.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_levels(docs, shingle))
+    cells = 64 * words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = shared.value
+        bits = 64 - (len(level).bit_length() - 1)
         for batch in batches:
-            raw = b"".join(batch.column(1).to_pylist())
-            bits = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8 * words), axis=1, bitorder="little")
-            for band in range(64 * words // width):
-                part = np.zeros((len(bits), 64), np.uint8)
-                part[:, :width] = bits[:, band * width : (band + 1) * width]
-                key = mix(pack_bits(part) + mix(np.full(1, band + 1, U64)))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0)], names=["key", "id"])
+            whole, sig, prefix = [], [], []
+            for i, j, h, so in doc_shingles(batch.column(1), shingle):
+                doc = np.repeat(np.arange(j - i), np.diff(so))
+                order = np.lexsort((h, level[(h >> U64(bits)).astype(np.int64)], doc))
+                h, doc = h[order], doc[order]
+                once = np.ones(len(h), bool)
+                once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+                h, doc = h[once], doc[once]
+                at = np.searchsorted(doc, np.arange(j - i + 1))
+                n = np.diff(at)
+                total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h), dtype=U64)])
+                whole.append(total[at[1:]] - total[at[:-1]])
+                for s in range(0, j - i, 512):
+                    e = min(s + 512, j - i)
+                    cell = (doc[at[s] : at[e]] - s) * cells + (h[at[s] : at[e]] % U64(cells)).astype(np.int64)
+                    odd = np.bincount(cell, minlength=(e - s) * cells).reshape(e - s, cells) & 1
+                    odd = np.packbits(odd.astype(bool), axis=1, bitorder="little")
+                    sig += [int(k).to_bytes(8, "little") + row.tobytes() for k, row in zip(n[s:e], odd, strict=True)]
+                keep = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
+                prefix += [h[a : a + k].view(np.int64) for a, k in zip(at[:-1], keep, strict=True)]
+            whole = np.concatenate(whole) if whole else np.empty(0, U64)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+            flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(whole.view(np.int64)), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "whole", "sig", "prefix"]
+            )
 
-    return sigs.select("id", "sig").mapInArrow(run, "key long, id long")
+    return fresh(docs, "doc_id", "text").mapInArrow(run, "doc_id long, whole long, sig binary, prefix array<long>")
 
 
 def verified_links(docs: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -420,41 +485,48 @@ def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
     return side.union(every).distinct()
 
 
+def _rest_of_small(small: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their ties, of the small buckets that are not yet one component."""
+    tied = small.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("tie"))
+    tied = cut(tied, "tied_small")
+    apart = tied.groupBy("key").agg(F.min("tie").alias("one"), F.max("tie").alias("other")).where("one <> other").select("key")
+    return tied.join(apart, "key")
+
+
 def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16, bucket: int = 256) -> DataFrame:
     """doc_id, group_id (its smallest doc_id): links between documents of at least ``similarity``.
 
-    Texts with one set of shingles form a class. Classes meet in bands of a wide SimHash (64 x
-    ``words`` bits); the bands widen with the number of classes, so the chance meetings stay in
-    proportion to it. Members of a bucket are compared by Hamming distance, and the links that tie
-    them together are verified on the exact sets. A bucket of more than ``bucket`` members is dealt
-    into blocks, each with the same few leaders of the bucket; whoever is then outside the bucket's
-    greatest component meets all its members, so no pair of members goes unseen unless the two are
-    connected. A null or empty text has no shingles; all such documents form one class. Rows of one
-    doc_id share their decision.
+    Texts with one set of shingles form a class. Classes of ``similarity`` share one of the rarest
+    shingles of both (``set_signatures``), whatever the size of the table; those that do form a
+    bucket. First the links that tie a bucket's members together are verified on the exact sets; then
+    every pair of a bucket that is still in two components, unless sizes or parities rule it out. So
+    the groups are the components of all pairs of ``similarity``. A bucket of more than ``bucket``
+    members is dealt into blocks, each with the same few leaders of the bucket; whoever is then outside
+    the bucket's greatest component meets all its members. A null or empty text has no shingles; all
+    such documents form one class. Rows of one doc_id share their decision.
     """
-    own = cut(wide_fingerprints(docs, shingle, words), "wide")
-    classes = cut(own.groupBy("whole").agg(F.min("doc_id").alias("id"), F.min_by("sig", "doc_id").alias("sig")).where("id is not null"), "wide_classes")
-    n = classes.count()
-    width = max(16, math.ceil(math.log2(max(n, 2))) + 4)
-    # Bits that differ between texts of this similarity: angle over pi, and four standard deviations.
-    share = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    total = 64 * words
-    radius = int(total * share + 4 * math.sqrt(total * share * (1 - share)))
-    keys = band_keys(classes, width, words)
+    own = cut(set_signatures(docs, shingle, words, similarity), "sets_of_documents")
+    first = F.min_by(F.struct("sig", "prefix"), "doc_id").alias("s")
+    classes = own.groupBy("whole").agg(F.min("doc_id").alias("id"), first).where("id is not null")
+    classes = cut(classes.select("whole", "id", "s.sig", "s.prefix"), "classes_of_sets")
+    keys = classes.select("id", F.explode("prefix").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     half = max(bucket // 2, 1)
     member = keys.join(sizes, "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1L, cast(ceil(c / {half}) as bigint))"))
-    member = cut(member.select("key", "nb", F.expr("pmod(xxhash64(id), nb)").alias("i"), "id"), "members")
+    member = cut(member.select("key", "c", "nb", F.expr("pmod(xxhash64(id), nb)").alias("i"), "id"), "members")
     # About a quarter of a block's size: the leaders of a large bucket, members of its first block.
     leaders = member.where("nb > 1 and i = 0 and pmod(xxhash64(id, 7), 4) = 0").select("key", F.explode(F.expr("sequence(1L, nb - 1)")).alias("i"), "id")
     once = member.select("key", "i", "id").union(leaders).withColumn("tie", F.col("id"))
-    links = verified_links(docs, cut(bucket_links(_blocks(once, classes, "i"), radius).distinct(), "links"), shingle, similarity)
-    large = member.where("nb > 1")
+    tried = cut(bucket_links(_blocks(once, classes, "i"), similarity).distinct(), "links")
+    links = cut(verified_links(docs, tried, shingle, similarity), "verified")
+    roots = cut(components(links), "components")
+    # The tree of a bucket of two has its only pair.
+    more = bucket_links(_blocks(_rest_of_small(member.where("nb = 1 and c > 2"), roots), classes), similarity, every=True)
+    large = member.where("nb > 1").drop("c")
     if not large.isEmpty():
-        links = cut(links, "verified")
-        more = bucket_links(_blocks(_rest_of_large(large, components(links), half), classes, "i", "o"), radius)
-        more = cut(more.distinct().join(links, ["a", "b"], "left_anti"), "links")
-        links = links.union(verified_links(docs, more, shingle, similarity))
+        more = more.union(bucket_links(_blocks(_rest_of_large(large, roots, half), classes, "i", "o"), similarity, every=True))
+    more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"), "links")
+    links = links.union(cut(verified_links(docs, more, shingle, similarity), "verified"))
     roots = components(links)
     named = classes.select("whole", "id").join(roots, F.col("id") == F.col("node"), "left").select("whole", F.coalesce("root", "id").alias("group_id"))
     return own.select("doc_id", "whole").join(named, "whole", "left").select("doc_id", "group_id")
