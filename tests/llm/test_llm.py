@@ -154,6 +154,33 @@ def test_near_duplicates_are_all_found(spark):
     assert got == {d: d - d % 2 for d, _ in rows}
 
 
+def test_failed_links_hide_no_pair(spark):
+    """Templates of about 0.72 to 0.88: many closest links fail, and groups are still those of all pairs."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(5):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(30):
+            words = base[:]
+            for _ in range(rng.choice((1, 2, 3))):
+                words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            texts.append(words)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(len(t) - 4)} for i, t in enumerate(texts)}
+    want = brute_components(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for bucket in (256, 8):
+        assert {r.doc_id: r.group_id for r in simhash_dedup.near_duplicate_groups(docs, bucket=bucket).collect()} == want
+
+
+def test_every_untied_pair_within_reach_is_taken():
+    words = np.array([0b0, 0b11, 0b110, 0b111 << 40], np.uint64)[:, None]
+    assert len(simhash_dedup._tree(words, np.arange(4), 2)[0]) == 2
+    a, b = simhash_dedup._pairs(words, np.arange(4), 2)
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 1), (0, 2), (1, 2)}
+    a, b = simhash_dedup._pairs(words, np.array([5, 5, 6, 7]), 2)
+    assert set(zip(a.tolist(), b.tolist())) == {(0, 2), (1, 2)}
+
+
 def test_closest_links_connect_what_is_near():
     words = np.array([0b0, 0b11, 0b1111, 0b111111, 0b111 << 40], np.uint64)[:, None]
     a, b = simhash_dedup._tree(words, np.arange(5), 4)
