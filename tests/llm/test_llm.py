@@ -181,6 +181,15 @@ def test_every_untied_pair_within_reach_is_taken():
     assert set(zip(a.tolist(), b.tolist())) == {(0, 2), (1, 2)}
 
 
+def test_repeated_lines_do_not_part_near_duplicates(spark):
+    body = [f"w{i}" for i in range(100)]
+    line = "the same line stands here again and once more"
+    changed = body[:50] + ["other"] + body[51:]
+    rows = [(1, " ".join([line] * 50 + body)), (2, " ".join([line] * 2 + changed)), (3, " ".join(f"z{i}" for i in range(100)))]
+    got = {r.doc_id: r.group_id for r in simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_closest_links_connect_what_is_near():
     words = np.array([0b0, 0b11, 0b1111, 0b111111, 0b111 << 40], np.uint64)[:, None]
     a, b = simhash_dedup._tree(words, np.arange(5), 4)
