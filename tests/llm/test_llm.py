@@ -212,6 +212,13 @@ def test_op2_surrogates(spark):
     assert pii.replace_pii(docs.limit(0)).count() == 0
 
 
+def test_op2_long_keys_are_matched_whole():
+    for value in ("0123456789abcdef" * 50, "sk-" + "a1B2" * 400):
+        text = f"key {value} end 10.20.30.40 {value}"
+        found = list(pii.entities(text))
+        assert [v for _, v, _, _ in found] == [value, "10.20.30.40", value] and all(text[a:b] == v for _, v, a, b in found)
+
+
 def test_op2_collisions_are_resolved(spark):
     docs = spark.createDataFrame([(i, f"host 1.1.{i // 250}.{i % 250 + 1}") for i in range(400)], "doc_id long, text string")
     original = pii.surrogate

@@ -43,6 +43,7 @@ NAMED = re.compile(
 )
 _STARTS = {*_TITLES, *(t + "." for t in _TITLES), *_GENDER}
 _DIGIT_OR_AT = re.compile("[0-9@]")
+_SPACE = re.compile(r"\s")
 
 
 def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
@@ -58,7 +59,11 @@ def entities(text: str) -> Iterator[tuple[str, str, int, int]]:
         if at < done:
             continue
         begin = max(done, text.rfind(" ", 0, at) + 1, text.rfind("\n", 0, at) + 1)
-        m = NUMBERED.search(text, begin, at + 400)
+        end = at + 400
+        m = NUMBERED.search(text, begin, end)
+        while m and end < len(text) and not _SPACE.search(text, m.end(), end):  # the window may cut the match
+            end = at + 2 * (end - at)
+            m = NUMBERED.search(text, begin, end)
         if m and m.start() <= at:
             found.append((m.lastgroup, m[0], m.start(), m.end()))
             done = m.end()
