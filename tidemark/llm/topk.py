@@ -7,6 +7,7 @@ list to a dense array of scores. It keeps the k best of each query; a window mer
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
@@ -18,7 +19,6 @@ from .storage import cut
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 8192
 _QUERIES, _ROWS = 64, 2048  # of one dense score array
-_NONE = -(2**62)  # below every score
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -34,11 +34,22 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return ids[order], out[order]
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max()), -int(x.min())) if x.size else 0
+
+
 def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every query the k best candidates of the block, its own id left out: qid, cid, score."""
+    """For every query the k best candidates of the block, its own id left out: qid, cid, score.
+
+    Scores are exact: 32 or 64 bits where no sum can leave them, and Python's integers beyond. A
+    score among the best that 64 bits cannot hold raises an OverflowError.
+    """
     dims = min(q.shape[1], c.shape[1])
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(dims, 1)
+    bound = _largest(q) * _largest(c) * max(dims, 1)
+    if bound >= 2**63 - 1:
+        return _best_of_large(qid, q[:, :dims], cid, c[:, :dims], k)
     kind = np.int32 if bound < 2**31 - 1 else np.int64
+    none = np.iinfo(kind).min  # below every score
     out: list[list[np.ndarray]] = [[], [], []]
     postings = []
     for s in range(0, len(cid), _ROWS):
@@ -61,29 +72,47 @@ def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k
                     score += buffer
                 elif len(at):
                     score[:, at] += own[:, t, None] * weight[None, :]
-            # One number orders by score and then by smaller id; a query's own rows come last of all.
-            rank = score.astype(np.int64) * len(rows) - np.arange(len(rows))
-            rank[ids[:, None] == rows[None, :]] = _NONE
+            score[ids[:, None] == rows[None, :]] = none
             keep = min(k, len(rows))
-            top = np.argpartition(-rank, keep - 1, axis=1)[:, :keep] if keep < len(rows) else np.tile(np.arange(keep), (len(ids), 1))
-            real = np.take_along_axis(rank, top, 1) > _NONE
-            best_s.append(np.where(real, np.take_along_axis(score, top, 1).astype(np.int64), _NONE))
+            # All above the k-th largest score, and of those equal to it the first: rows stand by their ids.
+            last = np.partition(score, len(rows) - keep, axis=1)[:, len(rows) - keep, None]
+            above, equal = score > last, score == last
+            room = keep - above.sum(1, keepdims=True)
+            top = np.nonzero(above | (equal & (equal.cumsum(1) <= room)))[1].reshape(len(ids), keep)
+            best_s.append(np.take_along_axis(score, top, 1))
             best_c.append(rows[top])
         s, r = np.concatenate(best_s, 1), np.concatenate(best_c, 1)
-        order = np.lexsort((r, -s), axis=1)[:, :k] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(ids), 1))
+        order = np.lexsort((r, ~s), axis=1)[:, :k]
         s, r = np.take_along_axis(s, order, 1), np.take_along_axis(r, order, 1)
-        real = s > _NONE
+        real = s > none
         out[0].append(np.repeat(ids, real.sum(1)))
         out[1].append(r[real])
-        out[2].append(s[real])
+        out[2].append(s[real].astype(np.int64))
     return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
 
 
+def _best_of_large(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    out = []
+    wide = [(int(i), row.astype(object)) for i, row in zip(cid, c, strict=True)]
+    for i, row in zip(qid.tolist(), q.astype(object), strict=True):
+        scored = ((-int((row * other).sum()), j) for j, other in wide if j != i)
+        out += [(i, j, -s) for s, j in heapq.nsmallest(k, scored)]
+    if any(not -(2**63) <= s < 2**63 for _, _, s in out):
+        raise OverflowError("a score does not fit 64 bits")
+    return tuple(np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+
+
 def quantised(vectors: DataFrame, scale: int = 64, column: str = "embedding") -> DataFrame:
-    """vec_id, v: floor(scale * x) of every component; vectors that are null or hold a null, NaN or infinity, or have no id, are left out."""
+    """vec_id, v: floor(scale * x) of every component.
+
+    Vectors that are null or hold a null, NaN or infinity, or have no id, are left out. A component
+    that 64 bits cannot hold raises an error.
+    """
     x = F.col(column)
     bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    return vectors.where(x.isNotNull() & ~bad & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, lambda c: F.floor(c.cast("double") * scale)).alias("v"))
+    wide = F.raise_error("a scaled component does not fit 64 bits").cast("long")
+    whole = lambda c: F.when(F.abs(c.cast("double") * scale) < 2.0**63, F.floor(c.cast("double") * scale)).otherwise(wide)
+    return vectors.where(x.isNotNull() & ~bad & F.col("vec_id").isNotNull()).select("vec_id", F.transform(x, whole).alias("v"))
 
 
 def top_k(rows: DataFrame, queries: str, k: int = 20) -> DataFrame:
