@@ -13,7 +13,7 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +21,17 @@ from pyspark.sql import DataFrame
 
 from .storage import fresh
 
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark meter nobr picture progress q ruby rb rp rt s samp small source span strike strong sub sup svg time tt u var wbr path g use".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark math meter nobr picture progress q ruby rb rp rt s samp small source span strike strong sub sup time tt u var wbr path g use mi mn mo mrow msup msub mfrac mtext msqrt".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "head", "title", "select", "button")
+#: Elements whose content is no markup; without an end tag they reach to the end of the page, as in browsers.
+RAW = ("script", "style", "textarea", "title", "iframe")
+#: Elements whose text is not the page's. They count only if their end tag comes before their parent's end:
+#: one left open holds whatever follows it.
+SILENT = frozenset("noscript template svg object select button".split())
+#: What may stand in a head; any other element or text ends it.
+HEAD = frozenset("title meta link style script base noscript template".split())
 #: Open elements that a start tag ends when they are the nearest of their kind in scope.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}, "select": {"select"}}
 SCOPE = {"ul", "ol", "dl", "table", "body", "html", "article", "section", "div"}
 TAGS = [{"article", "main"}, {"nav", "menu"}, {"footer"}, {"header"}, {"aside"}, {"form", "fieldset", "dialog"}, {"p"}, {"div", "section", "center"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"ul", "ol", "dl"}, {"li", "dt", "dd"}, {"table", "tbody", "thead", "tr", "td", "th"}, {"body", "html"}, {"blockquote", "pre", "figure", "figcaption", "address"}]
 ATTRIBUTES = [
@@ -40,10 +46,16 @@ ATTRIBUTES = [
     "form search login share social tags tag meta byline tools",
 ]
 _ATTRIBUTE = {w: i for i, words in enumerate(ATTRIBUTES) for w in words.split()}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?", re.S)
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
-_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in SILENT}
+_CLOSE = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+
+
+#: Nodes of pages that are judged together; a larger page is judged alone.
+NODES = 50_000
 
 
 @dataclass
@@ -58,10 +70,63 @@ class Tree:
     marks: list[int] = field(default_factory=list)  # sentence ends
 
 
-@cache
+@lru_cache(4096)
+def _groups(text: str) -> tuple[int, ...]:
+    return tuple(sorted({_ATTRIBUTE[w] for w in _SPLIT.split(text.lower()) if w in _ATTRIBUTE}))
+
+
 def _attributes(text: str) -> tuple[int, ...]:
-    got = {_ATTRIBUTE[w] for m in _ATTR.finditer(text) for w in _SPLIT.split(m[1].lower()) if w in _ATTRIBUTE}
-    return tuple(sorted(got))
+    """The groups of ATTRIBUTES that the class, id and role of a tag name."""
+    return _groups(" ".join(m[1] for m in _ATTR.finditer(text))) if "=" in text else ()
+
+
+class Scanner:
+    """The tags of a page one after the other, in time that is linear in its length.
+
+    A quote in a tag reaches to the next one like it. Where no such quote or no > follows, quotes
+    are plain characters from there on, so no part of the page is searched more than twice.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in "\"'>"}
+        self.quotes = True
+
+    def end(self, at: int) -> int:
+        """The place after the > that ends a tag whose name ends at ``at``; -1 without one."""
+        page = self.page
+        while at <= self.last[">"]:
+            if not self.quotes:
+                return page.find(">", at) + 1
+            at = _PLAIN.match(page, at).end()
+            if at >= len(page):
+                break
+            if page[at] == ">":
+                return at + 1
+            close = page.find(page[at], at + 1) if self.last[page[at]] > at else -1
+            at = (close if close > at else at) + 1
+        if self.quotes:
+            self.quotes = False
+            return -2
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, re.Match | None]:
+        """Start and end of the next tag or comment from ``at`` on, and its name; -1 if there is none."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            if page.startswith(("<!", "<?"), start):
+                return start, _COMMENT.match(page, start).end(), None
+            name = _OPEN.match(page, start)
+            if name:
+                end = self.end(name.end())
+                if end == -2:
+                    end = self.end(name.end())
+                if end > 0:
+                    return start, end, name
+            at = start + 1
+            if start > self.last[">"]:
+                break
+        return -1, len(page), None
 
 
 def parse(page: str) -> Tree:
@@ -71,46 +136,64 @@ def parse(page: str) -> Tree:
     def node(tag: str, parent: int, attrs: str) -> int:
         t.tag.append(tag)
         t.parent.append(parent)
-        t.attrs.append(_attributes(attrs) if 4 < len(attrs) < 400 else ())
+        t.attrs.append(_attributes(attrs))
         for x in (t.chars, t.links, t.anchors, t.marks):
             x.append(0)
         return len(t.tag) - 1
 
     stack = [node("html", -1, "")]
+    depths: dict[str, list[int]] = {"html": [0]}  # places in the stack by tag
+    scopes = [0]
+    shut: set[int] = set()  # silent nodes that were closed
+    blocks: list[tuple[int, str]] = []
     text: list[str] = []
     in_link = 0
 
+    def push(n: int) -> None:
+        depths.setdefault(t.tag[n], []).append(len(stack))
+        if t.tag[n] in SCOPE:
+            scopes.append(len(stack))
+        stack.append(n)
+
+    def pop_to(size: int) -> None:
+        while len(stack) > size:
+            tag = t.tag[stack.pop()]
+            depths[tag].pop()
+            if tag in SCOPE:
+                scopes.pop()
+
+    def open_at(*tags: str) -> int:
+        return max((depths[g][-1] for g in tags if depths.get(g)), default=-1)
+
     def flush() -> None:
         if text:
             words = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if words:
-                n = stack[-1]
-                t.blocks.append((n, words))
-                t.chars[n] += len(words)
-                t.marks[n] += sum(map(words.count, ".!?;,"))
+                blocks.append((stack[-1], words))
 
     def add(piece: str) -> None:
+        if t.tag[stack[-1]] == "head" and not piece.isspace():
+            pop_to(len(stack) - 1)
         text.append(piece)
         if in_link:
             t.links[stack[-1]] += len(piece.strip())
 
+    scan = Scanner(page)
     at, size = 0, len(page)
     while at < size:
-        m = _TOKEN.search(page, at)
-        if not m:
+        start, after, m = scan.next(at)
+        if start < 0:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if start > at:
+            add(page[at:start])
+        at = after
+        if m is None:
             continue
         tag, closing = m[2].lower(), bool(m[1])
-        if tag in _CLOSE and not closing and not m[3].endswith("/"):
+        if tag in _CLOSE and not closing:
             end = _CLOSE[tag].search(page, at)
-            if tag == "head" and (not end or (b := re.compile("<body", re.I).search(page, at)) and b.start() < end.start()):
-                continue
             at = end.end() if end else size
             continue
         if tag in INLINE:
@@ -124,29 +207,38 @@ def parse(page: str) -> Tree:
         flush()
         if closing:
             in_link = 0
-            open_tags = [t.tag[n] for n in stack]
-            if tag in open_tags[1:]:
-                keep = len(open_tags) - 1 - open_tags[::-1].index(tag)
-                if tag not in ("p", "li") or not SCOPE & set(open_tags[keep + 1 :]):
-                    del stack[keep:]
+            keep = open_at(tag)
+            if keep > 0 and (tag not in ("p", "li") or scopes[-1] <= keep):
+                if tag in SILENT:
+                    shut.add(stack[keep])
+                pop_to(keep)
             continue
         if tag == "html":
             continue
-        if t.tag[stack[-1]] == "p":
-            stack.pop()
+        top = t.tag[stack[-1]]
+        if top == "p" or (top == "head" and tag not in HEAD):
+            pop_to(len(stack) - 1)
         ends = ENDS.get(tag, ())
-        for k in range(len(stack) - 1, 0, -1):
-            name = t.tag[stack[k]]
-            if name in ends:
-                del stack[k:]
-                if tag != "tr":
-                    break
-            elif name in SCOPE:
+        while ends and (k := open_at(*ends)) > scopes[-1]:
+            pop_to(k)
+            if tag != "tr":
                 break
-        n = node(tag, stack[-1], m[3])
-        if tag not in VOID:
-            stack.append(n)
+        n = node(tag, stack[-1], page[m.end() : after - 1])
+        if tag not in VOID and not (tag == "svg" and page[after - 2] == "/"):
+            push(n)
     flush()
+    hidden = [False] * len(t.tag)
+    for n in range(1, len(t.tag)):
+        hidden[n] = hidden[t.parent[n]] or n in shut or t.tag[n] == "head"
+    for n, words in blocks:
+        if hidden[n]:
+            continue
+        t.blocks.append((n, words))
+        t.chars[n] += len(words)
+        t.marks[n] += sum(map(words.count, ".!?;,"))
+    for n in range(len(t.tag)):
+        if hidden[n]:
+            t.links[n] = t.anchors[n] = 0
     return t
 
 
@@ -404,12 +496,17 @@ def main_text(pages: DataFrame, training_pages: int = 500, seed: int = 3) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in range(0, batch.num_rows, 256):
-                part = batch.slice(s, 256)
-                text = extract([parse(x.as_py() or "") for x in part.column(2)], shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"]
-                )
+            text: list[str] = []
+            trees: list[Tree] = []
+            for x in batch.column(2):
+                trees.append(parse(x.as_py() or ""))
+                if sum(len(t.tag) for t in trees[-64:]) > NODES or len(trees) == 64:
+                    text += extract(trees, shared.value)
+                    trees = []
+            text += extract(trees, shared.value)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(text, pa.string()), pa.array([len(x) for x in text], pa.int64())], names=["page_id", "url", "text", "n_chars"]
+            )
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return fresh(pages, "page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
