@@ -100,10 +100,10 @@ _WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def _op6() -> str:
-    """The base phrases on the words of a text, and the containment of each template in each line."""
+    """The base phrases on the words of a text, and the containment of each template in each window."""
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     phrases = ", ".join(f"('{label}', {words.split()!r})" for label, words in license_scan.PHRASES.items())
-    templates = ", ".join(f"('{label}', {sorted(set(words.split()))!r})" for label, words in license_scan.TEMPLATES.items())
+    templates = ", ".join(f"('{t.label}', {sorted(set(t.words.split()))!r}, {t.telling.split()!r}, {len(t.words.split())})" for t in license_scan.TEMPLATES)
     return f"""
 WITH d AS (SELECT doc_id, {lower} AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{_WORDS}') AS w FROM d),
@@ -114,11 +114,14 @@ hit AS (
   WHERE list_slice(w, i, i + len(ws) - 1) = ws
 ),
 base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM hit GROUP BY 1),
-tpl(label, ws) AS (VALUES {templates}),
-line AS (SELECT DISTINCT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
-bag AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{_WORDS}')) AS b FROM line),
-got AS (SELECT doc_id, label, max(len(list_intersect(b, ws)) / CAST(len(ws) AS DOUBLE)) AS share FROM bag, tpl
-  WHERE len(list_intersect(b, ws)) >= ceil(0.8 * len(ws) - 1e-9) GROUP BY 1, 2),
+tpl(label, ws, tell, size) AS (VALUES {templates}),
+able AS (
+  SELECT doc_id, w, label, ws, tell, size FROM (SELECT doc_id, w, list_distinct(w) AS b FROM w), tpl
+  WHERE len(list_intersect(b, ws)) >= ceil(0.8 * len(ws) - 1e-9) AND list_has_all(b, tell)
+),
+part AS (SELECT doc_id, label, ws, tell, list_distinct(list_slice(w, i, i + size - 1)) AS b FROM (SELECT *, unnest(range(1, greatest(len(w) - size, 0) + 2)) AS i FROM able)),
+got AS (SELECT doc_id, label, max(len(list_intersect(b, ws)) / CAST(len(ws) AS DOUBLE)) AS share FROM part
+  WHERE len(list_intersect(b, ws)) >= ceil(0.8 * len(ws) - 1e-9) AND list_has_all(b, tell) GROUP BY 1, 2),
 lab AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM hit UNION SELECT doc_id, label FROM got) GROUP BY 1),
 best AS (SELECT doc_id, max(share) AS share FROM got GROUP BY 1)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(base.n, 0) AS BIGINT) AS n_base, CAST(base.a AS BIGINT) AS first_word,
