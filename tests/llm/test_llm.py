@@ -1,6 +1,7 @@
 """The ten operators and the pipeline against brute force, round trips and held-out labels."""
 
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -343,9 +344,12 @@ def test_op6_against_plain_search(spark, sf):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
         places = [(i, k) for k, p in license_scan.PHRASES.items() for n in [len(p.split())] for i in range(len(words)) if words[i : i + n] == p.split()]
         own = set()
-        for line in low.split("\n"):
-            bag = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
-            own |= {k for k, t in license_scan.TEMPLATES.items() if len(bag & set(t.split())) >= 0.8 * len(set(t.split())) - 1e-9}
+        for t in license_scan.TEMPLATES:
+            tokens, size = set(t.words.split()), len(t.words.split())
+            if len(tokens.intersection(words)) >= 0.8 * len(tokens) - 1e-9:
+                bags = [set(words[i : i + size]) for i in range(max(len(words) - size, 0) + 1)]
+                if any(len(b & tokens) >= 0.8 * len(tokens) - 1e-9 and b.issuperset(t.telling.split()) for b in bags):
+                    own.add(t.label)
         assert (r.n_words, r.n_base) == (len(words), len(places))
         assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert r.base_labels == ",".join(sorted({k for _, k in places})) and r.labels == ",".join(sorted({k for _, k in places} | own))
@@ -353,6 +357,71 @@ def test_op6_against_plain_search(spark, sf):
     assert odd[3].n_words == 0 and odd[3].labels == "" and odd[3].first_word is None
 
 
+def test_op6_labels_are_true_and_whole(spark):
+    grant = next(t.words for t in license_scan.TEMPLATES if t.label == "mit-grant" and "sublicense" in t.telling)
+    w = grant.split()
+    texts = {
+        1: "Under the old law a driver was released after he paid. Much later his license had run out.",
+        2: "Licensed under CC BY 4.0.",
+        3: "licensed under\ncc by-nc\n4.0",
+        4: "x " * 500 + "\n".join(" ".join(w[i : i + 9]) for i in range(0, len(w), 9)).upper() + " y" * 500,
+        5: "Redistribution and use in source and binary\nforms, with or without modification, are permitted",
+        6: "the of to in and or is this a " * 3000,
+        7: " ".join(w[:10] + ["filler"] * 200 + w[10:20]),
+        8: "Released under the MIT License.",
+        9: "released under a license like the MIT " + "z " * 3,
+    }
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert {d: r.labels for d, r in got.items()} == {1: "", 2: "cc-by", 3: "cc-by,cc-by-nc", 4: "mit-grant", 5: "bsd", 6: "", 7: "", 8: "mit", 9: ""}
+    assert got[4].score == got[8].score == got[5].score == 1.0 and got[6].n_words == 27000
+
+
+def test_op6_filters_lose_no_window(spark):
+    """Random texts over few words against all windows, and the positional filter does reject."""
+    rng = random.Random(8)
+    templates = tuple(license_scan.Template(f"t{k}", f"a{k}", " ".join([f"a{k}"] + [f"b{rng.randrange(14)}" for _ in range(n)])) for k, n in enumerate((3, 6, 11)))
+    order = sorted({w for t in templates for w in t.words.split()}, key=lambda w: rng.random())
+    scanner = license_scan.Scanner(order, templates, {}, 0.7)
+    kept = held = 0
+    for _ in range(400):
+        words = [rng.choice([f"b{rng.randrange(14)}", f"a{rng.randrange(3)}", "z", "y"]) for _ in range(rng.randrange(60))]
+        want = set()
+        for t, o in zip(templates, scanner.templates, strict=True):
+            tokens, size = set(t.words.split()), len(t.words.split())
+            bags = [set(words[i : i + size]) for i in range(max(len(words) - size, 0) + 1)]
+            if any(len(b & tokens) >= o.need and t.telling in b for b in bags):
+                want.add(t.label)
+            raw = [w.encode() for w in words]
+            at = [i for i, w in enumerate(raw) if w in o.place]
+            held += sum(raw[i] in o.prefix for i in at)
+            kept += len(list(o.starts(at, [raw[i] for i in at], len(raw))))
+        assert scanner.scan(" ".join(words).encode())[5] == want
+    assert 0 < kept < held
+
+
+def test_op7_scores_of_any_size(spark):
+    rng = random.Random(6)
+    for size in (2, 100, 10**5, 10**7, 3 * 10**8):
+        rows = [(i, [rng.randrange(-size, size + 1) for _ in range(6)]) for i in range(2100)]
+        rows += [(2100 + i, rows[i][1]) for i in range(40)]  # ties
+        got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), "vec_id % 300 = 0", 9).collect()}
+        want = {}
+        for q, x in rows:
+            if q % 300 == 0:
+                best = sorted((-sum(a * b for a, b in zip(x, y)), c) for c, y in rows if c != q)[:9]
+                want |= {(q, k + 1): (c, -s) for k, (s, c) in enumerate(best)}
+        assert got == want
+    a, b, c = topk.block_best(np.array([1]), np.array([[2**62]]), np.array([1, 2, 3]), np.array([[9], [1], [0]]), 5)
+    assert (a.tolist(), b.tolist(), c.tolist()) == ([1, 1], [2, 3], [2**62, 0])
+    with pytest.raises(OverflowError):
+        topk.block_best(np.array([1]), np.array([[2**62]]), np.array([2]), np.array([[4]]), 5)
+    large = [(0, [1e15, 1.0]), (20, [1.0, 2.0])]
+    got = topk.top_k(topk.quantised(spark.createDataFrame(large, "vec_id long, embedding array<double>")), "vec_id % 20 = 0", 3).collect()
+    assert {(r.query_id, r.vec_id, r.score) for r in got} == {(q, 20 - q, 64 * int(64e15) + 64 * 128) for q in (0, 20)}
+    with pytest.raises(Exception, match="does not fit"):
+        topk.quantised(spark.createDataFrame([(0, [1e18])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_op7_against_brute_force(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(0, 0.3, 8).round(1)]) for i in range(300)]
@@ -387,6 +456,98 @@ def test_op8_on_generated_pages_and_tables(spark, sf):
     assert html_text.main_text(odd.limit(0)).count() == 0
 
 
+STORY = "<article><h1>Title of the story</h1>" + "".join(f"<p>This is paragraph number {i} of the story, and it says a lot of things.</p>" for i in range(6)) + "</article>"
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "math", "noscript", "template", "head"])
+def test_op8_open_elements_lose_no_article(tag):
+    page = f"<html><head><title>x</title></head><body><header><div><{tag}>Menu</div></header><div class=top><{tag} class=x>Menu{STORY}<footer>foot &copy; x</footer></body></html>"
+    assert "paragraph number 5" in html_text.extract([html_text.parse(page)], html_text.model())[0]
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "svg", "noscript", "template", "script", "style", "textarea"])
+def test_op8_closed_silent_elements_are_left_out(tag):
+    page = f"<html><body><nav><a href=x>a</a></nav>{STORY.replace('</h1>', f'</h1><{tag}>SILENT</{tag}>')}<footer>foot</footer>"
+    text = html_text.extract([html_text.parse(page)], html_text.model())[0]
+    assert "SILENT" not in text and "paragraph number 5" in text
+
+
+def test_op8_formulas_stay():
+    page = f"<html><body>{STORY.replace('number 3', '<math><mi>x</mi><mo>=</mo><mn>2</mn></math>')}</body></html>"
+    assert "This is paragraph x=2 of the story" in html_text.extract([html_text.parse(page)], html_text.model())[0]
+
+
+@pytest.mark.parametrize("bad", ['<a "', '<a href="x', "<a '\"", "<a ", '<p class="class=', "<svg>", "<div>", "<p><foo>", "<td><tr>", "</div>", "<!--", "<button>", '<a "x">'])
+def test_op8_takes_linear_time(bad):
+    took = []
+    for n in (20_000, 200_000):
+        began = time.process_time()
+        html_text.parse(bad * (n // len(bad)) + "<" + "a" * n)
+        took.append(time.process_time() - began)
+    assert took[1] < 30 * max(took[0], 0.01)
+
+
+def test_op8_quotes_and_long_attributes():
+    assert [w for _, w in html_text.parse('<p title="a > b">one</p><p title=\'x">\'>two</p><p title="open>three</p>').blocks] == ["one", "two", "three"]
+    long = html_text.parse(f'<div style="{"color:red;" * 600}" class="sidebar">x</div>')
+    assert long.attrs[1] == html_text.parse('<div class="sidebar">x</div>').attrs[1] != ()
+
+
+def test_op8_trees_and_decoding_against_plain_search():
+    rng = np.random.default_rng(4)
+    m = html_text.model()
+    x = np.concatenate([html_text.features(html_text.parse(html_text.generated_page(rng))) for _ in range(3)])
+    for row, p in zip(x[::7], m.probability(x)[::7], strict=True):
+        z = m.start
+        for feature, split, leaf in zip(m.feature, m.split, m.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + (sum(row[feature[at]] >= e for e in m.edges[feature[at]]) > split[at])
+            z += leaf[at - len(feature)]
+        assert abs(1 / (1 + np.exp(-z)) - p) < 1e-9
+    for _ in range(60):
+        n = int(rng.integers(1, 9))
+        tree = html_text.Tree(parent=[-1, *[int(rng.integers(0, i)) for i in range(1, n)]])
+        p = rng.uniform(0.01, 0.99, n)
+        score = {}
+        for bits in range(1 << n):
+            keep = [bits >> i & 1 for i in range(n)]
+            if all(not keep[i] or keep[tree.parent[i]] for i in range(1, n)):
+                score[tuple(keep)] = sum(np.log(p[i] if keep[i] else 1 - p[i]) for i in range(n))
+        got = tuple(int(k) for k in html_text.decode(tree, p))
+        assert score[got] > max(score.values()) - 1e-9
+
+
+def test_op8_odd_pages(spark):
+    columns = "page_id long, url string, html string"
+    rows = spark.createDataFrame([(1, "u", STORY), (1, "u", STORY), (2, "v", f"<body>{STORY.replace('number', 'number ' * 20000)}")], columns)
+    for c in CLASH:
+        rows = rows.withColumn(c, F.lit(7))
+    got = sorted(map(tuple, html_text.main_text(rows).collect()))
+    assert got[0] == got[1] and got[0][3] == len(got[0][2]) > 300 and got[2][3] > 6 * 20000 * 7
+
+
+def test_op9_bytes_settle_what_hashes_do_not(monkeypatch):
+    """With hashes of few values, spans are still told apart; long ones too."""
+    monkeypatch.setattr(kernels, "word_hashes", lambda b, s, e: ((e - s) % 3).astype(np.uint64))
+    words = [b"a", b"b", b"a", b"long" * 9 + b"x" + b"tail" * 9, b"long" * 9 + b"y" + b"tail" * 9, b"ab", b"b"]
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    first, code = kernels.distinct_spans(buf, end - [len(w) for w in words], end)
+    assert [words[first[c]] for c in code] == words and len(first) == 5
+
+
+def test_op9_memory_is_bounded_and_exact(monkeypatch):
+    monkeypatch.setattr(token_io, "REMEMBER", 40)
+    own, rng = token_io.Encoder(entry.tokenizer_path()), random.Random(2)
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "Ärger", "ÀÉß", "naïve", "x" * 60, "don't", "42", f"w{rng.randrange(90)}", "éé" * rng.randrange(1, 9), "слово", "e\u0301a", "İx", "ª1"]) for _ in range(rng.randrange(40))) for _ in range(5)]
+        raw = [t.encode() for t in texts]
+        ids, so = own.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), 2)
+        assert [ids[a:b].tolist() for a, b in zip(so[:-1], so[1:], strict=True)] == [own.whole(t) + [2] for t in texts]
+        assert len(own.young.place) + len(own.old.place) < 300 and max(map(len, own.young.place), default=0) <= token_io.LONGEST
+
+
 def test_op9_round_trip(spark, tmp_path):
     docs = odd_documents(spark).union(spark.createDataFrame([(20, "don't <|endoftext|> it's 3½ naïve—x ##'s", "", "", 0)], DOCS).select("*", *[F.lit(7) for _ in CLASH]))
     path = f"file://{tmp_path}/tokens"
