@@ -33,6 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_MULT))
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 _powers = {"p": np.empty(0, U64), "q": np.empty(0, U64)}
 
 
@@ -95,6 +96,33 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((total[end] - total[start]) * q[start] + (end - start).astype(U64))
 
 
+def distinct_spans(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A first span of each distinct one, and each span's place among these.
+
+    Spans are told apart by their hashes, and the bytes are compared as well: if two different spans
+    have one hash, all spans of the block are told apart by their bytes.
+    """
+    if len(start) == 0:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    _, first, code = np.unique(word_hashes(buf, start, end), return_index=True, return_inverse=True)
+    n, like = end - start, first[code]
+    eight = np.ndarray(len(buf) + 1, "<u8", np.concatenate([buf, np.zeros(8, np.uint8)]), strides=(1,))
+    mask = _MASKS[np.minimum(n, 8)]
+    same = n == n[like]
+    for at in (start, np.maximum(end - 8, start)):
+        part = eight[at] & mask
+        same &= part == part[like]
+    raw = None
+    for k in np.flatnonzero(same & (n > 16) & (like != np.arange(len(n)))).tolist():
+        raw = raw or buf.tobytes()
+        same[k] = raw[start[k] : end[k]] == raw[start[like[k]] : end[like[k]]]
+    if not same.all():
+        raw, known = buf.tobytes(), {}
+        code = np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
+        _, first = np.unique(code, return_index=True)
+    return first, code
+
+
 def shingle_hashes(words: np.ndarray, wo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each document's k-word shingles in order, repeats included, and their offsets.
 

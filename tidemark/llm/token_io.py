@@ -7,10 +7,11 @@ delta-encoded. ``parts``: part and first (ids of all earlier parts).
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, blocks, spans, utf8, word_hashes
+from .kernels import LOWER, blocks, distinct_spans, spans, utf8
 from .storage import fresh
 
 LAYOUT = {
@@ -31,8 +32,9 @@ LAYOUT = {
     "parquet.enable.dictionary#place": "false",
     "parquet.enable.dictionary#n_tokens": "false",
 }
-#: Distinct words that one Python worker remembers.
-REMEMBER = 300_000
+#: Units of one generation of a Python worker's memory (two are held), and the longest that is remembered:
+#: some 60 MB a generation at the most.
+REMEMBER, LONGEST = 350_000, 48
 #: Classes of bytes: white space, ASCII letters, digits, ASCII marks, and what is left to the tokenizer.
 _KIND = np.full(256, 5, np.uint8)
 _KIND[33:127] = 4
@@ -40,6 +42,7 @@ _KIND[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
 _KIND[97:123] = _KIND[65:91] = 1
 _KIND[48:58] = 3
 _KIND[ord("'")] = 5
+_LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 
 def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,63 +71,115 @@ def units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, np.minimum(np.append(at[1:], len(buf)), end[word])
 
 
+class Memory:
+    """The ids of units, one after the other in an array that doubles when it is full."""
+
+    def __init__(self):
+        self.place: dict[bytes, int] = {}
+        self.flat, self.at, self.n = np.empty(1 << 12, np.int32), np.zeros(1 << 10, np.int64), 0
+
+    def find(self, words: list[bytes]) -> np.ndarray:
+        """Places of units; -1 where one is not known."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.at[at + 1] - self.at[at]
+        return self.flat[np.repeat(self.at[at], size) + steps(size)], size
+
+    def add(self, words: list[bytes], flat: np.ndarray, size: np.ndarray) -> None:
+        used, n = int(self.at[self.n]), self.n + len(words)
+        while used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
+        while n + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.empty_like(self.at)])
+        self.flat[used : used + len(flat)] = flat
+        self.at[self.n + 1 : n + 1] = used + np.cumsum(size)
+        self.place.update(zip(words, range(self.n, n), strict=True))
+        self.n = n
+
+
+def steps(size: np.ndarray) -> np.ndarray:
+    """0, 1, 2 and so on within each stretch."""
+    return np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+
+
 class Encoder:
-    """Encodes each distinct unit once with the tokenizers library and remembers its ids."""
+    """Encodes each distinct unit with the tokenizers library and remembers its ids.
+
+    What one generation of the memory holds is found while the next one fills, so the units in use
+    are not learned again, and the memory is bounded.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.at = np.empty(0, np.int32), np.zeros(1, np.int64)
+        self.young, self.old = Memory(), Memory()
+        # How the model spells the letters of _LATIN, as the tokenizer's own first steps have them.
+        letters = [chr(c) for c in [*range(97, 123), *range(0xC0, 0x100)] if c not in (0xD7, 0xF7)]
+        norm, split = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.spelled = {ord(c): split.pre_tokenize_str(norm.normalize_str(c))[0][0] for c in letters}
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        new = list(dict.fromkeys(w for w in words if w not in self.known))
-        if new:
-            text = {w: w.decode("utf-8", "replace") for w in new}
-            letters, rest = [w for w in new if text[w].isalpha()], [w for w in new if not text[w].isalpha()]
-            for part, encode in ((letters, self._apart), (rest, self._each)):
-                ids, size = encode([text[w] for w in part])
-                self.known.update(zip(part, range(len(self.at) - 1, len(self.at) - 1 + len(part)), strict=True))
-                self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-                self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-
-    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of words of letters, encoded as one text with a digit between them."""
-        (between,) = self.whole("0")
-        ids = np.array(self.tokenizer.encode_batch_fast([" 0 ".join([*words, ""])], add_special_tokens=False)[0].ids, np.int32)
-        ends = np.flatnonzero(ids == between)
-        return ids[ids != between], np.diff(ends, prepend=-1) - 1
-
-    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter(chain.from_iterable(got), np.int32, int(size.sum())), size
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct units in a row, and how many each has."""
+        if len(self.young.place) > REMEMBER:
+            self.young, self.old = Memory(), self.young
+        at = self.young.find(words)
+        miss = np.flatnonzero(at < 0)
+        parts = []
+        if len(miss):
+            known = self.old.find([words[i] for i in miss.tolist()])
+            again, new = miss[known >= 0], miss[known < 0]
+            if len(again):
+                parts.append((again, *self.old.take(known[known >= 0])))
+            if len(new):
+                parts.append((new, *self._encode([words[i] for i in new.tolist()])))
+        hit = np.flatnonzero(at >= 0)
+        size = np.zeros(len(words), np.int64)
+        parts.append((hit, *self.young.take(at[hit])))
+        for where, _, n in parts:
+            size[where] = n
+        off = np.cumsum(size) - size
+        flat = np.empty(int(size.sum()), np.int32)
+        for where, ids, n in parts:
+            flat[np.repeat(off[where], n) + steps(n)] = ids
+        for where, ids, n in parts[:-1]:
+            own = [words[i] for i in where.tolist()]
+            keep = np.fromiter(map(len, own), np.int64, len(own)) <= LONGEST
+            self.young.add([w for w, k in zip(own, keep.tolist(), strict=True) if k], ids[np.repeat(keep, n)], n[keep])
+        return flat, size
+
+    def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of ASCII and Latin-1 letters go to the model at once; the others take all steps."""
+        latin = np.fromiter((w.isalpha() or _LATIN.fullmatch(w) is not None for w in words), bool, len(words))
+        tokenize, out = self.tokenizer.model.tokenize, [None] * len(words)
+        for k in np.flatnonzero(latin).tolist():
+            w = words[k]
+            out[k] = [t.id for t in tokenize(w.decode() if w.isascii() else w.decode().translate(self.spelled))]
+        rest = np.flatnonzero(~latin).tolist()
+        for k, e in zip(rest, self.tokenizer.encode_batch_fast([words[k].decode("utf-8", "replace") for k in rest], add_special_tokens=False), strict=True):
+            out[k] = e.ids
+        size = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(chain.from_iterable(out), np.int32, int(size.sum())), size
 
     def encode(self, buf: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all documents in a row, each closed by ``end``, and the documents' offsets."""
-        if len(self.known) > REMEMBER:
-            self.forget()
         low = LOWER[buf]
         start, stop = units(low, off)
-        _, first, code = np.unique(word_hashes(low, start, stop), return_index=True, return_inverse=True)
+        first, code = distinct_spans(low, start, stop)
         raw = low.tobytes()
-        code = self.codes([raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])[code]
-        n = self.at[code + 1] - self.at[code]
+        flat, size = self.ids([raw[a:b] for a, b in zip(start[first].tolist(), stop[first].tolist(), strict=True)])
+        n = size[code]
         sums = np.concatenate([[0], np.cumsum(n)])
         wo = np.searchsorted(start, off)
         # One more place after each document's last unit, for its end id.
         doc = np.repeat(np.arange(len(off) - 1), np.diff(wo))
         out = np.full(int(sums[-1]) + len(off) - 1, end, np.int32)
-        step = np.arange(int(sums[-1])) - np.repeat(sums[:-1], n)
-        out[np.repeat(sums[:-1] + doc, n) + step] = self.flat[np.repeat(self.at[code], n) + step]
+        step = steps(n)
+        out[np.repeat(sums[:-1] + doc, n) + step] = flat[np.repeat((np.cumsum(size) - size)[code], n) + step]
         return out, sums[wo] + np.arange(len(wo))
 
 
