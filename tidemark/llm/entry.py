@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from . import decontam, html_text, langid, license_scan, mixing, pii, quality, simhash_dedup, token_io, topk
 from .storage import new_path
 
-PII_KEY = b"tidemark-production-key"
+#: Setting of the session that holds the key of the surrogates.
+PII_KEY = "spark.tidemark.pii.key"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -27,23 +29,49 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id over links of two bits or fewer.
+
+    Null, empty and blank texts have fingerprint zero and are linked like others; every row is
+    returned, repeated rows too; texts of any length are read whole; an empty table gives no rows.
+    """
     found = simhash_dedup.simhash_components(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's key; where none is set, a random one that holds for the session and is stored nowhere else."""
+    if not spark.conf.get(PII_KEY, None):
+        spark.conf.set(PII_KEY, secrets.token_hex(32))
+    return spark.conf.get(PII_KEY).encode()
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(_table(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "text", "n_entities")
+    """Every document with its personal data replaced: doc_id, text, n_entities."""
+    return pii.replace_pii(_table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, first_word, n_words, similarity: a row for each document and item that match, none for a clean document.
+
+    Null and empty texts, and an empty table on either side, have no rows; see ``decontam.contaminated``.
+    """
     return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken for every row; see ``mixing.mix``.
+
+    Null and empty texts have size 0 and are never taken; a null source is one source, the last.
+    """
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, accepted for every row.
+
+    A null text, or one without a letter, is ``und`` with score 0; a null doc_id is not held out and
+    teaches nothing; repeated rows are judged alike; an empty table gives no rows.
+    """
     docs = _table(spark, sf_dir, "documents")
     rest = "crc32(cast(doc_id as string)) % 3"
     found = langid.fit_identify(docs, f"{rest} <> 1")
@@ -51,18 +79,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels, places and score of every row; see ``license_scan.scan_licenses``."""
     return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 best for every vector whose id is divisible by 20; see ``topk.top_k``."""
     return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")), "vec_id % 20 = 0", 20)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every row; see ``html_text.main_text``."""
     return html_text.main_text(_table(spark, sf_dir, "pages"))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row, read back from the token files.
+
+    Null and empty texts are the end id alone; null ids come first; repeated rows follow each other;
+    an empty table gives no rows.
+    """
     docs = _table(spark, sf_dir, "documents")
     path = new_path(spark, "token_ids")
     token_io.write_tokens(docs, path, tokenizer_path())
@@ -70,6 +106,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row; see ``quality.fit_score``. A null doc_id is not held out."""
     rest = "crc32(cast(doc_id as string)) % 5"
     found = quality.fit_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), f"{rest} <> 0")
     return found.select("doc_id", F.expr(f"coalesce({rest} = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
