@@ -8,6 +8,7 @@ quarter of it in some block. Candidates are verified by weighted similarity of t
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -19,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, U64, blocks, pack_bits, shingle_hashes, spans, utf8, word_hashes
-from .storage import fresh
+from .storage import cut, fresh
 
-#: Items indexed at once; more are handled in further passes, so that what is broadcast is bounded.
-ITEMS = 1024
+#: About so many distinct item texts are indexed in a pass; what is broadcast for a pass is bounded by it.
+ITEMS = 512
 #: Words are runs of letters, digits and non-ASCII characters.
 APART = np.ones(256, bool)
 APART[48:58] = APART[65:91] = APART[97:123] = APART[128:] = False
@@ -47,28 +48,26 @@ class Index:
     shingle: int
     radius: int
     similarity: float
-    ids: np.ndarray
     length: np.ndarray  # words of each item
     fp: np.ndarray
     bags: list[dict[int, int]]
     known: np.ndarray  # sorted shingles of all items
     weight: np.ndarray
     rare: float  # weight of a shingle that no item has
-    owner_at: np.ndarray
+    owned: np.ndarray  # shingles of the items of this pass in order, and the item of each
     owners: np.ndarray
     tables: list[tuple[np.ndarray, np.ndarray]]  # for each block: ranges by value, and items
 
     @staticmethod
-    def build(ids: list[int], texts: list[str], shingle: int, radius: int, similarity: float) -> Index:
-        raw = [t.encode() for t in texts]
-        off = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        words, wo = _words(np.frombuffer(b"".join(raw), np.uint8), off)
+    def build(texts: list[str], shingle: int, radius: int, similarity: float, total: int | None = None, counts: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+        """``total`` and ``counts``: the number of all item texts, and how many have each shingle; by default of ``texts``."""
+        words, wo = _words(*_joined(texts))
         h, so = shingle_hashes(words, wo, shingle)
         each = [h[a:b] for a, b in zip(so[:-1], so[1:], strict=True)]
-        df = Counter(int(x) for e in each for x in np.unique(e))
-        known = np.array(sorted(df), U64)
-        weight = np.array([math.log(1 + len(ids) / df[int(x)]) for x in known])
-        rare = math.log(1 + len(ids))
+        total = len(texts) if total is None else total
+        known, df = counts or np.unique(np.concatenate([np.unique(e) for e in each] or [h]), return_counts=True)
+        weight = np.log(1 + total / np.maximum(df, 1))
+        rare = math.log(1 + total)
         fp = [pack_bits((weight[np.searchsorted(known, e)] @ _signs(e) > 0)[None, :])[0] if len(e) else U64(0) for e in each]
         owner = sorted((int(x), i) for i, e in enumerate(each) for x in np.unique(e))
         fp = np.array(fp, U64)
@@ -77,12 +76,12 @@ class Index:
         for b in range(4):
             value = (fp >> U64(16 * b)) & U64(0xFFFF)
             key = (value[:, None].astype(np.int64) ^ np.array(flips)[None, :]).ravel()
-            item = np.repeat(np.arange(len(fp), dtype=np.int16), len(flips))
+            item = np.repeat(np.arange(len(fp), dtype=np.int32), len(flips))
             order = np.argsort(key, kind="stable")
             tables.append((np.searchsorted(key[order], np.arange(65537)), item[order]))
         return Index(
-            shingle, radius, similarity, np.array(ids, np.int64), np.diff(wo), fp, [Counter(e.tolist()) for e in each], known, weight, rare,
-            np.searchsorted(np.array([o[0] for o in owner], U64), known), np.array([o[1] for o in owner], np.int64), tables,
+            shingle, radius, similarity, np.diff(wo), fp, [Counter(e.tolist()) for e in each], known, weight, rare,
+            np.array([o[0] for o in owner], U64), np.array([o[1] for o in owner], np.int64), tables,
         )
 
     def within(self, fp: int) -> set[int]:
@@ -111,10 +110,9 @@ class Index:
         hit: the positions of shingles that items have too.
         """
         wanted: dict[int, set[int]] = {}  # window size in words -> starts
-        place = np.searchsorted(self.known, h[hit])
-        owner_end = np.append(self.owner_at[1:], len(self.owners))
-        for p, k in zip(hit.tolist(), place.tolist(), strict=True):
-            for item in self.owners[self.owner_at[k] : owner_end[k]]:
+        first, last = (np.searchsorted(self.owned, h[hit], side) for side in ("left", "right"))
+        for p, a, b in zip(hit.tolist(), first.tolist(), last.tolist(), strict=True):
+            for item in self.owners[a:b]:
                 size = min(int(self.length[item]), n_words)
                 n = max(size - self.shingle + 1, 1)
                 wanted.setdefault(size, set()).update(range(max(0, p - n + 1), min(p, len(h) - n) + 1))
@@ -137,58 +135,137 @@ class Index:
         return [(item, p, s) for item, (s, p) in sorted(best.items())]
 
 
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    raw = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
+
+
+def _isin(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
+
+
+def _blocks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Range of documents, word hashes and each document's range of words."""
+    buf, off = utf8(column)
+    for i, j in blocks(off):
+        yield i, j, *_words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+
+
+def item_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles of all item texts in order, and how many texts have each: 16 bytes a shingle of the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, words, wo in _blocks(batch.column(0)):
+                h, so = shingle_hashes(words, wo, shingle)
+                own = [np.unique(h[a:b]) for a, b in zip(so[:-1], so[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64))], names=["h"])
+
+    rows = texts.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).toArrow()
+    h, n = rows.column("h").to_numpy().view(U64), rows.column("n").to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius: int = 16, similarity: float = 0.8) -> DataFrame:
     """doc_id, item_id, first_word, n_words, similarity: the best window of each document and item.
 
-    A window counts from ``similarity`` on. Items without a word match nothing; items shorter than a
-    shingle are one shingle. Items are read in passes of ITEMS, null and repeated ids included
-    (a null id is kept as null). Null, empty and wordless texts have no rows.
+    A window counts from ``similarity`` on. An item shorter than a shingle matches where its words
+    stand consecutively; one without a word matches nothing. Shingles are weighed by all item texts
+    at once, so a match does not depend on the passes in which the items are read: about ITEMS texts
+    each, over all documents in the first pass if it is the only one, else over those documents that
+    hold a shingle of any item. Items of one text share their matches, whatever their ids (null is an
+    id like any other). Null, empty and wordless texts have no rows; rows of one doc_id have one row
+    an item, the best; ties go to the earlier window. Ids keep their type.
     """
     spark = docs.sparkSession
-    items = fresh(benchmark, "item_id", "text").where("text is not null")
-    passes = max(1, math.ceil(items.count() / (ITEMS // 2)))
+    texts = fresh(benchmark, "text").where("text is not null").distinct()
+    items = fresh(benchmark, "item_id", "text").where("text is not null").distinct()
+    total = texts.count()
+    passes = max(1, math.ceil(total / ITEMS))
+    counts = item_shingles(texts, shingle) if total else None
+    rows = fresh(docs, "doc_id", "text")
+    if passes > 1:
+        rows = cut(_with_shingles(rows, spark.sparkContext.broadcast(counts[0]), shingle, texts), "documents_with_shingles")
     out = None
     for k in range(passes):
-        rows = items.where(f"pmod(xxhash64(item_id, text), {passes}) = {k}").collect()
-        rows = sorted(rows, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        index = Index.build([-1 if r.item_id is None else r.item_id for r in rows], [r.text for r in rows], shingle, radius, similarity)
-        part = _scan(docs, spark.sparkContext.broadcast(index))
+        own = sorted(r.text for r in texts.where(f"pmod(xxhash64(text), {passes}) = {k}").collect())
+        index = Index.build(own, shingle, radius, similarity, total, counts)
+        part = _scan(rows, spark.sparkContext.broadcast((index, [hashlib.sha256(t.encode()).digest() for t in own], _short(own, shingle))))
         out = part if out is None else out.union(part)
-    return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("first_word"), "n_words")).alias("b")).select(
-        "doc_id", "item_id", (-F.col("b.first_word")).alias("first_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity")
-    )
+    found = out.join(items.select("item_id", F.unhex(F.sha2("text", 256)).alias("item")), "item")
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("first_word"), "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", (-F.col("b.first_word")).alias("first_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
+
+
+def _short(texts: list[str], shingle: int) -> dict[int, dict[int, list[int]]]:
+    """By their number of words, the hashes of texts of fewer words than a shingle, and the texts of each."""
+    words, wo = _words(*_joined(texts))
+    h, so = shingle_hashes(words, wo, shingle)
+    out: dict[int, dict[int, list[int]]] = {}
+    for i, n in enumerate(np.diff(wo).tolist()):
+        if 0 < n < shingle:
+            out.setdefault(n, {}).setdefault(int(h[so[i]]), []).append(i)
+    return out
+
+
+def _with_shingles(rows: DataFrame, shared, shingle: int, texts: DataFrame) -> DataFrame:
+    """The rows that hold a shingle of an item; all rows if some item is shorter than a shingle."""
+
+    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, _, wo in _blocks(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.diff(wo))], names=["n"])
+
+    if not texts.select("text").mapInArrow(lengths, "n long").where(f"n between 1 and {shingle - 1}").isEmpty():
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for i, j, words, wo in _blocks(batch.column(1)):
+                h, so = shingle_hashes(words, wo, shingle)
+                keep[i + np.searchsorted(so, np.flatnonzero(_isin(h, shared.value)), "right") - 1] = True
+            yield batch.filter(pa.array(keep))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _scan(docs: DataFrame, shared) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index: Index = shared.value
+        index, names, short = shared.value
         for batch in batches:
-            if not len(index.known):
-                continue
-            buf, off = utf8(batch.column(1))
             rows: list[tuple[int, int, int, int, float]] = []
-            for i, j in blocks(off):
-                words, wo = _words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            for i, j, words, wo in _blocks(batch.column(1)) if names else ():
                 h, so = shingle_hashes(words, wo, index.shingle)
-                if not len(h):
-                    continue
-                at = np.minimum(np.searchsorted(index.known, h), len(index.known) - 1)
-                hits = np.flatnonzero(index.known[at] == h)
+                hits = np.flatnonzero(_isin(h, index.owned))
                 owner = np.searchsorted(so, hits, "right") - 1
                 for d in np.unique(owner).tolist():
                     own = h[so[d] : so[d + 1]]
                     for item, p, s in index.document(own, int(wo[d + 1] - wo[d]), hits[owner == d] - so[d]):
-                        rows.append((i + d, int(index.ids[item]), p, int(index.length[item]), s))
+                        rows.append((i + d, item, p, int(index.length[item]), s))
+                for n, texts in short.items():
+                    h, so = shingle_hashes(words, wo, n)
+                    for at in np.flatnonzero(_isin(h, np.array(sorted(texts), U64))).tolist():
+                        d = int(np.searchsorted(so, at, "right")) - 1
+                        if wo[d + 1] - wo[d] >= n:
+                            rows += [(i + d, item, at - int(so[d]), n, 1.0) for item in texts[int(h[at])]]
             if rows:
                 d, item, p, n, s = map(list, zip(*rows, strict=True))
-                item = pa.array([None if x == -1 else x for x in item], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(d)), item, pa.array(p), pa.array(n), pa.array(s)], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(d)), pa.array([names[k] for k in item], pa.binary()), pa.array(p), pa.array(n), pa.array(s)],
+                    names=["doc_id", "item", "first_word", "n_words", "similarity"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return fresh(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, item_id long, first_word long, n_words long, similarity double")
+    return docs.mapInArrow(run, f"doc_id {kind}, item binary, first_word long, n_words long, similarity double")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` without a benchmark item in their text; rows without a doc_id stay."""
+    """The rows of ``docs`` without a benchmark item in their text.
+
+    Rows without a doc_id stay, as do null and empty texts; rows of one doc_id go together; other
+    columns are kept. An empty table, or a benchmark without words, changes nothing.
+    """
     bad = contaminated(docs, benchmark, **how).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
