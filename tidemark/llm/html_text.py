@@ -490,7 +490,9 @@ def main_text(pages: DataFrame, training_pages: int = 500, seed: int = 3) -> Dat
     """page_id, url, text, n_chars for every row; a null, empty or textless page has an empty text.
 
     Character references are decoded, white space in a block is one space, blocks stand in page
-    order with an empty line between them. ``n_chars`` counts code points.
+    order with an empty line between them. ``n_chars`` counts code points. Pages of any length are
+    read whole; repeated rows are read row by row; other columns are not looked at. A script, style,
+    textarea, title or iframe without an end tag reaches to the end of the page, as in browsers.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model(training_pages, seed))
 

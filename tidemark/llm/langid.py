@@ -116,7 +116,8 @@ def train(texts: list[str], langs: list[str], dim: int = 16, epochs: int = 6, ra
             bias -= step / len(part) * p.sum(0)
             for k, d in enumerate(part):
                 u, c = feats[d]
-                # Rare subwords get as large a step as frequent ones: the gradient per occurrence is scaled up.
+                # Not the plain gradient, which is ``c``: a preconditioned step, by which rare subwords move
+                # nearly as far as frequent ones.
                 emb[u] -= (step * 60 * np.sqrt(c / len(u)))[:, None] * back[k]
     table = (emb @ w).astype(np.float32)
     model = Model(names, table, bias.astype(np.float64), 1.0, 0.0)
@@ -185,6 +186,9 @@ def fit_identify(docs: DataFrame, learn: str, per_lang: int = 400, seed: int = 7
     """Train on rows that meet the SQL condition ``learn`` and predict for all rows.
 
     ``per_lang`` bounds the sample: about so many texts of each language, twice as many at most.
+    Rows with a null text or language teach nothing. Every row is returned, repeated rows too and
+    alike; texts of any length are read whole; other columns are not looked at, whatever their
+    names. Without rows to learn from every text is ``und``; an empty table gives no rows.
     """
     rows = sample(docs.where(learn).select("doc_id", "lang", "text"), per_lang, seed)
     n = rows.select("lang").distinct().count()
