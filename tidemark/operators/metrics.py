@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_total
+
 
 def scores(rows: DataFrame, *by: str) -> DataFrame:
     """Log loss (clipped), Brier score, accuracy at one half and count for each group."""
@@ -38,11 +40,10 @@ def ece(rows: DataFrame, bins: int = 10) -> DataFrame:
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the curve from counts at each distinct score; one half if a class is missing.
 
-    Scores are counted first, so the cumulative window is over distinct values only.
+    Scores are counted first, and the running count goes over ranges of distinct values.
     """
     at = rows.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = at.withColumn("u", F.col("pos") * (below + F.col("neg") / 2)).agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    total = running_total(at, ["p"], "neg", "below").withColumn("u", F.col("pos") * (F.col("below") + F.col("neg") / 2)).agg(F.sum("u").alias("u"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     return total.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("u") / (F.col("pos") * F.col("neg"))).otherwise(0.5).alias("auc"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
 from ..operators.asof import latest_per_key
+from ..operators.ranking import ranked
 from ..sources.tables import table
 from .registry import query
 
@@ -47,9 +47,9 @@ SELECT o_custkey, CASE WHEN k <= floor(0.6 * n) THEN 'train' WHEN k <= floor(0.8
   SELECT o_custkey, row_number() OVER (ORDER BY first, o_custkey) AS k, count(*) OVER () AS n FROM (SELECT o_custkey, min(o_orderdate) AS first FROM orders GROUP BY 1))
 """)
 def w43_chronological_split(spark, sf):
-    """60/20/20 by first appearance; one row an entity is ranked."""
+    """60/20/20 by first appearance of whole entities."""
     first = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("first"))
-    rows = first.select("o_custkey", F.row_number().over(Window.orderBy("first", "o_custkey")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
+    rows = ranked(first, ["first", "o_custkey"], total="n")
     part = F.when(F.col("k") <= F.floor(F.col("n") * 0.6), "train").when(F.col("k") <= F.floor(F.col("n") * 0.8), "valid").otherwise("test")
     return rows.select("o_custkey", part.alias("part"))
 

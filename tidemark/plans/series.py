@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import series as S
+from ..operators.ranking import ranked
 from ..sources.tables import table
 from .registry import query
 
@@ -166,22 +167,9 @@ SELECT user_id, CAST(floor(4 * (k - 1) / CAST(n AS DOUBLE)) AS INTEGER) AS fold
   SELECT user_id, row_number() OVER (ORDER BY first, user_id) AS k, count(*) OVER () AS n FROM (SELECT user_id, min(ts) AS first FROM events GROUP BY 1))
 """)
 def w28_whole_event_folds(spark, sf):
-    """Chronological folds that keep an event whole; one row an event is ranked, not its rows."""
+    """Chronological folds that keep an event whole; the ranks go over ranges of first times."""
     first = table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("first"))
-    ranked = first.withColumn("k", F.row_number().over(Window.orderBy("first", "user_id"))).withColumn("n", F.count("*").over(Window.partitionBy()))
-    return ranked.select("user_id", F.floor(4 * (F.col("k") - 1) / F.col("n")).cast("int").alias("fold"))
-
-
-@query("""
-WITH b AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1), c AS (SELECT max(z) - INTERVAL 10 DAY AS cut FROM b)
-SELECT e.event_id, CASE WHEN e.ts < cut - INTERVAL 1 DAY THEN 'train' WHEN e.ts >= cut THEN 'test' ELSE 'purged' END AS part FROM events e, c
-""")
-def w29_cut_with_embargo(spark, sf):
-    """Train before a cut, test after it, and an embargo between them."""
-    e = table(spark, sf, "events").select("event_id", "ts")
-    cut = F.broadcast(e.agg(F.max("ts").alias("z")).select(F.expr("z - interval 10 days").alias("cut")))
-    part = F.when(F.expr("ts < cut - interval 1 day"), "train").when(F.expr("ts >= cut"), "test").otherwise("purged")
-    return e.crossJoin(cut).select("event_id", part.alias("part"))
+    return ranked(first, ["first", "user_id"], total="n").select("user_id", F.floor(4 * (F.col("k") - 1) / F.col("n")).cast("int").alias("fold"))
 
 
 @query("""
@@ -194,15 +182,18 @@ def w33_pivot_sides(spark, sf):
 
 
 @query("""
-SELECT user_id, avg(value) FILTER (k <= 10) AS last10, avg(value) FILTER (k <= 20) AS last20, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS week
+SELECT user_id, avg(value) FILTER (k <= 10) AS last10, avg(value) FILTER (k <= 20) AS last20, count(*) FILTER (ts >= TIMESTAMP '2024-01-24') AS n_7, count(*) FILTER (ts >= TIMESTAMP '2024-01-01') AS n_30,
+  count(*) FILTER (ts >= TIMESTAMP '2023-11-02') AS n_90, count(*) FILTER (ts >= TIMESTAMP '2023-01-31') AS n_365
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE ts <= TIMESTAMP '2024-01-31') GROUP BY 1
 """)
 def w34_recent_form(spark, sf):
-    """Means of the last 10 and 20 rows and a count of the last week as of a time."""
+    """Means of the last 10 and 20 rows and counts of the last 7, 30, 90 and 365 days as of a time."""
     k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
-    rows = table(spark, sf, "events").where("ts <= timestamp_ntz '2024-01-31'").withColumn("k", k)
+    now = "timestamp_ntz '2024-01-31'"
+    rows = table(spark, sf, "events").where(f"ts <= {now}").withColumn("k", k)
     last = lambda n: F.avg(F.when(F.col("k") <= n, F.col("value")))
-    return rows.groupBy("user_id").agg(last(10).alias("last10"), last(20).alias("last20"), F.count_if(F.expr("ts >= timestamp_ntz '2024-01-24'")).alias("week"))
+    days = [F.count_if(F.expr(f"ts >= {now} - interval {n} days")).alias(f"n_{n}") for n in (7, 30, 90, 365)]
+    return rows.groupBy("user_id").agg(last(10).alias("last10"), last(20).alias("last20"), *days)
 
 
 @query("""

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators.ranking import ranked
 from ..operators.series import by_time
 from ..sources.tables import table
 from .registry import query
 
 
 def _ranked(rows, key: str, time: str):
-    """Keys with k, their place by first time (from 0), and n, their number; one row a key is ranked."""
+    """Keys with k, their place by first time (from 0), and n, their number."""
     first = rows.groupBy(key).agg(F.min(time).alias("first"))
-    return first.select(key, (F.row_number().over(Window.orderBy("first", key)) - 1).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
+    return ranked(first, ["first", key], total="n").select(key, (F.col("k") - 1).alias("k"), "n")
 
 
 @query("""
@@ -29,18 +30,6 @@ def w27_walk_forward_folds(spark, sf):
     return rows.select("o_custkey", "fold", part.alias("part")).where("part is not null")
 
 
-@query("""
-WITH c AS (SELECT min(ts) AS a, max(ts) AS z FROM events), u AS (SELECT user_id, min(ts) AS s, max(ts) AS t FROM events GROUP BY 1)
-SELECT event_id, CASE WHEN ts < a + (z - a) * 0.6 THEN 'train' WHEN ts < a + (z - a) * 0.8 THEN 'valid' ELSE 'test' END AS part FROM events, c
-""")
-def w30_time_fraction_cut(spark, sf):
-    """Cuts at fractions of the time covered; the two ends are one row."""
-    e = table(spark, sf, "events").select("event_id", "ts")
-    span = F.broadcast(e.agg(F.min("ts").alias("a"), F.max("ts").alias("z")))
-    part = F.expr("case when ts < a + (z - a) * 0.6 then 'train' when ts < a + (z - a) * 0.8 then 'valid' else 'test' end")
-    return e.crossJoin(span).select("event_id", part.alias("part"))
-
-
 @query("""
 WITH m AS (SELECT o_custkey, max(o_orderdate) AS newest FROM orders GROUP BY 1),
 k AS (SELECT o_custkey, row_number() OVER (ORDER BY newest DESC, o_custkey) AS k FROM m WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))
@@ -50,8 +39,7 @@ def w31_newest_whole_windows(spark, sf):
     """Newest entities first into windows of fixed size, without the blocked ones."""
     blocked = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
     newest = table(spark, sf, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("newest")).join(blocked, "o_custkey", "left_anti")
-    k = F.row_number().over(Window.orderBy(F.desc("newest"), "o_custkey"))
-    return newest.withColumn("k", k).select("o_custkey", F.expr("case when k <= 20 then 'holdout' when k <= 60 then 'search' else 'older' end").alias("part"))
+    return ranked(newest, [F.desc("newest"), "o_custkey"]).select("o_custkey", F.expr("case when k <= 20 then 'holdout' when k <= 60 then 'search' else 'older' end").alias("part"))
 
 
 @query("""

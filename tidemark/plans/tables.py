@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import latest_per_key
+from ..operators.ranking import ranked
 from ..sources.tables import table
 from .registry import query
 
@@ -107,10 +108,10 @@ def q29_outer_join_counts(spark, sf):
 
 @query("SELECT user_id, last_buy, row_number() OVER (ORDER BY last_buy DESC NULLS LAST, user_id) AS place FROM (SELECT user_id, max(ts) FILTER (event_type = 'purchase' AND value > 480) AS last_buy FROM events GROUP BY 1)")
 def q32_nulls_last(spark, sf):
-    """Newest first, keys without a time at the end; one row a key is ranked."""
+    """Newest first, keys without a time at the end."""
     last = F.max(F.when((F.col("event_type") == "purchase") & (F.col("value") > 480), F.col("ts")))
     rows = table(spark, sf, "events").groupBy("user_id").agg(last.alias("last_buy"))
-    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.col("last_buy").desc_nulls_last(), "user_id")).cast("long"))
+    return ranked(rows, [F.col("last_buy").desc_nulls_last(), "user_id"], "place")
 
 
 @query("SELECT coalesce(sum(o_totalprice), 0) AS total, count(*) AS n FROM orders WHERE o_orderstatus = 'none'")
