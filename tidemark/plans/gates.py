@@ -46,15 +46,6 @@ def fil10_execution_chain(spark, sf):
     return rows.select("event_id", reason.alias("reason"))
 
 
-@query("""
-SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice < 50000 THEN 'SMALL' END, CASE WHEN o_orderstatus <> 'F' THEN 'OPEN' END, CASE WHEN o_orderpriority LIKE '5%' THEN 'LOW' END], lambda x: x IS NOT NULL), ',') AS failed FROM orders
-""")
-def fil11_all_checks(spark, sf):
-    """Every failing check of each order, in order."""
-    failed = P.all_reasons(("SMALL", F.col("o_totalprice") < 50000), ("OPEN", F.col("o_orderstatus") != "F"), ("LOW", F.col("o_orderpriority").like("5%")))
-    return table(spark, sf, "orders").select("o_orderkey", F.array_join(failed, ",").alias("failed"))
-
-
 @query("""
 WITH a AS (SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events),
 ok(p, n) AS (VALUES ('signup', 'view'), ('view', 'click'), ('click', 'purchase'), ('purchase', 'view'), ('view', 'error'), ('click', 'error'))
