@@ -7,7 +7,7 @@ from tidemark.sources.tables import table
 
 
 def test_windows_equal_the_closed_batch_windows(spark, sf):
-    got = {(r.start, r.event_type): (r.n, round(r["mean"], 6)) for r in QUERIES["st1_stream_windows"](spark, sf).collect()}
+    got = {(r.start, r.event_type): (r.n, round(r["mean"], 6)) for r in QUERIES["stream_windows"](spark, sf).collect()}
     w = F.window(F.col("ts").cast("timestamp"), "1 day")
     want = {(r.start, r.event_type): (r.n, round(r["mean"], 6)) for r in table(spark, sf, "events").groupBy(w, "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean")).select(F.col("window.start").alias("start"), "event_type", "n", "mean").collect()}
     assert got and all(want[k] == v for k, v in got.items())
@@ -15,10 +15,20 @@ def test_windows_equal_the_closed_batch_windows(spark, sf):
 
 
 def test_deduplication(spark, sf):
-    got = QUERIES["st2_stream_dedup"](spark, sf)
+    got = QUERIES["stream_dedup"](spark, sf)
     assert got.count() == got.select("event_id").distinct().count() == table(spark, sf, "events").count()
 
 
 def test_confirmation_equals_the_window_form(spark, sf):
-    got = {tuple(r) for r in QUERIES["st3_stream_confirmation"](spark, sf).select("user_id", "event_id", "event_type").collect()}
+    got = {tuple(r) for r in QUERIES["stream_confirmation"](spark, sf).select("user_id", "event_id", "event_type").collect()}
     assert got == {tuple(r) for r in QUERIES["w14_confirmation"](spark, sf).collect()}
+
+
+def test_cache_equals_a_loop(spark, sf):
+    stored, want = {}, {}
+    for r in sorted(table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts").collect(), key=lambda r: (r.ts, r.event_id)):
+        key = (r.user_id, r.event_type)
+        want[r.event_id] = key in stored and (r.ts - stored[key]).total_seconds() <= 6 * 3600
+        if not want[r.event_id]:
+            stored[key] = r.ts
+    assert {r.event_id: r.hit for r in QUERIES["st11_cached_states"](spark, sf).collect()} == want and 0 < sum(want.values()) < len(want)

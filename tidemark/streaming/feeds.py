@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.registry import query
+from ..plans.registry import ORACLES, query
+from ..sources.shared import new_path
 from ..sources.tables import table
 
 
@@ -21,11 +22,26 @@ def stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def run_once(rows: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over what is there and return the rows that were emitted."""
-    q = rows.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def run_once(rows: DataFrame, name: str) -> DataFrame:
+    """Run over what is there and return the rows that were emitted.
+
+    They are written as Parquet in the shared folder, beside the checkpoint of the stream.
+    """
+    path = new_path(rows.sparkSession, name)
+    q = rows.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/rows")
+
+
+def run_batches(rows: DataFrame, name: str, write: Callable[[DataFrame, str], None], mode: str = "append") -> str:
+    """Run over what is there; ``write`` gets each batch and a folder of its own, and must overwrite.
+
+    A batch that is done again after a failure replaces what it wrote before. Returns the folder of all batches.
+    """
+    path = new_path(rows.sparkSession, name)
+    q = rows.writeStream.foreachBatch(lambda batch, i: write(batch, f"{path}/batches/batch={i}")).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return rows.sparkSession.table(name)
+    return f"{path}/batches"
 
 
 def windowed(rows: DataFrame, late: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -39,38 +55,190 @@ def deduplicated(rows: DataFrame, key: str = "event_id", late: str = "1 day") ->
     return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def confirmed(rows: DataFrame, required: int) -> DataFrame:
+def confirmed(rows: DataFrame, required: int, late: str = "1 day", keep_days: int = 30) -> DataFrame:
     """user_id, event_type, event_id at which a type has come ``required`` times in a row, once a user.
 
-    State is the current side, its run and whether it was emitted: a fixed size a key.
+    State is the current side, its run and whether it was emitted: a fixed size a key. It is dropped
+    once the watermark has passed a user's last row by ``keep_days``.
     """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         side, run, done = state.get if state.exists else ("", 0, False)
-        out = []
-        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+        out, all_rows = [], pd.concat(frames).sort_values(["ts", "event_id"])
+        for r in all_rows.itertuples():
             run = run + 1 if r.event_type == side else 1
             side = r.event_type
             if run == required and not done:
                 out.append((key[0], side, r.event_id))
                 done = True
         state.update((side, run, done))
+        last = int(all_rows.ts.max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + keep_days * 86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "event_type", "event_id"])
 
-    return rows.groupBy("user_id").applyInPandasWithState(step, "user_id long, event_type string, event_id long", "side string, run int, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(
+        step, "user_id long, event_type string, event_id long", "side string, run int, done boolean", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
-@query()
-def st1_stream_windows(spark, sf):
-    return run_once(windowed(stream(spark, sf, "events")), "st1_windows")
+def cached(rows: DataFrame, ttl_seconds: int, late: str = "1 day") -> DataFrame:
+    """event_id, hit: whether the row's key was stored no longer than ``ttl_seconds`` ago.
+
+    A miss stores the key at its time; a hit does not renew it. State is that one time, dropped once the
+    watermark has passed it.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        stored = state.get[0] if state.exists else None
+        out = []
+        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
+            at = r.ts.value // 1000
+            hit = stored is not None and at - stored <= ttl_seconds * 1_000_000
+            if not hit:
+                stored = at
+            out.append((r.event_id, hit))
+        state.update((stored,))
+        state.setTimeoutTimestamp(max(stored // 1000, state.getCurrentWatermarkMs()) + ttl_seconds * 1000 + 1)
+        yield pd.DataFrame(out, columns=["event_id", "hit"])
+
+    keyed = rows.withColumn("state_hash", F.sha2(F.concat_ws("|", "user_id", "event_type"), 256)).withWatermark("ts", late)
+    return keyed.groupBy("state_hash").applyInPandasWithState(step, "event_id long, hit boolean", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def changed(rows: DataFrame, late: str = "1 day", keep_days: int = 30) -> DataFrame:
+    """The rows of a key whose signature is not that of its row before; state is the last signature."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        all_rows = pd.concat(frames).sort_values(["ts", "event_id"])
+        before = [state.get[0] if state.exists else None, *all_rows.event_type[:-1]]
+        state.update((all_rows.event_type.iloc[-1],))
+        state.setTimeoutTimestamp(max(int(all_rows.ts.max().timestamp() * 1000), state.getCurrentWatermarkMs()) + keep_days * 86_400_000)
+        yield all_rows[[x != y for x, y in zip(all_rows.event_type, before, strict=True)]][["event_id"]]
+
+    return rows.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "event_id long", "signature string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 @query()
-def st2_stream_dedup(spark, sf):
+def stream_windows(spark, sf):
+    """Tumbling windows that the watermark has closed."""
+    return run_once(windowed(stream(spark, sf, "events")), "windows")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def stream_dedup(spark, sf):
+    """Every event once, from a stream that brings each twice."""
     e = stream(spark, sf, "events")
-    return run_once(deduplicated(e.union(e)).select("event_id", "user_id", "value"), "st2_dedup")
+    return run_once(deduplicated(e.union(e)).select("event_id", "user_id", "value"), "dedup")
+
+
+@query(ORACLES["w14_confirmation"])
+def stream_confirmation(spark, sf):
+    """The stateful form of ``w14_confirmation``."""
+    return run_once(confirmed(stream(spark, sf, "events"), 3), "confirmed")
+
+
+@query("SELECT event_id, user_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def st1_capped_log(spark, sf):
+    """A log to which a stream appends, read back capped to its newest thousand entries."""
+    log = run_once(stream(spark, sf, "events").select("event_id", "user_id", "event_type", "ts"), "log")
+    return log.orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).drop("ts")
+
+
+@query("""
+SELECT event_id, event_type AS kind, 1 AS version, CASE WHEN k % 7 > 0 THEN k END AS k, CASE WHEN k % 7 = 0 THEN '{"k": ' || k END AS raw FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)
+""")
+def st2_envelopes(spark, sf):
+    """Flat maps of strings read to typed envelopes; a payload that does not parse is kept as it came."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    payload = F.when(k % 7 == 0, F.concat(F.lit('{"k": '), k.cast("string"))).otherwise(F.col("props"))
+    flat = F.create_map(F.lit("id"), F.col("event_id").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("payload"), payload)
+    m = stream(spark, sf, "events").select(flat.alias("m"))
+    j = F.from_json(F.col("m")["payload"], "k int, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = m.select(F.col("m")["id"].cast("long").alias("event_id"), F.col("m")["kind"].alias("kind"), F.coalesce(F.try_element_at("m", F.lit("version")).cast("int"), F.lit(1)).alias("version"), j.alias("j"))
+    return run_once(rows.select("event_id", "kind", "version", F.when(F.col("j._bad").isNull(), F.col("j.k")).alias("k"), F.col("j._bad").alias("raw")), "envelopes")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def st3_resumed_consumer(spark, sf):
+    """A consumer that stops and starts again from its checkpoint: what came before and after is there once."""
+    e, path = table(spark, sf, "events").select("event_id", "user_id", "value"), new_path(spark, "consumer")
+    for half in (0, 1):
+        e.where(f"event_id % 2 = {half}").write.mode("append").parquet(f"{path}/in")
+        q = spark.readStream.schema(e.schema).parquet(f"{path}/in").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint")
+        q.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(e.schema).parquet(f"{path}/out")
+
+
+#: Tries of a message before it goes to the dead letters.
+RETRIES = 3
+
+
+def handled(rows: DataFrame, needed: str, path: str) -> None:
+    """Write the rows of a batch to ``done`` with their tries, or to ``dead`` with what went wrong after RETRIES.
+
+    ``needed``: SQL for how many tries the handler takes to succeed (null: it never does).
+    """
+    rows = rows.withColumn("tries", F.expr(needed)).withColumn("tries", F.when(F.col("tries") <= RETRIES, F.col("tries")))
+    rows.where("tries is not null").select("event_id", "tries").write.mode("overwrite").parquet(f"{path}/kind=done")
+    dead = rows.where("tries is null").select("event_id", F.lit(RETRIES).alias("tries"), F.concat(F.lit("failed: "), "event_type").alias("error"), F.sha2(F.col("event_id").cast("string"), 256).alias("message_id"))
+    dead.write.mode("overwrite").parquet(f"{path}/kind=dead")
+
+
+_NEEDED = "case when value > 480 then null when value > 450 then 4 when value > 400 then 3 when value > 350 then 2 else 1 end"
+_TRIES = "CASE WHEN value > 450 THEN NULL WHEN value > 400 THEN 3 WHEN value > 350 THEN 2 ELSE 1 END"
+_LETTERS = "event_id long, tries int, error string, message_id string, kind string"
+
+
+def _consumed(spark, sf) -> DataFrame:
+    e = stream(spark, sf, "events")
+    path = run_batches(deduplicated(e.union(e)), "messages", lambda batch, folder: handled(batch, _NEEDED, folder))
+    return spark.read.schema(_LETTERS).option("basePath", path).parquet(f"{path}/batch=*/")
+
+
+@query(f"SELECT event_id, coalesce({_TRIES}, 3) AS tries, ({_TRIES}) IS NULL AS dead FROM events")
+def st4_retried_messages(spark, sf):
+    """Messages handled once each by their idempotency key, tried three times at most, the rest dead letters."""
+    return _consumed(spark, sf).select("event_id", "tries", (F.col("kind") == "dead").alias("dead"))
+
+
+@query(f"SELECT event_id, 'failed: ' || event_type AS error, sha256(CAST(event_id AS VARCHAR)) AS message_id FROM events WHERE ({_TRIES}) IS NULL")
+def st5_dead_letters(spark, sf):
+    """The dead letters with their error and the id of the message they came from."""
+    return _consumed(spark, sf).where("kind = 'dead'").select("event_id", "error", "message_id")
+
+
+@query("""
+WITH l AS (SELECT user_id, max(ts) AS seen, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)
+SELECT user_id, state, CASE WHEN seen < now - INTERVAL 6 HOUR THEN 'interrupted' ELSE 'live' END AS status FROM l, n
+""")
+def st6_upserted_state(spark, sf):
+    """The current state of each key, upserted by batches; keys that were not seen for six hours are interrupted."""
+    last = F.max(F.struct("ts", "event_id", "event_type")).alias("s")
+    rows = stream(spark, sf, "events").groupBy("user_id").agg(last).select("user_id", "s.*")
+    path = run_batches(rows, "state", lambda batch, folder: batch.write.mode("overwrite").parquet(folder), "update")
+    state = spark.read.schema("user_id long, ts timestamp, event_id long, event_type string").parquet(f"{path}/batch=*/")
+    state = state.groupBy("user_id").agg(last).select("user_id", "s.*")  # the newest of a key's batches
+    now = F.broadcast(state.agg(F.max("ts").alias("now")))
+    status = F.expr("if(ts < now - interval 6 hours, 'interrupted', 'live')")
+    return state.crossJoin(now).select("user_id", F.col("event_type").alias("state"), status.alias("status"))
+
+
+@query(ORACLES["w10_changes_only"])
+def st8_changed_states(spark, sf):
+    """Change detection with state: only rows that differ from the one before are stored."""
+    return run_once(changed(stream(spark, sf, "events")), "changed")
 
 
 @query()
-def st3_stream_confirmation(spark, sf):
-    return run_once(confirmed(stream(spark, sf, "events"), 3), "st3_confirmed")
+def st11_cached_states(spark, sf):
+    """Which rows a cache with a time to live of six hours would have answered."""
+    return run_once(cached(stream(spark, sf, "events"), 6 * 3600), "cached")
