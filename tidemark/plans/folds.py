@@ -94,7 +94,7 @@ def walk_forward(rows: DataFrame, time: str, key: str, splits: int = 4, purge: s
 
     A row nearer to the first time of the test part than ``purge`` is not trained on.
     """
-    r = ranked(rows, [time, key], total="_n").withColumn("_k", F.col("k") - 1).drop("k")
+    r = ranked(rows, [time, key], "_k", total="_n").withColumn("_k", F.col("_k") - 1)
     chunk = f"(_n div {splits + 1})"
     first = r.where(f"_k > 0 and _k % {chunk} = 0 and _k div {chunk} <= {splits}").select((F.expr(f"_k div {chunk}") - 1).alias("fold"), F.col(time).alias("_start"))
     r = r.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)).cast("array<bigint>"))).join(F.broadcast(first), "fold")
