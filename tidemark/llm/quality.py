@@ -110,6 +110,7 @@ def pooled(buf: np.ndarray, off: np.ndarray, table: np.ndarray) -> np.ndarray:
     bound = np.zeros((len(off) - 1, DIM))
     if len(full) and len(h) > 1:
         same = np.append(~(h[:-1] ^ h[1:]), U64(0))
+        same[wo[1:][full] - 1] = 0  # the last word of a document has no neighbour in the next one
         bound = _index_vectors(same, wo) / n
     norm = lambda x: (x * x).sum(1, keepdims=True)
     return np.hstack([index, context, bound, bound.mean(1, keepdims=True), np.sqrt(norm(index)), np.log(norm(index) + 1e-4), np.sqrt(norm(context)), np.log1p(np.diff(wo))[:, None] / 5])
