@@ -85,10 +85,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         more = min(int(counts[k] - take[k]), (left - reach) // max(int(lengths[k]), 1))
         take[k] += more
         left -= more * int(lengths[k])
-    # Bounded knapsack: bit s of ``can`` says that s words are in reach; counts in binary portions.
+    # Bounded knapsack: bit s of ``can`` says that s words are in reach; counts in binary portions. ``by`` keeps the
+    # portion by which a sum was reached first, so the way back needs one number a sum and no set of sums a portion.
     top = min(left + longest, int(((counts - take) * lengths).sum()))
     full = (1 << top + 1) - 1
-    can, steps = 1, []
+    can, portions, by = 1, [], np.full(top + 1, -1, np.int32)
     for k in np.argsort(lengths, kind="stable"):
         length, free = int(lengths[k]), int(counts[k] - take[k])
         if length == 0:
@@ -97,8 +98,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         portion = 1
         while free > 0:
             p = min(portion, free)
-            steps.append((k, p, can))
-            can |= can << p * length & full
+            new = (can << p * length & full) & ~can
+            by[np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little"))] = len(portions)
+            portions.append((k, p))
+            can |= new
             free -= p
             portion *= 2
         if can >> left & 1:
@@ -107,10 +110,10 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     over = can >> left
     over = left + (over & -over).bit_length() - 1 if over else top + left + 1
     goal = under if left - under <= over - left else over
-    for k, p, had in reversed(steps):
-        if goal and not had >> goal & 1:
-            take[k] += p
-            goal -= p * int(lengths[k])
+    while goal:  # what a portion was added to was in reach before it
+        k, p = portions[by[goal]]
+        take[k] += p
+        goal -= p * int(lengths[k])
     return take
 
 
