@@ -303,6 +303,57 @@ def test_op3_finds_planted_and_edited_items(spark):
     assert decontam.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_op3_passes_ids_and_short_items(spark, monkeypatch):
+    """Passes change nothing; ids of any type, repeated items, and items shorter than a shingle."""
+    rng = random.Random(21)
+    stem = "which of the following is the best answer to"
+    texts = [stem + " " + " ".join(f"t{rng.randrange(60)}" for _ in range(9)) for _ in range(40)] + ["seven red balloons", "Quixotic"]
+    items = [(f"i{k}", t) for k, t in enumerate(texts)] + [("again", texts[0]), (None, texts[3]), ("i0", texts[0])]
+    docs = []
+    for d in range(60):
+        words = [f"t{rng.randrange(900)}" for _ in range(60)]
+        if d % 3 == 0:
+            own = texts[d % 42].split()
+            own[-1 if len(own) > 5 else 0] = own[-1 if len(own) > 5 else 0].upper()
+            words[30:30] = own
+        docs.append((f"d{d}", " ".join(words)))
+    df = spark.createDataFrame(docs, "doc_id string, text string").withColumn("item", F.lit(1)).withColumn("similarity", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    whole = {tuple(r) for r in decontam.contaminated(df, bench).collect()}
+    monkeypatch.setattr(decontam, "ITEMS", 7)
+    assert {tuple(r) for r in decontam.contaminated(df, bench).collect()} == whole
+    found = {(r[0], r[1]) for r in whole}
+    assert all((f"d{d}", f"i{d % 42}") in found for d in range(0, 60, 3)) and {("d0", "again"), ("d42", "i0")} <= found and any(i is None for _, i in found)
+
+
+def test_op3_against_exact_search(spark, sf):
+    """All windows of an item's length of every document against every item, with plain words and counts."""
+    import math
+    import re
+
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in t or ""))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))]
+    items = {r.item_id: words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    own = {i: Counter(grams(w)) for i, w in items.items()}
+    df = Counter(g for c in own.values() for g in c)
+    weight = lambda g: math.log(1 + len(items) / max(df[g], 1)) if g in df else math.log(1 + len(items))
+    at = {}
+    for i, c in own.items():
+        for g in c:
+            at.setdefault(g, set()).add(i)
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        g = grams(words(r.text))
+        for i in {i for x in g for i in at.get(x, ())}:
+            n = max(min(len(items[i]), len(words(r.text))) - 4, 1)
+            for s in range(len(g) - n + 1):
+                bag = Counter(g[s : s + n])
+                if sum(weight(x) * min(bag[x], own[i][x]) for x in bag) >= 0.8 * sum(weight(x) * max(bag[x], own[i][x]) for x in bag | own[i]):
+                    want.add((r.doc_id, i))
+                    break
+    assert {(r.doc_id, r.item_id) for r in entry.op3_benchmark_decontamination(spark, sf).collect()} == want and want
+
+
 def test_op3_multi_index_is_exact():
     rng = random.Random(4)
     texts = [" ".join(f"t{rng.randrange(99)}" for _ in range(30)) for _ in range(50)]
@@ -327,6 +378,21 @@ def test_op4_fit_against_brute_force():
         assert abs(int((take * lengths).sum()) - budget) == min(abs(s - budget) for s in sums)
 
 
+def test_op4_long_texts_in_little_memory():
+    import tracemalloc
+
+    lengths = np.array([1, 2, 5, 17, 300_001, 1_000_003])
+    counts = np.array([3, 2, 2, 3, 4, 5])
+    tracemalloc.start()
+    take = mixing.fit(lengths, counts, 1_900_500)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    sums = {0}
+    for n, c in zip(lengths.tolist(), counts.tolist(), strict=True):
+        sums = {s + k * n for s in sums for k in range(c + 1)}
+    assert (take <= counts).all() and abs(int((take * lengths).sum()) - 1_900_500) == min(abs(s - 1_900_500) for s in sums)
+
+
 def test_op4_mix(spark, sf, monkeypatch):
     monkeypatch.setattr(mixing, "RANKED", 2)
     monkeypatch.setattr(mixing, "BUDGET", 64)
@@ -373,6 +439,33 @@ def test_op5_held_out_accuracy(spark):
     assert np.mean([truth[r.doc_id] == r.lang_pred for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_op5_scores_against_plain_features():
+    """Subwords, mean and softmax of a document in plain loops give the model's probabilities."""
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("abcdeéß ") for _ in range(rng.randrange(1, 9))) for _ in range(30)) for _ in range(20)]
+    model = langid.train(texts, ["en" if i % 2 else "fr" for i in range(20)])
+
+    def plain(text):
+        cls = [b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in text.encode()]
+        rows = []
+        for n in (2, 3, 4):
+            for i in range(len(cls) - n + 1):
+                part = cls[i : i + n]
+                if all(part[1:-1]) and (n > 2 or any(part)):
+                    code = 0
+                    for c in part:
+                        code = (code * 256 + c) % 2**32
+                    rows.append(((code + n * 0x01000193) % 2**32 * 2654435761 % 2**32) >> (32 - langid.BITS))
+        z = (np.mean([model.table[r].astype(float) for r in rows], axis=0) if rows else 0) + model.bias
+        z = np.exp(z / model.temperature)
+        return z / z.sum()
+
+    for text in [*texts, "a", "éé ß", "ab"]:
+        raw = text.encode()
+        got = model.scores(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        assert got == pytest.approx(plain(text), abs=1e-4)
+
+
 def test_op5_odd_documents(spark):
     got = {r.doc_id: r for r in langid.fit_identify(odd_documents(spark), "true").collect()}
     assert all(got[d].lang_pred == "und" and got[d].score == 0 for d in (3, 4, 5, 8)) and got[7].lang_pred in ("en", "fr", "xx")
@@ -608,6 +701,36 @@ def test_op9_round_trip(spark, tmp_path):
     assert token_io.read_tokens(spark, path + "0").count() == 0
 
 
+def test_op10_scores_against_plain_features():
+    """Words, pooled vectors and both layers of the network in plain loops give the same probability."""
+    rng, bits = np.random.default_rng(3), lambda h: [1 if h >> b & 1 else -1 for b in range(quality.DIM)]
+    table = rng.normal(0, 1, (quality.ROWS, quality.DIM)).astype(np.float32)
+    net = quality.train(rng.normal(0, 1, (60, 3 * quality.DIM + 5)), rng.integers(0, 2, 60).astype(float), epochs=3)
+    for text in ["One two, three THREE three.", "x", "aaa aaa aaa", "", "12 éa Über--straße a1b2"]:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        h, wo = quality.tokens(raw, np.array([0, len(raw)]))
+        h, n = [int(x) for x in h], max(len(h), 1)
+        index = sum((np.array(bits(x)) for x in h), np.zeros(quality.DIM)) / n
+        context = sum((table[x >> 52].astype(float) for x in h), np.zeros(quality.DIM)) / n
+        bound = sum((np.array(bits(a)) * np.array(bits(b)) for a, b in zip(h, h[1:])), np.zeros(quality.DIM)) if len(h) > 1 else np.zeros(quality.DIM)
+        if len(h) > 1:  # the last word has no neighbour and counts as all minus
+            bound = bound - 1
+        bound = bound / n
+        x = np.concatenate([index, context, bound, [bound.mean(), np.sqrt(index @ index), np.log(index @ index + 1e-4), np.sqrt(context @ context), np.log1p(len(h)) / 5]])
+        hidden = [np.tanh(sum((x[i] - net.mean[i]) / net.scale[i] * net.w1[i, k] for i in range(len(x))) + net.b1[k]) for k in range(len(net.b1))]
+        z = (sum(a * w for a, w in zip(hidden, net.w2)) + net.b2) / net.temperature
+        assert net.probability(quality.pooled(raw, np.array([0, len(raw)]), table))[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+
+
+def test_op10_repeated_ids_give_one_result(spark):
+    rng = random.Random(1)
+    rows = [(d % 40, " ".join(f"w{rng.randrange(50)}" for _ in range(20))) for d in range(200)]
+    labels = spark.createDataFrame([(d, d % 2) for d in range(40)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(map(tuple, quality.fit_score(docs.repartition(k), labels, "true", sample=10).collect())) for k in (2, 5))
+    assert a == b and len(a) == 200
+
+
 def test_op10_held_out_quality(spark):
     sf = "/root/testdata/sf0.01"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
@@ -637,6 +760,31 @@ def test_pipeline_stages_and_whole(spark, sf):
     assert sorted(map(tuple, p.run(spark, sf).collect())) == want
 
 
+def test_near_duplicates_with_ids_of_any_type(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [("b", " ".join(words)), ("a", " ".join([*words[:-1], "x"])), ("c", "other text " * 9), ("c", " ".join(words)), (None, " ".join(words)), ("d", None), ("e", "")]
+    got = sorted(map(tuple, simhash_dedup.near_duplicate_groups(spark.createDataFrame(rows, "doc_id string, text string")).collect()), key=str)
+    assert got == sorted([("b", "a"), ("a", "a"), ("c", "c"), ("c", "a"), (None, "a"), ("d", "d"), ("e", "d")], key=str)
+
+
+def test_odd_tables_of_op6_and_op7(spark):
+    assert license_scan.scan_licenses(odd_documents(spark).limit(0)).count() == 0
+    vectors = spark.createDataFrame([(20 * i, [float(i), 1.0, *[0.5] * 3000]) for i in range(3)] + [(20, [0.25])], "vec_id long, embedding array<float>")
+    for c in (*CLASH, "v", "qb", "cb", "rank", "score", "query_id"):
+        vectors = vectors.withColumn(c, F.lit(7))
+    got = topk.top_k(topk.quantised(vectors), "vec_id % 20 = 0", 5).collect()
+    assert {r.query_id for r in got} == {0, 20, 40} and all(r.query_id != r.vec_id for r in got)
+
+
+def test_token_stage_on_odd_documents(spark, sf):
+    import corpus_pipeline as p
+
+    docs = odd_documents(spark)
+    rows = sorted(p.STAGES[4][1](spark, docs, sf).collect(), key=lambda r: r.start)
+    assert len(rows) == docs.count() and rows[0].doc_id is None and [r.start for r in rows[1:]] == list(np.cumsum([r.n_tokens for r in rows])[:-1])
+    assert {r.n_tokens for r in rows if r.doc_id in (3, 4, 5)} == {1}
+
+
 @pytest.mark.parametrize("k", range(4))
 def test_stages_on_odd_documents(spark, sf, k):
     import corpus_pipeline as p

@@ -390,8 +390,22 @@ def shingle_levels(docs: DataFrame, shingle: int, bits: int = 22) -> np.ndarray:
     return out
 
 
+def unique_shingles(column: pa.Array, shingle: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block of documents: its range, the distinct shingle hashes of each, their offsets, and a hash of each set."""
+    for i, j, h, so in doc_shingles(column, shingle):
+        doc = np.repeat(np.arange(j - i), np.diff(so))
+        order = np.lexsort((h, doc))
+        h, doc = h[order], doc[order]
+        once = np.ones(len(h), bool)
+        once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+        h, doc = h[once], doc[once]
+        at = np.searchsorted(doc, np.arange(j - i + 1))
+        total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h), dtype=U64)])
+        yield i, j, h, at, total[at[1:]] - total[at[:-1]]
+
+
 def set_signatures(docs: DataFrame, shingle: int, words: int, similarity: float) -> DataFrame:
-    """doc_id, whole (hash of the set of shingles), sig, prefix.
+    """doc_id, whole (hash of the set of shingles), fp (its SimHash), sig, prefix.
 
     sig: the set's size, then for each of 64 x ``words`` cells whether an odd number of shingles fall
     into it. Two sets differ in as many shingles at least as their parities differ in cells. prefix:
@@ -404,49 +418,45 @@ def set_signatures(docs: DataFrame, shingle: int, words: int, similarity: float)
         level = shared.value
         bits = 64 - (len(level).bit_length() - 1)
         for batch in batches:
-            whole, sig, prefix = [], [], []
-            for i, j, h, so in doc_shingles(batch.column(1), shingle):
-                doc = np.repeat(np.arange(j - i), np.diff(so))
-                order = np.lexsort((h, level[(h >> U64(bits)).astype(np.int64)], doc))
-                h, doc = h[order], doc[order]
-                once = np.ones(len(h), bool)
-                once[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc = h[once], doc[once]
-                at = np.searchsorted(doc, np.arange(j - i + 1))
+            whole, fp, sig, prefix = [], [], [], []
+            for i, j, h, at, sums in unique_shingles(batch.column(1), shingle):
                 n = np.diff(at)
-                total = np.concatenate([np.zeros(1, U64), np.cumsum(mix(h), dtype=U64)])
-                whole.append(total[at[1:]] - total[at[:-1]])
+                doc = np.repeat(np.arange(j - i), n)
+                whole.append(sums)
+                fp.append(simhash(h, at))
                 for s in range(0, j - i, 512):
                     e = min(s + 512, j - i)
                     cell = (doc[at[s] : at[e]] - s) * cells + (h[at[s] : at[e]] % U64(cells)).astype(np.int64)
                     odd = np.bincount(cell, minlength=(e - s) * cells).reshape(e - s, cells) & 1
                     odd = np.packbits(odd.astype(bool), axis=1, bitorder="little")
                     sig += [int(k).to_bytes(8, "little") + row.tobytes() for k, row in zip(n[s:e], odd, strict=True)]
+                rare = h[np.lexsort((h, level[(h >> U64(bits)).astype(np.int64)], doc))]
                 keep = np.where(n > 0, n - np.ceil(similarity * n - 1e-9).astype(np.int64) + 1, 0)
-                prefix += [h[a : a + k].view(np.int64) for a, k in zip(at[:-1], keep, strict=True)]
-            whole = np.concatenate(whole) if whole else np.empty(0, U64)
+                prefix += [rare[a : a + k].view(np.int64) for a, k in zip(at[:-1], keep, strict=True)]
+            join = lambda parts: pa.array((np.concatenate(parts) if parts else np.empty(0, U64)).view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
             flat = np.concatenate(prefix) if prefix else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(whole.view(np.int64)), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "whole", "sig", "prefix"]
+                [batch.column(0), join(whole), join(fp), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "whole", "fp", "sig", "prefix"]
             )
 
-    return fresh(docs, "doc_id", "text").mapInArrow(run, "doc_id long, whole long, sig binary, prefix array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return fresh(docs, "doc_id", "text").mapInArrow(run, f"doc_id {kind}, whole long, fp long, sig binary, prefix array<long>")
 
 
-def verified_links(docs: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those links a, b whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
-    ids = links.select(F.col("a").alias("doc_id")).union(links.select(F.col("b").alias("doc_id"))).distinct()
+def verified_links(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those links a, b of ``classes`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    ids = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
+    first = classes.join(ids, "id", "left_semi").select(F.col("first").alias("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for _, _, h, so in doc_shingles(batch.column(1), shingle):
-                out += [np.unique(h[a:b]).tobytes() for a, b in zip(so[:-1], so[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "s"])
+            for i, j, h, at, whole in unique_shingles(batch.column(0), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "s"])
 
-    have = fresh(docs, "doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(sets, "id long, s binary")
-    have = cut(have.dropDuplicates(["id"]), "sets")
+    # A doc_id may stand on several texts, so a set is told by its own hash.
+    have = fresh(docs, "doc_id", "text").join(first.distinct(), "doc_id", "left_semi").select("text").mapInArrow(sets, "id long, s binary")
+    have = cut(have.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -461,6 +471,19 @@ def verified_links(docs: DataFrame, links: DataFrame, shingle: int, similarity:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
+def fingerprint_links(classes: DataFrame, radius: int) -> DataFrame:
+    """Links a, b of classes whose SimHashes are within ``radius``, found by the generalised pigeonhole principle.
+
+    Classes of one SimHash are tied to its least, and the least of those within the radius to each other.
+    """
+    least = cut(classes.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
+    same = classes.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    near, _ = hamming_links(least, radius)
+    side = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
+    near = near.join(side("a"), "a").join(side("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    return same.union(near).distinct()
+
+
 def _blocks(member: DataFrame, classes: DataFrame, *block: str) -> DataFrame:
     """ids, ties, words of each block of a bucket that holds two members or more."""
     member = member.join(classes.select("id", "sig"), "id")
@@ -468,14 +491,24 @@ def _blocks(member: DataFrame, classes: DataFrame, *block: str) -> DataFrame:
     return lists.where("size(ids) > 1")
 
 
+def _tied(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """``member`` with tie: the component of each member by the links found so far."""
+    return member.join(roots, F.col("id") == F.col("node"), "left").withColumn("tie", F.coalesce("root", "id")).drop("node", "root")
+
+
+def _apart(tied: DataFrame) -> DataFrame:
+    """The members of the buckets that are not yet one component."""
+    keys = tied.groupBy("key").agg(F.min("tie").alias("one"), F.max("tie").alias("other")).where("one <> other").select("key")
+    return tied.join(keys, "key")
+
+
 def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
     """Blocks of large buckets in which those outside the bucket's greatest component meet all others.
 
-    ``large``: key, nb (blocks), i (own block), id. ``roots``: node, root of the links found so far.
-    Members of the greatest component are connected already, so their pairs are left out.
+    ``large``: key, nb (blocks), i (own block), id. Members of the greatest component are connected
+    already, so their pairs are left out.
     """
-    tied = large.join(roots, F.col("id") == F.col("node"), "left").select("key", "nb", "i", "id", F.coalesce("root", "id").alias("tie"))
-    tied = cut(tied, "tied")
+    tied = cut(_tied(large, roots), "tied")
     counts = tied.groupBy("key", "tie").agg(F.count("*").alias("n"))
     great = counts.groupBy("key").agg(F.max_by("tie", F.struct("n", "tie")).alias("great"), (F.sum("n") - F.max("n")).alias("others"))
     great = great.where("others > 0").withColumn("no", F.expr(f"cast(ceil(others / {half}) as bigint)"))
@@ -485,50 +518,51 @@ def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
     return side.union(every).distinct()
 
 
-def _rest_of_small(small: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members, with their ties, of the small buckets that are not yet one component."""
-    tied = small.join(roots, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("tie"))
-    tied = cut(tied, "tied_small")
-    apart = tied.groupBy("key").agg(F.min("tie").alias("one"), F.max("tie").alias("other")).where("one <> other").select("key")
-    return tied.join(apart, "key")
-
-
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 16, bucket: int = 256) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3, words: int = 16, bucket: int = 256) -> DataFrame:
     """doc_id, group_id (its smallest doc_id): links between documents of at least ``similarity``.
 
-    Texts with one set of shingles form a class. Classes of ``similarity`` share one of the rarest
-    shingles of both (``set_signatures``), whatever the size of the table; those that do form a
-    bucket. First the links that tie a bucket's members together are verified on the exact sets; then
-    every pair of a bucket that is still in two components, unless sizes or parities rule it out. So
-    the groups are the components of all pairs of ``similarity``. A bucket of more than ``bucket``
-    members is dealt into blocks, each with the same few leaders of the bucket; whoever is then outside
-    the bucket's greatest component meets all its members. A null or empty text has no shingles; all
-    such documents form one class. Rows of one doc_id share their decision.
+    Texts with one set of shingles form a class. First classes whose 64-bit SimHashes are within
+    ``radius`` are found by the generalised pigeonhole principle and verified on the exact sets. No
+    radius that can be searched holds every pair of ``similarity``, so what is still apart is searched
+    exactly: such classes share one of the rarest shingles of both (``set_signatures``), whatever the
+    size of the table, and those that do form a bucket. The links that tie a bucket's members together
+    are verified; then every pair of a bucket that is still in two components, unless sizes or parities
+    rule it out. So the groups are the components of all pairs of ``similarity``.
+
+    A bucket of more than ``bucket`` members is dealt into blocks, each with the same few leaders of the
+    bucket; whoever is then outside the bucket's greatest component meets all its members. A null or
+    empty text has no shingles; all such documents form one class. Rows without a doc_id get no group,
+    and rows of one doc_id have a row each. Ids of any type that has an order.
     """
     own = cut(set_signatures(docs, shingle, words, similarity), "sets_of_documents")
-    first = F.min_by(F.struct("sig", "prefix"), "doc_id").alias("s")
-    classes = own.groupBy("whole").agg(F.min("doc_id").alias("id"), first).where("id is not null")
-    classes = cut(classes.select("whole", "id", "s.sig", "s.prefix"), "classes_of_sets")
-    keys = classes.select("id", F.explode("prefix").alias("key"))
+    least = F.min_by(F.struct("fp", "sig", "prefix"), "doc_id").alias("s")
+    classes = own.groupBy(F.col("whole").alias("id")).agg(F.min("doc_id").alias("first"), least).where("first is not null")
+    classes = cut(classes.select("id", "first", "s.fp", "s.sig", "s.prefix"), "classes_of_sets")
+    real = classes.where("size(prefix) > 0")
+    verify = lambda links: cut(verified_links(docs, classes, links, shingle, similarity), "verified")
+    links = verify(cut(fingerprint_links(real.select("id", "fp"), radius), "links"))
+    roots = cut(components(links), "components")
+    keys = real.select("id", F.explode("prefix").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     half = max(bucket // 2, 1)
     member = keys.join(sizes, "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1L, cast(ceil(c / {half}) as bigint))"))
     member = cut(member.select("key", "c", "nb", F.expr("pmod(xxhash64(id), nb)").alias("i"), "id"), "members")
+    open_ = cut(_apart(_tied(member, roots)), "open")
     # About a quarter of a block's size: the leaders of a large bucket, members of its first block.
-    leaders = member.where("nb > 1 and i = 0 and pmod(xxhash64(id, 7), 4) = 0").select("key", F.explode(F.expr("sequence(1L, nb - 1)")).alias("i"), "id")
-    once = member.select("key", "i", "id").union(leaders).withColumn("tie", F.col("id"))
-    tried = cut(bucket_links(_blocks(once, classes, "i"), similarity).distinct(), "links")
-    links = cut(verified_links(docs, tried, shingle, similarity), "verified")
+    leaders = open_.where("nb > 1 and i = 0 and pmod(xxhash64(id, 7), 4) = 0").select("key", F.explode(F.expr("sequence(1L, nb - 1)")).alias("i"), "id", "tie")
+    tried = cut(bucket_links(_blocks(open_.select("key", "i", "id", "tie").union(leaders), classes, "i"), similarity).distinct(), "links")
+    links = links.union(verify(tried))
     roots = cut(components(links), "components")
     # The tree of a bucket of two has its only pair.
-    more = bucket_links(_blocks(_rest_of_small(member.where("nb = 1 and c > 2"), roots), classes), similarity, every=True)
-    large = member.where("nb > 1").drop("c")
+    small = cut(_tied(open_.where("nb = 1 and c > 2").select("key", "id"), roots), "tied_small")
+    more = bucket_links(_blocks(_apart(small), classes), similarity, every=True)
+    large = open_.where("nb > 1").select("key", "nb", "i", "id")
     if not large.isEmpty():
         more = more.union(bucket_links(_blocks(_rest_of_large(large, roots, half), classes, "i", "o"), similarity, every=True))
     more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"), "links")
-    links = links.union(cut(verified_links(docs, more, shingle, similarity), "verified"))
-    roots = components(links)
-    named = classes.select("whole", "id").join(roots, F.col("id") == F.col("node"), "left").select("whole", F.coalesce("root", "id").alias("group_id"))
+    roots = components(links.union(verify(more)))
+    member = classes.select("id", "first").join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    named = member.join(member.groupBy("root").agg(F.min("first").alias("group_id")), "root").select(F.col("id").alias("whole"), "group_id")
     return own.select("doc_id", "whole").join(named, "whole", "left").select("doc_id", "group_id")
 
 
