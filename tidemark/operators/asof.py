@@ -1,8 +1,8 @@
 """Backward as-of joins and other point-in-time selections.
 
-A join is one union and one window on the key: no range join, no row is multiplied. With ``slices``
-a key's history is dealt by time as well, so that one key with a third of all rows is shared by many
-tasks; what a slice starts from is carried over in a table of one row a key and slice.
+A join is one union and one window on the key: no range join, no row is multiplied. A key's history
+is dealt by slices of time as well, so that one key with a third of all rows is shared by many tasks;
+what a slice starts from is carried over in a table of one row a key and slice.
 """
 
 from __future__ import annotations
@@ -10,10 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .series import SLICE, slice_of
+
 
 def asof_backward(
     left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str],
-    tie: str | None = None, max_age: str | None = None, slices: str | None = None,
+    tie: str | None = None, max_age: str | None = None, days: int = SLICE,
 ) -> DataFrame:
     """``left`` with the ``values`` of the latest right row of its key at or before its time.
 
@@ -28,19 +30,14 @@ def asof_backward(
     kind = r.schema["_tie"].dataType
     l = left.select(F.col(key).alias("_k"), F.col(left_time).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(kind).alias("_tie"), F.lit(None).cast(r.schema["_r"].dataType).alias("_r"), *[F.col(c) for c in own])
     rows = r.union(l)
-    by = ["_k"]
-    if slices:
-        rows = rows.withColumn("_slice", F.window(F.col("_at").cast("timestamp"), slices).start)
-        by = ["_k", "_slice"]
-    past = Window.partitionBy(*by).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_m", F.last("_r", ignorenulls=True).over(past))
-    if slices:
-        ends = rows.where("_side = 0").groupBy("_k", "_slice").agg(F.max_by("_r", F.struct("_at", "_tie")).alias("_end"))
-        every = rows.select("_k", "_slice").distinct().join(ends, ["_k", "_slice"], "left")
-        earlier = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        carried = every.withColumn("_carry", F.last("_end", ignorenulls=True).over(earlier)).select("_k", "_slice", "_carry")
-        rows = rows.where("_side = 1").join(carried, ["_k", "_slice"], "left").withColumn("_m", F.coalesce("_m", "_carry"))
-    rows = rows.where("_side = 1")
+    rows = rows.withColumn("_slice", slice_of("_at", days))
+    past = Window.partitionBy("_k", "_slice").orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # The slices' ends come from the right rows alone: a slice without one hands on what it got.
+    ends = rows.groupBy("_k", "_slice").agg(F.max_by("_r", F.when(F.col("_side") == 0, F.struct("_at", "_tie"))).alias("_end"))
+    earlier = Window.partitionBy("_k").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_k", "_slice", F.last("_end", ignorenulls=True).over(earlier).alias("_carry"))
+    rows = rows.withColumn("_m", F.last("_r", ignorenulls=True).over(past)).where("_side = 1")
+    rows = rows.join(carried, ["_k", "_slice"], "left").withColumn("_m", F.coalesce("_m", "_carry"))
     if max_age:
         rows = rows.withColumn("_m", F.when(F.col("_at") - F.expr(f"interval {max_age}") <= F.col("_m._t"), F.col("_m")))
     return rows.select(*own, F.col("_m._t").alias("matched_at"), *[F.col(f"_m.{v}").alias(v) for v in values])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
 from ..operators.asof import asof_backward
+from ..operators.series import previous
 from ..sources.tables import table
 from .registry import query
 
@@ -54,8 +54,8 @@ SELECT event_id, p || '>' || event_type AS step FROM a WHERE p IS NOT NULL AND p
 def fil18_illegal_transitions(spark, sf):
     """State changes that are not in the table of legal ones; staying is legal."""
     legal = [("signup", "view"), ("view", "click"), ("click", "purchase"), ("purchase", "view"), ("view", "error"), ("click", "error")]
-    step = F.concat_ws(">", F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "event_type")
-    rows = table(spark, sf, "events").select("event_id", "event_type", step.alias("step"))
+    step = F.concat_ws(">", "_p.event_type", "event_type")
+    rows = previous(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", "event_type", step.alias("step"))
     fine = [f"{a}>{b}" for a, b in legal]
     return rows.where(F.col("step").contains(">") & ~F.col("step").isin(fine) & (F.substring_index("step", ">", 1) != F.col("event_type"))).select("event_id", "step")
 

@@ -28,7 +28,7 @@ def j1_asof_backward(spark, sf):
     """The latest purchase price at or before each error of the user."""
     left = _kind(spark, sf, "error", event_id="event_id", user_id="user_id", ts="ts")
     right = _kind(spark, sf, "purchase", user_id="user_id", at="ts", price="value", rid="event_id")
-    return asof_backward(left, right, "user_id", "ts", "at", ["price"], tie="rid", slices="5 days")
+    return asof_backward(left, right, "user_id", "ts", "at", ["price"], tie="rid")
 
 
 @query("""

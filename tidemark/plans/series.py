@@ -37,9 +37,9 @@ FROM (SELECT event_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts
 """)
 def w4_direction(spark, sf):
     """The sign of the change from the row before, with a dead band."""
-    d = F.col("value") - F.lag("value").over(S.by_time("user_id", "ts", "event_id"))
+    d = F.col("value") - F.col("_p.value")
     move = F.when(d.isNull(), "new").when(d > 0.01, "up").when(d < -0.01, "down").otherwise("flat")
-    return table(spark, sf, "events").select("event_id", move.alias("move"))
+    return S.previous(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "value").select("event_id", move.alias("move"))
 
 
 @query("""
@@ -75,8 +75,9 @@ def w14_confirmation(spark, sf):
 SELECT event_id, count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 2 DAY PRECEDING AND CURRENT ROW) AS suspended FROM events
 """)
 def w8_suspended_in_window(spark, sf):
-    w = Window.partitionBy("user_id").orderBy(S.micros("ts")).rangeBetween(-172800 * S.MICROS, 0)
-    return table(spark, sf, "events").select("event_id", F.count_if(F.col("event_type") == "error").over(w).alias("suspended"))
+    w = Window.partitionBy("user_id", "_slice").orderBy("_u").rangeBetween(-172800 * S.MICROS, 0)
+    rows = S.with_context(table(spark, sf, "events"), "user_id", "ts", 172800)
+    return rows.select("event_id", F.count_if(F.col("event_type") == "error").over(w).alias("suspended"), "_own").where("_own").drop("_own")
 
 
 @query("""
@@ -138,8 +139,7 @@ WHERE k < p
 def w20_clock_regression(spark, sf):
     """Rows whose clock is behind the last clock that was known; nulls neither count nor reset."""
     k = F.when(F.col("event_type") != "error", F.get_json_object("props", "$.k").cast("int"))
-    w = S.by_time("user_id", "ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    rows = table(spark, sf, "events").withColumn("k", k).withColumn("last_k", F.last("k", ignorenulls=True).over(w))
+    rows = S.last_known(table(spark, sf, "events").withColumn("k", k), "user_id", ["ts", "event_id"], {"last_k": F.col("k")}, current=False)
     return rows.where("k < last_k").select("event_id", "k", "last_k")
 
 
@@ -147,8 +147,8 @@ def w20_clock_regression(spark, sf):
 SELECT event_id, (epoch_us(ts) - epoch_us(p)) // 1000000 AS gap FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE epoch_us(ts) - epoch_us(p) > 86400000000
 """)
 def w21_gaps(spark, sf):
-    gap = S.micros("ts") - F.lag(S.micros("ts")).over(S.by_time("user_id", "ts", "event_id"))
-    rows = table(spark, sf, "events").select("event_id", gap.alias("gap")).where("gap > 86400000000")
+    rows = S.previous(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "ts")
+    rows = rows.select("event_id", (S.micros("ts") - S.micros("_p.ts")).alias("gap")).where("gap > 86400000000")
     return rows.select("event_id", F.floor(F.col("gap") / 1000000).alias("gap"))
 
 

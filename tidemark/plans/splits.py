@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import ranked
-from ..operators.series import by_time
+from ..operators.series import by_time, last_known, previous
 from ..sources.tables import table
 from .registry import query
 
@@ -48,9 +48,8 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUND
 """)
 def w32_price_book(spark, sf):
     """The last price of each side at every row."""
-    w = by_time("user_id", "ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    side = lambda k: F.last(F.when(F.col("event_type") == k, F.col("value")), ignorenulls=True).over(w)
-    return table(spark, sf, "events").select("event_id", side("click").alias("a"), side("view").alias("b"))
+    side = lambda k: F.when(F.col("event_type") == k, F.col("value"))
+    return last_known(table(spark, sf, "events"), "user_id", ["ts", "event_id"], {"a": side("click"), "b": side("view")}, current=True).select("event_id", "a", "b")
 
 
 @query("""
@@ -120,10 +119,9 @@ SELECT event_id, CASE WHEN p = 'view' AND s = 'click' THEN 'a' WHEN p = 'click'
 """)
 def w46_single_legal_transition(spark, sf):
     """A winner only where the step from the frame before allows exactly one."""
-    before = F.lag("event_type").over(by_time("user_id", "ts", "event_id"))
-    s = F.col("event_type")
+    before, s = F.col("_p.event_type"), F.col("event_type")
     ways = F.array_compact(F.array(F.when((before == "view") & (s == "click"), F.lit("a")), F.when((before == "click") & (s == "purchase"), F.lit("b"))))
-    return table(spark, sf, "events").select("event_id", F.when(F.size(ways) == 1, F.element_at(ways, 1)).alias("winner"))
+    return previous(table(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("event_id", F.when(F.size(ways) == 1, F.element_at(ways, 1)).alias("winner"))
 
 
 @query("""
