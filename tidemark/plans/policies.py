@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
+from ..operators import metrics as M
 from ..sources.tables import table
 from .registry import query
 
@@ -411,3 +412,24 @@ def st23_definitive(spark, sf):
         (k % 7 == 0).alias("retired"), (k % 11 == 0).alias("walkover"), pick(["2:1 (6-4)", "1:0", "0:0", "", "0-2 (4-6)", "1:1"], 6).alias("score"),
     )
     return rows.where(definitive(F.col("status"), F.col("winner"), F.col("retired"), F.col("walkover"), F.col("score"))).select("event_id")
+
+
+@query(f"""
+WITH o AS (SELECT event_id, odds, p, least(0.99, p * 0.9 + 0.05) AS s, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS y FROM ({_E})),
+d AS (SELECT CAST(least(floor(p * 10), 9) AS INTEGER) AS bin, count(*) AS a FROM o GROUP BY 1), e AS (SELECT CAST(least(floor(s * 10), 9) AS INTEGER) AS bin, count(*) AS b FROM o GROUP BY 1), t AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM o),
+q AS (SELECT sum((pb - pa) * ln(pb / pa)) AS psi FROM (SELECT greatest(coalesce(a, 0) / n, 1e-4) AS pa, greatest(coalesce(b, 0) / n, 1e-4) AS pb FROM range(10) r(i) CROSS JOIN t LEFT JOIN d ON d.bin = i LEFT JOIN e ON e.bin = i)),
+b AS (SELECT count(*) AS n, avg(abs(s - p)) AS mean_difference, avg((s - y) * (s - y)) - avg((p - y) * (p - y)) AS brier_delta, count(*) FILTER (s * odds - 1 >= 0.02) AS bets,
+  sum(CASE WHEN y = 1 THEN odds - 1 ELSE -1 END) FILTER (s * odds - 1 >= 0.02) / count(*) FILTER (s * odds - 1 >= 0.02) AS roi FROM o)
+SELECT n, psi, mean_difference, brier_delta, bets, roi, n >= 100 AND psi <= 0.25 AND roi >= 0 AND brier_delta <= 0.02 AS promoted FROM b, q
+""")
+def ag17_shadow_report(spark, sf):
+    """Drift, paired difference, calibration, counterfactual return and the verdict on a shadow model."""
+    p, s, y, odds = F.col("p"), F.col("s"), F.col("y"), F.col("odds")
+    o = offers(spark, sf).select("odds", "p", F.least(F.lit(0.99), F.col("p") * 0.9 + 0.05).alias("s"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0).alias("y"))
+    both = o.select(F.explode(F.array(F.struct(p.alias("p"), F.lit(False).alias("current")), F.struct(s.alias("p"), F.lit(True).alias("current")))).alias("x")).select("x.*")
+    bet = s * odds - 1 >= 0.02
+    b = o.agg(
+        F.count("*").alias("n"), F.avg(F.abs(s - p)).alias("mean_difference"), (F.avg((s - y) * (s - y)) - F.avg((p - y) * (p - y))).alias("brier_delta"), F.count_if(bet).alias("bets"),
+        (F.sum(F.when(bet, F.when(y == 1, odds - 1).otherwise(-1.0))) / F.count_if(bet)).alias("roi"),
+    )
+    return b.join(M.psi(both)).withColumn("promoted", F.expr("n >= 100 and psi <= 0.25 and roi >= 0 and brier_delta <= 0.02"))

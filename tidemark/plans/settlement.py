@@ -102,6 +102,29 @@ def st17_bankroll(spark, sf):
     return simulate(bets)
 
 
+#: Gate sets that are tried: least edge, and the highest price that is taken.
+GATES = [(edge, most) for edge in (0.0, 0.05, 0.1) for most in (2.0, 3.0, 6.0)]
+
+
+@query()
+def w36_gate_simulations(spark, sf):
+    """The same candidates through each of nine gate sets: bets, rejections, turnover and new beginnings.
+
+    Every account has a bank of its own in each gate set, so no task sees the whole table.
+    """
+    e = table(spark, sf, "events")
+    p = F.get_json_object("props", "$.k").cast("int") / 100.0
+    gates = F.explode(F.array(*[F.struct(F.lit(i).alias("gate"), F.lit(edge).alias("edge"), F.lit(most).alias("most")) for i, (edge, most) in enumerate(GATES)])).alias("g")
+    rows = e.select("event_id", "user_id", (F.col("event_id") % 25).alias("event"), "ts", (1 + F.col("value") / 100).alias("odds"), p.alias("p"), gates).select("*", "g.*")
+    rows = rows.where("p * odds - 1 >= edge and odds <= most")
+    bets = rows.select(
+        (F.col("user_id") * len(GATES) + F.col("gate")).alias("account"), F.col("event_id").alias("bet"), "event", F.col("ts").alias("placed"), (F.col("ts") + F.expr("interval 1 day")).alias("settles"), "odds", (F.col("event_id") % 3 == 0).alias("won")
+    )
+    done = simulate(bets)
+    by = done.groupBy("account").agg(F.count_if("accepted").alias("bets"), F.count_if(~F.col("accepted")).alias("rejected"), F.sum("stake").alias("turnover"), F.max("resets").alias("resets"))
+    return by.groupBy((F.col("account") % len(GATES)).cast("int").alias("gate")).agg(*[F.sum(c).alias(c) for c in ("bets", "rejected", "turnover", "resets")])
+
+
 @query("SELECT o_orderkey, l_linenumber, (l_linenumber = 1 AND o_orderstatus = 'F') OR l_linestatus = 'F' AS closes FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber <= 3")
 def st24_set_bets(spark, sf):
     """Set bets meet their own set's result as soon as it is there."""
