@@ -26,10 +26,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}/{name}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, instead_of: DataFrame | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here, and a lost
-    executor costs no more than the tasks it was running."""
+    executor costs no more than the tasks it was running.
+
+    ``instead_of``: a table of an earlier ``cut`` that nothing else will read; it is deleted once this one is written.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if old := getattr(instead_of, "_cut_path", None):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
