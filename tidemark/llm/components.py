@@ -13,7 +13,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step is a grouping and a join on the node, so nothing is gathered and a hub of any degree
     is split by adaptive execution. Nodes without an edge to another node are not returned. Nulls
-    link nothing. A finished step is a table, and the loop ends when a step changes nothing.
+    link nothing. A finished step is a table that replaces the one before, and the loop ends when a step
+    changes nothing.
     """
     e = cut(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -26,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", instead_of=e)
         now = _mark(e)
         if now == mark:
             break

@@ -22,9 +22,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # Arrow batches of a size that holds whatever the rows' length.
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, with Arrow batches of the session bounded in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -34,7 +35,7 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null, empty and blank texts have fingerprint zero and are linked like others; every row is
     returned, repeated rows too; texts of any length are read whole; an empty table gives no rows.
     """
-    found = simhash_dedup.simhash_components(_table(spark, sf_dir, "documents"))
+    found = simhash_dedup.simhash_components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -47,7 +48,7 @@ def pii_key(spark: SparkSession) -> bytes:
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced: doc_id, text, n_entities."""
-    return pii.replace_pii(_table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
+    return pii.replace_pii(read_table(spark, sf_dir, "documents"), pii_key(spark)).select("doc_id", "text", "n_entities")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
     Null and empty texts, and an empty table on either side, have no rows; see ``decontam.contaminated``.
     """
-    return decontam.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +64,7 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts have size 0 and are never taken; a null source is one source, the last.
     """
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +73,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     A null text, or one without a letter, is ``und`` with score 0; a null doc_id is not held out and
     teaches nothing; repeated rows are judged alike; an empty table gives no rows.
     """
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     rest = "crc32(cast(doc_id as string)) % 3"
     found = langid.fit_identify(docs, f"{rest} <> 1")
     return found.select("doc_id", F.expr(f"coalesce({rest} = 1, false)").alias("held_out"), "lang_pred", "score", "accepted")
@@ -80,17 +81,17 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels, places and score of every row; see ``license_scan.scan_licenses``."""
-    return license_scan.scan_licenses(_table(spark, sf_dir, "documents"))
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 20 best for every vector whose id is divisible by 20; see ``topk.top_k``."""
-    return topk.top_k(topk.quantised(_table(spark, sf_dir, "embeddings")), "vec_id % 20 = 0", 20)
+    return topk.top_k(topk.quantised(read_table(spark, sf_dir, "embeddings")), "vec_id % 20 = 0", 20)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, url, text, n_chars of every row; see ``html_text.main_text``."""
-    return html_text.main_text(_table(spark, sf_dir, "pages"))
+    return html_text.main_text(read_table(spark, sf_dir, "pages"))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +100,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts are the end id alone; null ids come first; repeated rows follow each other;
     an empty table gives no rows.
     """
-    docs = _table(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     path = new_path(spark, "token_ids")
     token_io.write_tokens(docs, path, tokenizer_path())
     return token_io.with_crc32(token_io.read_tokens(spark, path, docs.schema["doc_id"].dataType.simpleString()))
@@ -108,7 +109,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; see ``quality.fit_score``. A null doc_id is not held out."""
     rest = "crc32(cast(doc_id as string)) % 5"
-    found = quality.fit_score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), f"{rest} <> 0")
+    found = quality.fit_score(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), f"{rest} <> 0")
     return found.select("doc_id", F.expr(f"coalesce({rest} = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
 
 

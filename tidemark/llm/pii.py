@@ -314,7 +314,7 @@ def drawn_again(docs: DataFrame, key: bytes, rounds: int = 64) -> DataFrame:
         if again.isEmpty():
             break
         moved = _draw(again.withColumn("attempt", F.expr("attempt + 1")), key)
-        every = cut(every.join(again, ["kind", "value"], "left_anti").select("kind", "value", "attempt", "made").union(moved), "surrogates")
+        every = cut(every.join(again, ["kind", "value"], "left_anti").select("kind", "value", "attempt", "made").union(moved), "surrogates", instead_of=every)
     else:
         raise RuntimeError("surrogates still collide: a format has too few values for its entities")
     return every.where("attempt > 0").select("kind", "value", "made")
