@@ -8,18 +8,12 @@ each other in the token files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import decontam, mixing, quality, simhash_dedup, token_io
-from tidemark.llm.entry import tokenizer_path
+from tidemark.llm.entry import read_table, tokenizer_path
 from tidemark.llm.storage import cut, new_path
 
 
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the classifier rejects (score under 0.3).
 
@@ -27,7 +21,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     empty texts are scored like others, texts of any length whole. An empty table stays empty, and
     without labels all stay. Columns are handed on as they are, whatever their names.
     """
-    scores = quality.fit_score(docs, _read(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 <> 0")
+    scores = quality.fit_score(docs, read_table(spark, sf_dir, "labels"), "crc32(cast(doc_id as string)) % 5 <> 0")
     bad = scores.where("score < 0.3").select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
 
@@ -47,7 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and empty texts hold none; rows of one doc_id go together, and rows without one stay. An
     empty table stays empty, and an empty benchmark drops nothing.
     """
-    return decontam.drop_contaminated(docs, _read(spark, sf_dir, "benchmark"))
+    return decontam.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "_"))
     return STAGES[-1][1](spark, docs, sf_dir)
