@@ -47,11 +47,11 @@ def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["p"], _powers["q"]
 
 
-def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of a string column and its offsets; null counts as empty."""
+def utf8(column: pa.Array, empty: str | bytes = "") -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column (or binary, with ``empty`` as bytes) and its offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_binary())
+    column = column.fill_null(empty).cast(pa.large_binary())
     if len(column) == 0:
         return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = column.buffers()

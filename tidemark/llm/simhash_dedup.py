@@ -221,10 +221,15 @@ def _tree(words: np.ndarray, tied: np.ndarray, radius: int | np.ndarray) -> tupl
 
     ``radius`` is a number, or a matrix with one for each pair.
     """
-    n = len(words)
     near, far = _distance(words), int(np.max(radius)) + 1
     near[near > radius] = far
     near[tied[:, None] == tied[None, :]] = -1
+    # Members without a link of their own have no part in a tree.
+    able = np.flatnonzero(((near >= 0) & (near < far)).any(axis=1))
+    if len(able) == 0:
+        return able, able
+    near = near[np.ix_(able, able)]
+    n = len(able)
     reach, via = near[0].copy(), np.zeros(n, np.int64)
     out = np.zeros(n, bool)
     out[0] = True
@@ -237,7 +242,7 @@ def _tree(words: np.ndarray, tied: np.ndarray, radius: int | np.ndarray) -> tupl
         out[k] = True
         closer = near[k] < reach
         reach[closer], via[closer] = near[k][closer], k
-    return np.array(a, np.int64), np.array(b, np.int64)
+    return able[np.array(a, np.int64)], able[np.array(b, np.int64)]
 
 
 def _pairs(words: np.ndarray, tied: np.ndarray, radius: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,10 +252,18 @@ def _pairs(words: np.ndarray, tied: np.ndarray, radius: int | np.ndarray) -> tup
 
 def _reach(n: np.ndarray, similarity: float) -> np.ndarray:
     """Elements in which two sets of these sizes may differ at ``similarity``; -1 where sizes rule it out."""
-    n = n.astype(float)
-    most = np.floor((1 - similarity) / (1 + similarity) * (n[:, None] + n[None, :]) + 1e-6).astype(np.int64)
-    most[np.minimum(n[:, None], n[None, :]) < similarity * np.maximum(n[:, None], n[None, :]) - 1e-6] = -1
-    return most
+    return _row_reach(n[:, None], n[None, :], similarity)
+
+
+def _row_distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def _row_reach(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """``_reach`` for one pair a row."""
+    n, m = n.astype(float), m.astype(float)
+    most = np.floor((1 - similarity) / (1 + similarity) * (n + m) + 1e-6).astype(np.int64)
+    return np.where(np.minimum(n, m) < similarity * np.maximum(n, m) - 1e-6, -1, most)
 
 
 def bucket_links(buckets: DataFrame, similarity: float, every: bool = False) -> DataFrame:
@@ -263,18 +276,24 @@ def bucket_links(buckets: DataFrame, similarity: float, every: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for ids, ties, words in zip(*batch.columns, strict=True):
-                x = ids.values.to_numpy(zero_copy_only=False)
-                w = np.frombuffer(b"".join(words.values.to_pylist()), "<u8").reshape(len(x), -1)
-                order = np.argsort(x)
-                x, w = x[order], w[order]
-                i, j = (_pairs if every else _tree)(w[:, 1:], ties.values.to_numpy(zero_copy_only=False)[order], _reach(w[:, 0], similarity))
-                a.append(x[i])
-                b.append(x[j])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            size = np.asarray(batch.column(0).value_lengths()).astype(np.int64)
+            x, tie = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (0, 1))
+            if not len(x):
+                continue
+            raw, _ = utf8(batch.column(2).flatten(), b"")
+            w = raw.view("<u8").reshape(len(x), -1)  # signatures are of one length
+            at = np.cumsum(size) - size
+            i = at[size == 2]
+            near = _row_distance(w[i, 1:], w[i + 1, 1:]) <= _row_reach(w[i, 0], w[i + 1, 0], similarity)
+            near &= tie[i] != tie[i + 1]
+            a, b = [x[i[near]]], [x[i[near] + 1]]
+            for s, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                order = s + np.argsort(x[s : s + n])
+                i, j = (_pairs if every else _tree)(w[order, 1:], tie[order], _reach(w[order, 0], similarity))
+                a.append(x[order[i]])
+                b.append(x[order[j]])
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return buckets.select("ids", "ties", "words").mapInArrow(run, "a long, b long")
 
@@ -518,7 +537,7 @@ def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
     return side.union(every).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3, words: int = 16, bucket: int = 256) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 2, words: int = 16, bucket: int = 256) -> DataFrame:
     """doc_id, group_id (its smallest doc_id): links between documents of at least ``similarity``.
 
     Texts with one set of shingles form a class. First classes whose 64-bit SimHashes are within
