@@ -1,4 +1,4 @@
-"""Queries over the driver's tables that apply the ten operators with production parameters."""
+"""Queries over the driver's tables that apply the operators with production parameters."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html_text, langid, license_scan, mixing, pii, quality, simhash_dedup, token_io, topk
+from . import decontam, divergence, html_text, langid, lexical, license_scan, mixing, pii, quality, simhash_dedup, token_counts, token_io, topk
 from .storage import new_path
 
 #: Setting of the session that holds the key of the surrogates.
 PII_KEY = "spark.tidemark.pii.key"
+#: Setting of the session that holds the folder of the token counts' cache.
+COUNT_CACHE = "spark.tidemark.tokens.cache"
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -113,10 +115,34 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.expr(f"coalesce({rest} = 0, false)").alias("held_out"), "score", F.expr("cast(score >= 0.3 as int)").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank of every group of documents; see ``divergence.divergence``.
+
+    Null text, lang and source are empty strings; an empty table gives no rows.
+    """
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every row; see ``token_counts.count_tokens``.
+
+    The cache is the folder that the session's setting names; where none is named it is a new one in
+    the shared folder, so that a run counts all distinct texts itself.
+    """
+    place = spark.conf.get(COUNT_CACHE, None) or new_path(spark, "token_counts")
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), place)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score: the 20 best documents for every benchmark item; see ``lexical.search``."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = [
         op1_simhash_near_dedup, op2_pii_surrogates, op3_benchmark_decontamination, op4_mixing_sources, op5_language_id,
         op6_license_scan, op7_exact_top_k, op8_html_extraction, op9_token_output, op10_quality_classifier,
+        op11_source_divergence, op12_token_counts, op13_lexical_search,
     ]
     return {f.__name__: f for f in ops}
 
@@ -169,6 +195,41 @@ FROM w LEFT JOIN base USING (doc_id) LEFT JOIN lab USING (doc_id) LEFT JOIN best
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER} AS t FROM documents),
+w AS (SELECT r, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10),
+size AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+g AS (SELECT lang, source, coalesce(any_value(v), 0) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d)
+  LEFT JOIN size USING (lang) LEFT JOIN (SELECT lang, source, n FROM c) USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, kept.term, coalesce(c.n, 0) AS n, CAST(1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (g.total + 2 * g.v) AS BIGINT) AS p
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS BIGINT) AS q FROM kept JOIN size USING (lang)),
+gap AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b USING (lang, term) WHERE a.source <> b.source GROUP BY 1, 2, 3),
+pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(gap.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN gap ON gap.lang = a.lang AND gap.source = a.source AND gap.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM (FROM pairs UNION ALL FROM terms))
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+_OP13 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+i AS (SELECT row_number() OVER () AS i, item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_words FROM d WHERE len(w) > 0),
+q AS (SELECT i, item_id, term, count(*) AS times FROM (SELECT i, item_id, unnest(w) AS term FROM i) GROUP BY 1, 2, 3),
+t AS (SELECT r, doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT r, doc_id, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+f AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS weight FROM t, s GROUP BY term, n_docs),
+x AS (SELECT i, item_id, r, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_words)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN f USING (term), s GROUP BY 1, 2, 3, 4),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY i, item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The rest of the queries cannot be written in SQL; tests hold them against brute force."""
-    return {"op6_license_scan": _op6(), "op7_exact_top_k": _OP7}
+    return {"op6_license_scan": _op6(), "op7_exact_top_k": _OP7, "op11_source_divergence": _OP11, "op13_lexical_search": _OP13}
