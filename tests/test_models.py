@@ -43,7 +43,7 @@ def test_published_example():
 
 def test_period_ratings(spark):
     matches = [(1, "x", "y"), (1, "x", "y"), (1, "z", "x"), (2, "y", "z"), (2, None, "z"), (2, "z", "z"), (3, "z", "x"), (9, "x", "z")]
-    got = {r.player: r for r in glicko.rate(spark.createDataFrame(matches, "period int, winner string, loser string"), [1, 2, 3], 2).collect()}
+    got = {r.player: r for r in glicko.rate(spark.createDataFrame(matches, "period int, winner string, loser string"), [1, 2, 3]).collect()}
     state = {p: (0.0, 350 / glicko.SCALE, 0.06) for p in "xyz"}
     for period in (1, 2, 3):
         games = {p: [] for p in "xyz"}

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 #: Points of rating to a unit of mu, starting deviation and volatility, and how far volatility may move.
 SCALE, DEVIATION, VOLATILITY, TAU = 173.7178, 350.0, 0.06, 0.5
 
@@ -68,33 +70,32 @@ def update_column(mu: str, phi: str, sigma: str, information: str, surprise: str
     return F.pandas_udf(update, "struct<mu: double, phi: double, sigma: double>")(mu, phi, sigma, information, surprise)
 
 
-def rate(matches: DataFrame, periods: list, checkpoint_every: int = 10) -> DataFrame:
+def rate(matches: DataFrame, periods: list) -> DataFrame:
     """player, mu, phi, sigma, played after ``periods`` (in order) of matches (period, winner, loser).
 
-    Matches with a missing side or the same player twice do not count. A step is a join and a sum over
-    players; only the number of periods is sequential, and lineage is cut in the session's checkpoint folder.
+    Matches with a missing side or the same player twice do not count. A step is a few joins and a sum
+    over players; only the number of periods is sequential, and the states are a new table after each.
     """
     ok = matches.where("winner is not null and loser is not null and winner <> loser")
     sides = ok.select("period", F.explode(F.array(
         F.struct(F.col("winner").alias("player"), F.col("loser").alias("other"), F.lit(1.0).alias("won")),
         F.struct(F.col("loser").alias("player"), F.col("winner").alias("other"), F.lit(0.0).alias("won")),
     )).alias("s")).select("period", "s.*")
-    sides = sides.groupBy("period", "player", "other").agg(F.sum("won").alias("won"), F.count("*").alias("n"))
-    state = sides.select("player").distinct().select(
+    sides = cut(sides.groupBy("period", "player", "other").agg(F.sum("won").alias("won"), F.count("*").alias("n")), "sides")
+    state = cut(sides.select("player").distinct().select(
         "player", F.lit(0.0).alias("mu"), F.lit(DEVIATION / SCALE).alias("phi"), F.lit(VOLATILITY).alias("sigma"), F.lit(0).cast("long").alias("played")
-    )
-    for i, period in enumerate(periods):
+    ), "ratings")
+    for period in periods:
         theirs = state.select(F.col("player").alias("other"), F.col("mu").alias("omu"), damped(F.col("phi")).alias("g"))
         rows = sides.where(F.col("period") == F.lit(period)).join(theirs, "other").join(state.select("player", "mu"), "player")
         e = 1 / (1 + F.exp(-F.col("g") * (F.col("mu") - F.col("omu"))))
         got = rows.groupBy("player").agg(
             F.sum(F.col("n") * F.col("g") * F.col("g") * e * (1 - e)).alias("information"), F.sum(F.col("g") * (F.col("won") - F.col("n") * e)).alias("surprise"), F.sum("n").alias("n")
         )
-        new = state.join(got, "player").select("player", update_column("mu", "phi", "sigma", "information", "surprise").alias("u"), (F.col("played") + F.col("n")).alias("played"))
-        rest = state.join(got.select("player"), "player", "left_anti")
-        state = rest.union(new.select("player", "u.mu", "u.phi", "u.sigma", "played"))
-        if (i + 1) % checkpoint_every == 0:
-            state = state.checkpoint()
+        new = state.join(got, "player", "left")
+        u = update_column("mu", "phi", "sigma", "information", "surprise")
+        new = new.withColumn("u", F.when(F.col("n").isNull(), F.struct("mu", "phi", "sigma")).otherwise(u))
+        state = cut(new.select("player", "u.mu", "u.phi", "u.sigma", (F.col("played") + F.coalesce("n", F.lit(0))).alias("played")), "ratings", instead_of=state)
     return state
 
 

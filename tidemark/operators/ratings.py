@@ -1,6 +1,6 @@
 """Ratings in periods: all results of a period are rated with the ratings of its start.
 
-A rating that follows every single match passes one task, for any match may hang on any earlier one. With
+Ratings that follow every single match are those of ``waves``. With
 periods each step is a join and a sum over players, so a step's work is spread over the cluster and only
 the number of periods is sequential.
 """
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 START, SPREAD = 1500.0, 400.0
 
 
@@ -22,11 +24,11 @@ def expected(rating: Column, other: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), (other - rating) / SPREAD))
 
 
-def rate(matches: DataFrame, periods: list, checkpoint_every: int = 20) -> DataFrame:
+def rate(matches: DataFrame, periods: list) -> DataFrame:
     """Columns player, rating, played after ``periods`` (in order) of matches (period, winner, loser).
 
-    Matches with a missing side or the same player twice do not count. Every ``checkpoint_every`` periods the
-    ratings are written to the session's checkpoint folder, so that lineage stays short.
+    Matches with a missing side or the same player twice do not count. The ratings are a new table
+    after each period, so a plan holds one period only.
     """
     ok = matches.where("winner is not null and loser is not null and winner <> loser")
     sides = ok.select("period", F.explode(F.array(
@@ -34,19 +36,17 @@ def rate(matches: DataFrame, periods: list, checkpoint_every: int = 20) -> DataF
         F.struct(F.col("loser").alias("player"), F.col("winner").alias("other"), F.lit(0.0).alias("won")),
     )).alias("s")).select("period", "s.*")
     # One row a pair and period: the number of rows that meet the ratings does not grow with repeated pairs.
-    sides = sides.groupBy("period", "player", "other").agg(F.sum("won").alias("won"), F.count("*").alias("n"))
-    ratings = sides.select("player").distinct().select("player", F.lit(START).alias("rating"), F.lit(0).cast("long").alias("played"))
-    for i, period in enumerate(periods):
+    sides = cut(sides.groupBy("period", "player", "other").agg(F.sum("won").alias("won"), F.count("*").alias("n")), "sides")
+    ratings = cut(sides.select("player").distinct().select("player", F.lit(START).alias("rating"), F.lit(0).cast("long").alias("played")), "ratings")
+    for period in periods:
         now = sides.where(F.col("period") == F.lit(period))
         others = ratings.select(F.col("player").alias("other"), F.col("rating").alias("other_rating"))
         mine = ratings.select("player", F.col("rating").alias("own"))
         gain = F.col("won") - F.col("n") * expected(F.col("own"), F.col("other_rating"))
         moved = now.join(others, "other").join(mine, "player").groupBy("player").agg(F.sum(gain).alias("gain"), F.sum("n").alias("n"))
-        ratings = ratings.join(moved, "player", "left").select(
+        ratings = cut(ratings.join(moved, "player", "left").select(
             "player",
             (F.col("rating") + step_size(F.col("played")) * F.coalesce("gain", F.lit(0.0))).alias("rating"),
             (F.col("played") + F.coalesce("n", F.lit(0))).alias("played"),
-        )
-        if (i + 1) % checkpoint_every == 0:
-            ratings = ratings.checkpoint()
+        ), "ratings", instead_of=ratings)
     return ratings

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..operators import glicko, metrics
+from ..operators import glicko, metrics, waves
 from ..operators import models as M
 from ..sources.tables import table
 from .folds import walk_forward
@@ -77,6 +77,57 @@ def u1_records_before(spark, sf):
     return s.select("event_id", "player", n.alias("played"), w.alias("wins"), ns.alias("on_surface"), ws.alias("wins_on_surface"), nh.alias("met"), wh.alias("won_of_met"))
 
 
+def match_rows(spark, sf) -> DataFrame:
+    """Matches with surface, level and serve points of both sides; a tenth is told again three days later, some of these void or with the other winner."""
+    e = results(spark, sf).join(samples(spark, sf).select("event_id", "k", "value", "hour"), "event_id")
+    k = F.col("k").cast("int")
+    level = F.element_at(F.array(*(F.lit(x) for x, _ in waves.HISTORY.priors)), F.pmod(k, F.lit(len(waves.HISTORY.priors))) + 1)
+    points = {"winner_points": F.when(F.col("value") > 20, 40 + k), "winner_won": F.floor((40 + k) * 0.66), "loser_points": 45 + F.col("hour"), "loser_won": F.floor((45 + F.col("hour")) * 0.58)}
+    first = e.select(
+        F.col("event_id").alias("match_id"), F.col("ts").alias("available_at"), F.col("ts").alias("played_at"), "winner", "loser", "surface", level.alias("level"),
+        F.lit(True).alias("valid"), *(v.cast("double").alias(c) for c, v in points.items()),
+    )
+    again = first.where("match_id % 10 = 3").withColumn("available_at", F.expr("available_at + interval 3 days"))
+    again = again.withColumns({"winner": F.when(F.col("match_id") % 20 == 3, F.col("loser")).otherwise(F.col("winner")), "loser": F.when(F.col("match_id") % 20 == 3, F.col("winner")).otherwise(F.col("loser"))})
+    return first.union(again.withColumn("valid", F.col("match_id") % 30 != 13).select(first.columns))
+
+
+@query()
+def u1_ratings_before(spark, sf):
+    """Both sides before each match: Elo, Elo on the surface, Glicko-2, matches and wins, serve and return rates."""
+    before, _ = waves.fold_matches(waves.current_matches(match_rows(spark, sf)))
+    return before.select(
+        "match_id", "player", "won", "elo", "surface_elo", (1500 + F.col("mu") * glicko.SCALE).alias("glicko"), (F.col("phi") * glicko.SCALE).alias("deviation"), F.col("sigma").alias("volatility"),
+        "played", "wins", waves.serve_rate_column("serve_points", "serve_residual").alias("serve_rate"), waves.return_rate_column("return_points", "return_residual").alias("return_rate"),
+    )
+
+
+@query()
+def u1_profiles_as_of(spark, sf):
+    """Each player's state after the matches that were known and played by a cutoff, later corrections left out; a row for each surface too."""
+    _, after = waves.fold_matches(waves.current_matches(match_rows(spark, sf), "2024-01-20 00:00:00"))
+    whole = F.col("surface") == ""
+    return after.select(
+        "player", "surface", "elo", F.when(whole, 1500 + F.col("mu") * glicko.SCALE).alias("glicko"), F.when(whole, F.col("phi") * glicko.SCALE).alias("deviation"), F.when(whole, F.col("sigma")).alias("volatility"),
+        F.when(whole, F.col("played")).alias("played"), F.when(whole, F.col("wins")).alias("wins"), F.timestamp_micros("last").cast("timestamp_ntz").alias("last"),
+    )
+
+
+@query()
+def u3_rating_forecasts(spark, sf):
+    """The rating candidate's chance of the first side, from snapshots before each match: falling steps, first ratings by level."""
+    before, _ = waves.fold_matches(waves.current_matches(match_rows(spark, sf)), waves.HISTORY)
+    serve = F.when(F.col("serve_points") >= 20, F.col("serve_won") / F.col("serve_points")).otherwise(waves.SERVE)
+    side = lambda won, a: before.where(F.col("won") == won).select("match_id", F.struct("player", "elo", "surface_elo", (1500 + F.col("mu") * glicko.SCALE).alias("glicko"), (F.col("phi") * glicko.SCALE).alias("rd"), serve.alias("serve")).alias(a))
+    m = side(True, "a").join(side(False, "b"), "match_id")
+    gap = lambda c: F.col(f"a.{c}") - F.col(f"b.{c}")
+    mixed = 0.5 * gap("elo") + 0.3 * gap("surface_elo") + 0.2 * gap("glicko")
+    return m.select(
+        "match_id", gap("elo").alias("elo_diff"), gap("surface_elo").alias("surface_elo_diff"), gap("glicko").alias("glicko_diff"), (0.5 * (F.col("a.rd") + F.col("b.rd"))).alias("glicko_rd"),
+        gap("serve").alias("serve_rate_diff"), (1 / (1 + F.pow(F.lit(10.0), -mixed / 400))).alias("p"),
+    )
+
+
 @query()
 def u4_platt(spark, sf):
     """Chances scaled by a logistic line fitted on the rows of the first three weeks."""
