@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names as N
 from tidemark.functions import scores as S
-from tidemark.operators.linking import duplicates, near_in_time, only_candidate, span_clusters
+from tidemark.operators.linking import duplicates, near_in_time, only_candidate, roots, span_clusters
 
 
 def test_time_windows_have_inclusive_bounds(spark):
@@ -37,3 +37,27 @@ def test_names_and_scores(spark):
     rows = {r.i: r for r in texts.select("i", S.set_tally(F.col("x")).alias("t"), S.scores_agree(F.col("x"), F.coalesce("y", F.lit(""))).alias("ok"), F.size(S.winners_in_brackets(F.coalesce("y", F.lit("")))).alias("n")).collect()}
     assert rows[0].ok and rows[3].ok and not rows[1].ok and not rows[2].ok
     assert rows[1].t is None and tuple(rows[3].t) == (2, 1) and rows[1].n == 0
+
+
+def test_roots_of_any_depth(spark):
+    chain = [(k, k - 1) for k in range(1, 700)]
+    rows = [(0, None), *chain, (1000, 1001), (1001, 1002), (1002, 1000), (1003, 1000), (2000, 2000), (3000, 99999), (3001, 3000)]
+    got = {r.id: (r.depth, r.root, r.in_cycle) for r in roots(spark.createDataFrame(rows, "id long, parent long")).collect()}
+    assert all(got[k] == (k, 0, False) for k in range(700))
+    assert got[3000] == (0, 3000, False) and got[3001] == (1, 3000, False)
+    assert all(got[k] == (None, None, True) for k in (1000, 1001, 1002, 1003, 2000)) and len(got) == len(rows)
+    assert roots(spark.createDataFrame([], "id long, parent long")).count() == 0
+
+
+def test_name_tokens_and_namesakes(spark):
+    rows = [
+        ("Медведев/Shapovalov, The ATP", "", "", {"медведев", "medvedev", "медведе", "medvede", "shapovalov", "shapovalo"}, "absent"),
+        ("Мартинес Т", "Педро Мартинес: интервью", "", None, "other"), ("Мартинес Т", "Т. Мартинес — Надаль", "", None, "same"), ("Мартинес Т", "Мартинес против Мартинес", "", None, "same"),
+        ("Martinez T", "Pedro Martinez vs. Tita Martines", "", None, "both"), ("Daniil Medvedev", "anything", "https://x/Person/ivan-medvedev?x", None, "other"),
+        ("Daniil Medvedev", None, None, None, "absent"), (None, "Medvedev", "", set(), "absent"), ("Щукин", "Щукин", "", {"щукин", "shchukin", "щуки", "shchuki"}, "absent"),
+    ]
+    df = spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(rows)], "i int, n string, t string, u string")
+    got = df.select("i", N.name_tokens(F.col("n")).alias("k"), N.about(F.col("n"), F.col("t"), F.col("u")).alias("a")).collect()
+    for r in got:
+        assert rows[r.i][4] == r.a, rows[r.i]
+        assert rows[r.i][3] is None or set(r.k) == rows[r.i][3]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def near_in_time(left: DataFrame, right: DataFrame, left_time: str, right_time: str, seconds: int, on: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of equal ``on`` at most ``seconds`` apart: an equality join on time buckets, each right row in its own and both next ones."""
@@ -47,3 +49,23 @@ def duplicates(rows: DataFrame, keys: list[str], id_column: str) -> DataFrame:
 def similarity(a: Column, b: Column) -> Column:
     """One less the edit distance as a share of the longer text; 1 for two empty ones."""
     return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def roots(nodes: DataFrame) -> DataFrame:
+    """id, depth, root, in_cycle of nodes (id, parent) of any depth.
+
+    Each round doubles the way up that a node knows, so rounds grow with the logarithm of the depth.
+    A null parent, and one that is no node itself, ends the way. What does not end within the
+    logarithm of the number of nodes leads into a cycle: its depth and root are null.
+    """
+    ids = nodes.select(F.col("id").alias("_known")).distinct()
+    known = nodes.select("id", "parent").distinct().join(ids, F.col("parent") == F.col("_known"), "left")
+    way = cut(known.select("id", F.coalesce("_known", "id").alias("node"), F.col("_known").isNotNull().cast("int").alias("depth"), F.col("_known").isNull().alias("ended")), "ways")
+    rounds = max(1, way.count()).bit_length() + 1
+    for _ in range(rounds):
+        if way.where("not ended").isEmpty():
+            break
+        above = way.select(F.col("id").alias("node"), F.col("node").alias("next"), F.col("depth").alias("more"), F.col("ended").alias("there"))
+        longer = way.where("not ended").join(above, "node").select("id", F.col("next").alias("node"), (F.col("depth") + F.col("more")).alias("depth"), F.col("there").alias("ended"))
+        way = cut(way.where("ended").union(longer), "ways", instead_of=way)
+    return way.select("id", F.when(F.col("ended"), F.col("depth")).alias("depth"), F.when(F.col("ended"), F.col("node")).alias("root"), (~F.col("ended")).alias("in_cycle"))

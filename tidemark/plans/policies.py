@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import names as N
 from ..functions import prices as P
 from ..operators import metrics as M
 from ..sources.tables import table
@@ -233,17 +234,47 @@ def sc48_disagreement(spark, sf):
     return offers(spark, sf).select("event_id", models.alias("l")).select("event_id", F.when(F.size("l") < 2, 0.0).otherwise(F.array_max("l") - F.array_min("l")).alias("spread"))
 
 
-@query("""
-WITH t AS (SELECT doc_id, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(text[1:400], '[/|,]', ' ', 'g'), '[a-zA-Z]{3,}'), lambda x: lower(x)), lambda x: NOT list_contains(['the', 'and', 'atp', 'wta', 'tennis'], x))) AS w FROM documents)
-SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat(w, list_transform(list_filter(w, lambda x: len(x) >= 5), lambda x: x[1:len(x) - 1])))), ' ') AS tokens FROM t
+def _latin_sql(x: str) -> str:
+    for letter, spelled in N.LATIN.items():
+        if len(spelled) > 1:
+            x = f"replace({x}, '{letter}', '{spelled}')"
+    one = {k: v for k, v in N.LATIN.items() if len(v) == 1}
+    return f"replace(replace(translate({x}, '{''.join(one)}', '{''.join(one.values())}'), 'ъ', ''), 'ь', '')"
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(text, '[A-Za-zА-Яа-яЁё]{{3,}}'), lambda x: lower(x))) AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS w FROM t), l AS (SELECT doc_id, w, {_latin_sql('w')} AS l FROM p),
+f AS (SELECT doc_id, unnest([w, l, CASE WHEN len(w) >= 5 THEN w[1:len(w) - 1] END, CASE WHEN len(w) >= 5 AND len(l) >= 5 THEN l[1:len(l) - 1] END]) AS f FROM l),
+g AS (SELECT doc_id, string_agg(DISTINCT f, ' ' ORDER BY f) AS tokens FROM f WHERE len(f) >= 3 AND f NOT IN ('the', 'and', 'vs', 'атп', 'wta', 'atp', 'теннис', 'tennis') GROUP BY 1)
+SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN g USING (doc_id)
 """)
 def sc34_name_tokens(spark, sf):
-    """Words of three letters or more without stop words, and the longer ones without their last letter as well."""
-    words = F.transform(F.regexp_extract_all(F.regexp_replace(F.substring("text", 1, 400), "[/|,]", " "), F.lit("[a-zA-Z]{3,}"), 0), F.lower)
-    words = F.array_distinct(F.filter(words, lambda x: ~x.isin("the", "and", "atp", "wta", "tennis")))
-    rows = table(spark, sf, "documents").select("doc_id", words.alias("w"))
-    stems = F.transform(F.filter("w", lambda x: F.length(x) >= 5), lambda x: F.substring(x, F.lit(1), F.length(x) - 1))
-    return rows.select("doc_id", F.array_join(F.array_sort(F.array_union("w", stems)), " ").alias("tokens"))
+    """The name tokens of every whole text: words, their Latin spelling, and both without their last letter."""
+    return table(spark, sf, "documents").select("doc_id", F.array_join(N.name_tokens(F.col("text")), " ").alias("tokens"))
+
+
+_ABOUT = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p.p_name AS name, a.p_name || ' vs ' || b.p_name || ': preview' AS title,
+  CASE WHEN l_linenumber % 5 = 0 THEN 'https://x.org/person/' || replace(b.p_name, ' ', '-') || '?a=1' ELSE 'https://x.org/news/1' END AS url
+  FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part a ON a.p_partkey = l_suppkey JOIN part b ON b.p_partkey = l_orderkey % 97"""
+
+
+@query(f"""
+WITH t AS ({_ABOUT}), s AS (SELECT *, unnest(CASE WHEN url LIKE '%/person/%' THEN [replace(regexp_extract(url, '/person/([^/?#]+)', 1), '-', ' ')] ELSE string_split(split_part(title, ':', 1), ' vs ') END) AS side FROM t),
+n AS (SELECT *, string_split(name, ' ') AS nw, string_split(side, ' ') AS w FROM s),
+o AS (SELECT *, regexp_replace(nw[len(nw)], 'ez$', 'es') AS surname, substr(nw[1], 1, 1) AS letter, unnest(range(1, len(w) + 1)) AS i FROM n),
+h AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, bool_or(i = 1 OR regexp_replace(w[i - 1], 'ez$', 'es') = surname OR substr(w[i - 1], 1, 1) = letter) AS same,
+  bool_or(i > 1 AND regexp_replace(w[i - 1], 'ez$', 'es') <> surname AND substr(w[i - 1], 1, 1) <> letter) AS other FROM o WHERE regexp_replace(w[i], 'ez$', 'es') = surname AND len(surname) >= 4 GROUP BY 1, 2, 3, 4)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN same AND other THEN 'both' WHEN same THEN 'same' WHEN other THEN 'other' ELSE 'absent' END AS about FROM t LEFT JOIN h USING (l_orderkey, l_linenumber, l_partkey, l_suppkey)
+""")
+def sc62_namesakes(spark, sf):
+    """Whether a page's title or address means the part of this name, another of the same surname, or both."""
+    line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_name")
+    named = lambda c: part.toDF(f"{c}_key", c)
+    t = line.join(named("name"), F.col("l_partkey") == F.col("name_key")).join(named("a"), F.col("l_suppkey") == F.col("a_key")).join(named("b"), F.col("l_orderkey") % 97 == F.col("b_key"))
+    title = F.concat("a", F.lit(" vs "), "b", F.lit(": preview"))
+    url = F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("https://x.org/person/"), F.replace("b", F.lit(" "), F.lit("-")), F.lit("?a=1"))).otherwise("https://x.org/news/1")
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.about(F.col("name"), title, url).alias("about"))
 
 
 _PUBLISHED = [

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.bankroll import simulate
+from ..operators.linking import roots
 from ..sources.tables import table
 from .registry import query
 
@@ -150,17 +151,19 @@ def src2_nested_feed(spark, sf):
     return m.select("id", F.col("m.name").alias("market"), F.posexplode("m.prices").alias("selection", "price")).withColumn("selection", F.col("selection").cast("long"))
 
 
-@query("""
-WITH RECURSIVE up AS (SELECT n_nationkey AS id, n_nationkey AS node, 0 AS depth FROM nation UNION ALL SELECT id, node // 3, depth + 1 FROM up WHERE node > 0) SELECT id, CAST(max(depth) AS INTEGER) AS depth, CAST(min(node) AS INTEGER) AS root FROM up GROUP BY 1
+_PARENT = "CASE WHEN c_custkey % 40 = 0 THEN NULL WHEN c_custkey % 211 = 5 THEN c_custkey + 1 ELSE c_custkey - 1 END"
+
+
+@query(f"""
+WITH RECURSIVE n AS (SELECT c_custkey AS id, {_PARENT} AS parent FROM customer),
+up AS (SELECT id, id AS node, parent, 0 AS depth FROM n UNION ALL SELECT up.id, n.id, n.parent, depth + 1 FROM up JOIN n ON n.id = up.parent WHERE depth < 300),
+r AS (SELECT id, min(depth) AS depth, arg_min(node, depth) AS root FROM up WHERE parent IS NULL OR parent NOT IN (SELECT id FROM n) GROUP BY 1)
+SELECT id, CAST(depth AS INTEGER) AS depth, root, root IS NULL AS in_cycle FROM n LEFT JOIN r USING (id)
 """)
 def src4_root_of_tree(spark, sf):
-    """The root of each node by pointer doubling: the number of joins is the logarithm of the bounded depth."""
-    nodes = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.floor(F.col("n_nationkey") / 3).cast("int").alias("parent"))
-    up = nodes.withColumn("depth", F.when(F.col("id") == F.col("parent"), 0).otherwise(1))
-    for _ in range(3):  # depth of at most 8
-        above = up.select(F.col("id").alias("parent"), F.col("parent").alias("next"), F.col("depth").alias("more"))
-        up = up.join(above, "parent").select("id", F.col("next").alias("parent"), (F.col("depth") + F.col("more")).alias("depth"))
-    return up.select("id", "depth", F.col("parent").alias("root"))
+    """Depth and root of each node of any depth, and the nodes whose way up ends in a cycle."""
+    nodes = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.expr(_PARENT).alias("parent"))
+    return roots(nodes)
 
 
 @query("""
