@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .kernels import LOWER, blocks, distinct_spans, spans, utf8
 from .storage import cut, fresh
 
-GROUPS, CHUNK, SPAN = 64, 2048, 64
+GROUPS, CHUNK, SPAN, SALTS = 64, 2048, 64, 64
 #: Documents of a language that a term needs, terms that are reported for a group, and what a whole share is.
 LEAST, TERMS, WHOLE = 10, 10, 1_000_000_000
 _COUNT_BLOCK = 4 << 20
@@ -118,7 +118,10 @@ def divergence(docs: DataFrame, least: int = LEAST, top: int = TERMS, groups: in
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("all_n").alias("all_total"))
     nch = F.greatest(F.lit(1), F.ceil(F.col("v") / chunk))
     slot = Window.partitionBy("lang", "chunk").orderBy("term")
-    kept = cut(kept.join(sizes, "lang").withColumn("chunk", F.pmod(F.xxhash64("term"), nch)).withColumn("tslot", F.row_number().over(slot) - 1), "kept_terms")
+    # One row a language meets its terms, on SALTS keys so that a language's terms are shared out.
+    salted = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    kept = kept.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int")).join(salted, ["lang", "salt"]).drop("salt")
+    kept = cut(kept.withColumn("chunk", F.pmod(F.xxhash64("term"), nch)).withColumn("tslot", F.row_number().over(slot) - 1), "kept_terms")
     used = cut(words.join(kept, ["lang", "term"]).select("lang", "source", "term", "n", "all_n", "all_total", "v", "chunk", "tslot"), "kept_counts")
 
     own = used.groupBy("lang", "source").agg(F.sum("n").alias("total"))

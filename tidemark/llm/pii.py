@@ -35,6 +35,7 @@ _TITLES = {
     "Mr": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Dr": "n", "Prof": "n", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Mme": "f", "Señor": "m", "Señora": "f", "Sr": "m",
     "Sra": "f", "Signor": "m", "Signora": "f", "Don": "m", "Doña": "f", "господин": "m", "Господин": "m", "госпожа": "f", "Госпожа": "f",
 }
+_TITLES |= {t.upper(): g for t, g in _TITLES.items()}
 #: Words after which a capitalised name stands.
 _CONTEXT = ["name is", "Name is", "name:", "Name:", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут"]
 _NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[^\W_]"
@@ -46,12 +47,12 @@ _SYLLABLES = {"latin": [c + v for c in "bdfgklmnprstvz" for v in "aeiou"], "cyri
 _ENDS = {("latin", "f"): ["na", "lia", "ra"], ("latin", "m"): ["no", "rus", "mir"], ("latin", "n"): ["el", "is"], ("cyrillic", "f"): ["на", "ла", "ра"], ("cyrillic", "m"): ["мир", "слав", "дан"], ("cyrillic", "n"): ["ель"]}
 _TAIL = {("latin", "n"): ["son", "ley", "mann", "ert", "ini", "ard", "ez", "ton"], ("cyrillic", "m"): ["ов", "ев", "ин", "ский"], ("cyrillic", "f"): ["ова", "ева", "ина", "ская"]}
 NUMBERED = re.compile(
-    r"(?P<email>[A-Za-z0-9À-ÿ._%+\-]+@[A-Za-z0-9À-ÿ\-]+(?:\.[A-Za-z0-9À-ÿ\-]+)*\.[A-Za-z]{2,})"
+    r"(?P<email>(?<![A-Za-z0-9À-ÿ._%+\-])[A-Za-z0-9À-ÿ._%+\-]++@[A-Za-z0-9À-ÿ\-]+(?:\.[A-Za-z0-9À-ÿ\-]+)*\.[A-Za-z]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<secret>\b(?:[0-9a-f]{32,}|(?:sk|pk|ghp|AKIA)[-_]?[A-Za-z0-9]{16,})\b)"
     r"|(?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){1,7}(?::|[0-9A-Fa-f]{1,4})(?::?[0-9A-Fa-f]{1,4}){0,6}(?![\w:]))"
     r"|(?P<ip>(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d))"
-    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\w))"
+    r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ ]?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|0\d{1,4}/\d{5,9}|0\d{2,3} \d{3} \d{2} \d{2})(?!\w))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w))"
 )
@@ -64,7 +65,9 @@ NAMED = re.compile(
 _TOKEN = re.compile(_NAME)
 _POSSESSIVE = re.compile("['’]s$")
 _STARTS = {*_TITLES, *(t + "." for t in _TITLES), *_GENDER, *(c.split()[-1] for c in _CONTEXT)}
-_DIGIT_OR_AT = re.compile("[0-9@]")
+_DIGIT_OR_AT = re.compile("[0-9@]+")
+#: More than the longest mention of a kind that may hold spaces.
+_LONGEST = 64
 _SPACE = re.compile(r"\s")
 _VERSION = re.compile(r"(?i)\b(?:v|ver|version|release|build)\.?\s*$")
 
@@ -101,6 +104,29 @@ def _person(text: str, a: int, b: int, gender: str = "n") -> Iterator[Entity]:
             yield "surname", name, m.start(), m.start() + len(name)
 
 
+def _numbered_parts(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of whole words that hold a digit or an @, joined where these are at most _LONGEST apart.
+
+    Every mention that NUMBERED can find starts in one of them. They are apart from each other, so a
+    text is read once however long its words are and however dense its numbers.
+    """
+    begin = end = last = -1
+    for hit in _DIGIT_OR_AT.finditer(text):
+        at = hit.start()
+        if begin >= 0 and at > last + _LONGEST and at > end:
+            space = _SPACE.search(text, last)
+            end = space.start() if space else len(text)
+        if begin < 0 or (at > last + _LONGEST and at > end):
+            if begin >= 0:
+                yield begin, end
+            begin = max(end, text.rfind(" ", max(end, 0), at), text.rfind("\n", max(end, 0), at)) + 1
+        last = hit.end()
+        end = max(end, last)
+    if begin >= 0:
+        space = _SPACE.search(text, last)
+        yield begin, space.start() if space else len(text)
+
+
 def entities(text: str) -> Iterator[Entity]:
     """Kind, entity and span of each mention of a text, in order and apart from each other.
 
@@ -109,24 +135,14 @@ def entities(text: str) -> Iterator[Entity]:
     was found once is found again wherever it stands alone in the same text.
     """
     found: list[Entity] = []
-    done = 0
-    for hit in _DIGIT_OR_AT.finditer(text):
-        at = hit.start()
-        if at < done:
-            continue
-        begin = max(done, text.rfind(" ", 0, at) + 1, text.rfind("\n", 0, at) + 1)
-        end = at + 400
-        m = NUMBERED.search(text, begin, end)
-        while m and end < len(text) and not _SPACE.search(text, m.end(), end):  # the window may cut the match
-            end = at + 2 * (end - at)
-            m = NUMBERED.search(text, begin, end)
-        if m and m.start() <= at:
-            kind, done = m.lastgroup, m.end()
+    for begin, end in _numbered_parts(text):
+        for m in NUMBERED.finditer(text, begin, min(len(text), end + _LONGEST)):
+            if m.start() >= end:
+                break
+            kind = m.lastgroup
             if (kind == "ip6" and not _address6(m[0])) or (kind == "ip" and _VERSION.search(text, max(0, m.start() - 12), m.start())):
                 continue
             found.append((kind, canonical(kind, m[0]), m.start(), m.end()))
-        else:
-            done = at + 1
     words = set(text.split())
     if not _STARTS.isdisjoint(words) or not _STARTS.isdisjoint({w.lstrip("\"'([{<«„“‚‘-–—.,;:") for w in words if not w[0].isalnum()}):
         names: list[Entity] = []

@@ -23,7 +23,7 @@ from .storage import cut, fresh
 
 CACHE = "content binary, n_tokens long"
 #: Missing digests up to here (32 bytes each) are broadcast to pick the texts to encode; more are joined.
-FEW = 500_000
+FEW = 50_000
 #: Units of one generation of a worker's memory (two are held), and the longest that is remembered.
 REMEMBER, LONGEST = 400_000, 48
 #: White space beyond ASCII, whose runs the tokenizer takes apart otherwise than those of ASCII.
@@ -211,7 +211,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
     digest = F.unhex(F.sha2(text, 256)).alias("content")
     rows = fresh(docs, "doc_id", "text")
     keyed = cut(rows.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), digest), "digests")
-    missing = cut(keyed.select("content").distinct().join(stored().select("content"), "content", "left_anti"), "missing_digests")
+    digests = cut(keyed.select("content").distinct(), "distinct_digests")
+    missing = cut(digests.join(stored().select("content"), "content", "left_anti"), "missing_digests")
     n = missing.count()
     if n:
         texts = rows.select(digest, text.alias("text"))
@@ -222,4 +223,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache_path: str, limit: int =
         if n > FEW:
             texts = texts.join(missing, "content", "left_semi")
         encoded(texts, tokenizer).write.mode("append").parquet(place)
-    return keyed.join(stored(), "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # A table of its own, so that a digest with very many rows can be split in the join.
+    counts = cut(stored().join(digests, "content", "left_semi"), "counts")
+    return keyed.join(counts, "content").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
