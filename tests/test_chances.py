@@ -46,7 +46,7 @@ def test_match(spark):
 
 def test_ratings(spark):
     matches = [(1, "x", "y"), (1, "x", "y"), (2, "y", "z"), (2, None, "z"), (2, "z", "z"), (3, "z", "x"), (9, "x", "z")]
-    got = {r.player: (r.rating, r.played) for r in rate(spark.createDataFrame(matches, "period int, winner string, loser string"), [1, 2, 3], 2).collect()}
+    got = {r.player: (r.rating, r.played) for r in rate(spark.createDataFrame(matches, "period int, winner string, loser string"), [1, 2, 3]).collect()}
     r, n = dict.fromkeys("xyz", 1500.0), dict.fromkeys("xyz", 0)
     for period in (1, 2, 3):
         moved, played = dict.fromkeys("xyz", 0.0), dict.fromkeys("xyz", 0)

@@ -192,7 +192,7 @@ def encoder(path: str) -> Encoder:
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     """Encode every whole text (null: empty), append ``end`` and write the data set at ``path``.
 
-    Documents are dealt by ranges of doc_id and sorted within them; null ids come first. Rows of
+    Documents are dealt by ranges of doc_id and text and sorted within them, so rows of one id are shared out; null ids come first. Rows of
     one doc_id follow each other in the order of their texts' hashes.
     """
 
@@ -215,7 +215,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> No
                 place += int(so[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = fresh(docs, "doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    rows = fresh(docs, "doc_id", "text").repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows = rows.mapInArrow(run, f"doc_id {kind}, part int, place long, n_tokens long, input_ids array<int>")
     rows.write.options(**LAYOUT).parquet(f"{path}/tokens")
     spark = docs.sparkSession
