@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..operators import glicko, metrics, waves
+from ..operators import boosting, glicko, metrics, registry, waves
 from ..operators import models as M
+from ..operators.ranking import ranked
+from ..sources.shared import cut, new_path
 from ..sources.tables import table
 from .folds import walk_forward
 from .registry import query
@@ -184,3 +188,103 @@ def u7_walk_forward_test(spark, sf):
     return s.groupBy(F.col("fold").cast("int").alias("fold")).agg(
         F.count("*").alias("n"), F.count_if(F.col("stake") > 0).alias("bets"), F.sum("stake").alias("turnover"), F.sum("pnl").alias("pnl"), (F.sum("pnl") / F.sum("stake")).alias("roi")
     )
+
+
+def priced_matches(spark, sf) -> DataFrame:
+    """Quotes of whole matches in two families: three events are a match, each quote weighs a part of it, and 60, 20 and 20 in a hundred matches by time train, stop and calibrate."""
+    s = samples(spark, sf).withColumn("match_id", F.floor(F.col("event_id") / 3)).withColumn("market", F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("p"))))
+    m = s.groupBy("match_id").agg(F.max("ts").alias("known"), (F.sum("y") >= 2).cast("int").alias("y"), F.count("*").alias("n"), F.when(F.max("k") > 60, "match").otherwise("set").alias("family"))
+    m = cut(m, "priced_matches")
+    places = None
+    for family in ("match", "set"):
+        own = ranked(m.where(F.col("family") == family), ["known", "match_id"])
+        places = own if places is None else places.union(own)
+    places = places.join(F.broadcast(m.groupBy("family").agg(F.count("*").alias("all"))), "family")  # two rows
+    part = F.when(F.col("k") <= F.floor(0.6 * F.col("all")), "train").when(F.col("k") <= F.floor(0.8 * F.col("all")), "early").otherwise("calibration")
+    places = places.select("match_id", "family", "y", (1 / F.col("n")).alias("weight"), part.alias("part"))
+    return s.drop("y").join(places, "match_id").withColumn("margin", P.clipped_logit(F.col("market")))
+
+
+HEAD = boosting.Settings(rounds=8, rate=0.1, patience=3)
+
+
+@query()
+def u23_market_offset(spark, sf):
+    """Each family's head of trees on the market's logit, stopped on later matches and weighed on the last: chances of all quotes."""
+    rows = cut(priced_matches(spark, sf), "quotes")
+    out = None
+    for family in ("match", "set"):
+        own = rows.where(F.col("family") == family)
+        head, _ = boosting.fit_head(own, FEATURES, HEAD)
+        part = own.select("event_id", "family", "part", "market", head.chance().alias("p"), "y", "weight")
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query(f"""
+SELECT event_id, greatest(1e-4::DOUBLE, least(0.9999::DOUBLE, 1 / (1 + exp(-(ln(m / (1 - m)) + greatest(-0.35::DOUBLE, least(0.35::DOUBLE, (value - 250) / 300))))))) AS p
+FROM (SELECT *, greatest(1e-4::DOUBLE, least(0.9999::DOUBLE, CAST(json_extract(props, '$.k') AS INTEGER) / 100.0::DOUBLE)) AS m FROM events)
+""")
+def u21_offset_step(spark, sf):
+    """A stored prediction moves the market's logit, at most by the reach."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    return table(spark, sf, "events").select("event_id", boosting.offset(k / F.lit(100.0), (F.col("value") - 250) / 300).alias("p"))
+
+
+@query()
+def u21_residual_forecasts(spark, sf):
+    """Quotes after three weeks forecast by trees on the residual of the market and by a regression held near it."""
+    s = samples(spark, sf).withColumnRenamed("p", "market")
+    train, new = s.where("ts < timestamp_ntz '2024-01-22'"), s.where("ts >= timestamp_ntz '2024-01-22'")
+    a = M.residual_forecasts(train, new, ["value", "hour"], "market").select("event_id", "market", F.col("p").alias("p_trees"), F.col("shift").alias("shift_trees"))
+    b = M.residual_forecasts(train, new, ["value", "hour"], "market", "lr").select("event_id", F.col("p").alias("p_line"), F.col("shift").alias("shift_line"))
+    return a.join(b, "event_id")
+
+
+_VOTE = """CASE WHEN greatest(CASE WHEN a > 1 THEN p{0} * a - 1 ELSE -1 END, CASE WHEN b > 1 THEN round(1 - p{0}, 4) * b - 1 ELSE -1 END) < 0.02 THEN 'NO_EDGE'
+  WHEN o{0} < 1.2 THEN 'ODDS_TOO_SHORT' WHEN o{0} >= 6 THEN 'ODDS_TOO_LONG' WHEN c{0} < 0.55 THEN 'PROBABILITY_TOO_LOW' ELSE '' END AS r{0}"""
+_FIRST = "(CASE WHEN a > 1 THEN round(p{0} * a - 1, 4) ELSE -1 END) >= (CASE WHEN b > 1 THEN round(round(1 - p{0}, 4) * b - 1, 4) ELSE -1 END) AS f{0}"
+_LINES = (1, 2, 3)
+
+
+def _each(text: str) -> str:
+    return ", ".join(text.format(i) for i in _LINES)
+
+
+@query(f"""
+WITH e AS (SELECT event_id, 1 + value / 100 AS a, 6 - value / 100 AS b, CAST(json_extract(props, '$.k') AS INTEGER) / 100.0::DOUBLE AS p1, least(0.99, value / 500 + 0.2) AS p2, (event_id % 80 + 20) / 100.0::DOUBLE AS p3 FROM events),
+f AS (SELECT *, {_each(_FIRST)} FROM e), c AS (SELECT *, {_each("CASE WHEN f{0} THEN p{0} ELSE round(1 - p{0}, 4) END AS c{0}, CASE WHEN f{0} THEN a ELSE b END AS o{0}")} FROM f), r AS (SELECT *, {_each(_VOTE)} FROM c),
+s AS (SELECT *, {_each("CASE WHEN r{0} = '' THEN CASE WHEN f{0} THEN 'a' ELSE 'b' END END AS s{0}")} FROM r),
+n AS (SELECT *, len(list_filter([s1, s2, s3], lambda x: x = 'a')) AS na, len(list_filter([s1, s2, s3], lambda x: x = 'b')) AS nb, (round(c1, 4) + round(c2, 4) + round(c3, 4)) / 3 AS m FROM s)
+SELECT event_id, CASE WHEN na = 3 THEN 'a' WHEN nb = 3 THEN 'b' END AS side, CASE WHEN na = 3 THEN round(m, 4) WHEN nb = 3 THEN round(1 - m, 4) ELSE round((round(p1, 4) + round(p2, 4) + round(p3, 4)) / 3, 4) END AS p_a,
+  CAST(greatest(na, nb) AS INTEGER) AS agreed, r1 || ',' || r2 || ',' || r3 AS reasons FROM n
+""")
+def u24_votes(spark, sf):
+    """Three lines' stored chances voted on at two prices: a side only where all three confirm it."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    e = table(spark, sf, "events").select(
+        "event_id", (1 + F.col("value") / 100).alias("a"), (6 - F.col("value") / 100).alias("b"), (k / F.lit(100.0)).alias("p1"), F.least(F.lit(0.99), F.col("value") / 500 + 0.2).alias("p2"),
+        ((F.col("event_id") % 80 + 20) / F.lit(100.0)).alias("p3"),
+    )
+    return M.composite(e, ["p1", "p2", "p3"], "a", "b").select("event_id", "side", "p_a", "agreed", "reasons")
+
+
+def pinned_models(train: DataFrame, place: str) -> dict[str, str]:
+    """The three lines fitted, published and pinned: name to digest."""
+    spark = train.sparkSession
+    payloads = {"logistic": ("linear", M.linear_payload(train, FEATURES))}
+    head, _ = boosting.fit_head(train, FEATURES, HEAD._replace(rounds=4))
+    payloads["boosting"] = ("boosted", json.dumps({"model": json.loads(head.model.dumped()), "share": head.share}, sort_keys=True))
+    payloads["residual_network"] = ("network", M.network_payload(train, FEATURES))
+    return {name: registry.publish(spark, place, name, "1.0.0", *payload) for name, payload in payloads.items()}
+
+
+@query()
+def u24_composite(spark, sf):
+    """Three models published, pinned, read back and scored in one pass; a side only where all three confirm it."""
+    rows = cut(priced_matches(spark, sf).where("family = 'match'").withColumns({"a": F.round(0.95 / F.col("market"), 2), "b": F.round(0.95 / (1 - F.col("market")), 2)}), "quotes")
+    place = new_path(spark, "registry")
+    pins = pinned_models(rows.where("part <> 'calibration'"), place)
+    models = {name: registry.read(spark, place, name, "1.0.0", pin) for name, pin in pins.items()}
+    lines = [f"p_{n}" for n in sorted(models)]
+    return M.composite(registry.scored(rows.where("part = 'calibration'"), models, FEATURES), lines, "a", "b").select("event_id", *lines, "side", "p_a", "agreed", "reasons")
