@@ -46,6 +46,17 @@ def game_win(a: Column, b: Column, p: Column) -> Column:
     return out
 
 
+@F.pandas_udf(DoubleType())
+def game_win_at(a: pd.Series, b: pd.Series, p: pd.Series) -> pd.Series:
+    """``game_win`` on Arrow batches, for plans that already go through Python."""
+    x, y, q = a.to_numpy(int), b.to_numpy(int), p.to_numpy(float)
+    out = np.empty(len(q))
+    for i, j in {*zip(x.tolist(), y.tolist())}:
+        rows = (x == i) & (y == j)
+        out[rows] = _game(i, j, q[rows])
+    return pd.Series(out)
+
+
 def tiebreak_table(p_a: np.ndarray, p_b: np.ndarray, first_a: np.ndarray) -> np.ndarray:
     """Chance of side a at each score: [a, b, row]. ``first_a``: side a serves the point at 0-0.
 
