@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, U64, blocks, pack_bits, shingle_hashes, spans, utf8, word_hashes
@@ -24,6 +24,8 @@ from .storage import cut, fresh
 
 #: About so many distinct item texts are indexed in a pass; what is broadcast for a pass is bounded by it.
 ITEMS = 512
+#: Distinct item texts shorter than a shingle that are looked for in a pass.
+SHORT_ITEMS = 20_000
 #: Words are runs of letters, digits and non-ASCII characters.
 APART = np.ones(256, bool)
 APART[48:58] = APART[65:91] = APART[97:123] = APART[128:] = False
@@ -173,31 +175,55 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, shingle: int = 5, radius
     A window counts from ``similarity`` on. An item shorter than a shingle matches where its words
     stand consecutively; one without a word matches nothing. Shingles are weighed by all item texts
     at once, so a match does not depend on the passes in which the items are read: about ITEMS texts
-    each, over all documents in the first pass if it is the only one, else over those documents that
-    hold a shingle of any item. Items of one text share their matches, whatever their ids (null is an
-    id like any other). Null, empty and wordless texts have no rows; rows of one doc_id have one row
+    each, over all documents if one pass is enough, else over those documents that hold a shingle of
+    any item; items shorter than a shingle then have passes of their own over all documents. Items of
+    one text share their matches, whatever their ids (null is an id like any other). Null, empty and wordless texts have no rows; rows of one doc_id have one row
     an item, the best; ties go to the earlier window. Ids keep their type.
     """
     spark = docs.sparkSession
-    texts = fresh(benchmark, "text").where("text is not null").distinct()
+    texts = cut(_lengths(fresh(benchmark, "text").where("text is not null").distinct()), "item_texts")
     items = fresh(benchmark, "item_id", "text").where("text is not null").distinct()
     total = texts.count()
-    passes = max(1, math.ceil(total / ITEMS))
+    short, long = texts.where(f"n between 1 and {shingle - 1}"), texts.where(f"n >= {shingle}")
     counts = item_shingles(texts, shingle) if total else None
     rows = fresh(docs, "doc_id", "text")
-    if passes > 1:
-        rows = cut(_with_shingles(rows, spark.sparkContext.broadcast(counts[0]), shingle, texts), "documents_with_shingles")
-    out = None
-    for k in range(passes):
-        own = sorted(r.text for r in texts.where(f"pmod(xxhash64(text), {passes}) = {k}").collect())
-        index = Index.build(own, shingle, radius, similarity, total, counts)
-        part = _scan(rows, spark.sparkContext.broadcast((index, [hashlib.sha256(t.encode()).digest() for t in own], _short(own, shingle))))
-        out = part if out is None else out.union(part)
+    passes = math.ceil(long.count() / ITEMS)
+    if passes <= 1 and short.count() <= ITEMS:  # all items in one pass
+        out = _scan(rows, _shared(spark, texts.where("n > 0"), shingle, radius, similarity, total, counts))
+    else:
+        # Items shorter than a shingle are looked for by themselves, so that the others need only documents that hold a shingle of theirs.
+        lots = math.ceil(short.count() / SHORT_ITEMS)
+        scans = [(rows, short.where(f"pmod(xxhash64(text), {lots}) = {k}")) for k in range(lots)]
+        if passes:
+            some = cut(_with_shingles(rows, spark.sparkContext.broadcast(counts[0]), shingle), "documents_with_shingles")
+            scans += [(some, long.where(f"pmod(xxhash64(text), {passes}) = {k}")) for k in range(passes)]
+        out = None
+        for read, own in scans:
+            part = _scan(read, _shared(spark, own, shingle, radius, similarity, total, counts))
+            out = part if out is None else out.union(part)
     found = out.join(items.select("item_id", F.unhex(F.sha2("text", 256)).alias("item")), "item")
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("first_word")).alias("first_word"), "n_words")).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.first_word")).alias("first_word"), F.col("b.n_words").alias("n_words"), F.col("b.similarity").alias("similarity"))
 
 
+def _lengths(texts: DataFrame) -> DataFrame:
+    """text, n: its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [np.diff(wo) for _, _, _, wo in _blocks(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n) if n else np.empty(0, np.int64), pa.int64())], names=["text", "n"])
+
+    return texts.mapInArrow(run, "text string, n long")
+
+
+def _shared(spark: SparkSession, texts: DataFrame, shingle: int, radius: int, similarity: float, total: int, counts: tuple[np.ndarray, np.ndarray] | None):
+    """What a pass broadcasts for its item texts: the index, their digests and the short ones."""
+    own = sorted(r.text for r in texts.select("text").collect())
+    index = Index.build(own, shingle, radius, similarity, total, counts)
+    return spark.sparkContext.broadcast((index, [hashlib.sha256(t.encode()).digest() for t in own], _short(own, shingle)))
+
+
 def _short(texts: list[str], shingle: int) -> dict[int, dict[int, list[int]]]:
     """By their number of words, the hashes of texts of fewer words than a shingle, and the texts of each."""
     words, wo = _words(*_joined(texts))
@@ -209,16 +235,8 @@ def _short(texts: list[str], shingle: int) -> dict[int, dict[int, list[int]]]:
     return out
 
 
-def _with_shingles(rows: DataFrame, shared, shingle: int, texts: DataFrame) -> DataFrame:
-    """The rows that hold a shingle of an item; all rows if some item is shorter than a shingle."""
-
-    def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, _, wo in _blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.diff(wo))], names=["n"])
-
-    if not texts.select("text").mapInArrow(lengths, "n long").where(f"n between 1 and {shingle - 1}").isEmpty():
-        return rows
+def _with_shingles(rows: DataFrame, shared, shingle: int) -> DataFrame:
+    """The rows that hold a shingle of an item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

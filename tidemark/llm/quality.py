@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, bit_counts, blocks, utf8, word_hashes
-from .storage import fresh
+from .storage import added_tables, fresh
 
 #: Rows of the hashed table of context vectors, their width, and the rows that are added up together. Words share
 #: rows however large the vocabulary: a pooled document is a mean over all its words, and what sharing adds to it
@@ -58,8 +58,8 @@ def _index_vectors(h: np.ndarray, so: np.ndarray) -> np.ndarray:
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """ROWS x DIM unit vectors, from all words of all documents.
 
-    Each task sums its own table; the tables meet in slices, so what is shuffled is a fixed size a
-    task, and the driver gets one table.
+    Each task sums its own table; the tables meet in slices and in two steps, so what is shuffled is a
+    fixed size a task, and the driver gets one table.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,18 +81,12 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 total += _index_vectors(other[order], np.searchsorted(row[order], np.arange(ROWS + 1)))
         for s in range(0, ROWS, SLICE):
             if total[s : s + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([total[s : s + SLICE].tobytes()], pa.binary())], names=["slice", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([total[s : s + SLICE].tobytes()], pa.binary())], names=["part", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE * DIM, np.int64)
-        for x in table.column("sums"):
-            total += np.frombuffer(x.as_buffer(), np.int64)
-        return pa.table({"slice": table.column("slice")[:1].combine_chunks(), "sums": pa.array([total.tobytes()], pa.binary())})
-
-    sums = fresh(docs, "text").mapInArrow(run, "slice long, sums binary").groupBy("slice").applyInArrow(add, "slice long, sums binary")
+    sums = added_tables(fresh(docs, "text").mapInArrow(run, "part long, n binary"))
     table = np.zeros((ROWS, DIM))
     for r in sums.collect():  # ROWS / SLICE rows
-        table[r.slice : r.slice + SLICE] = np.frombuffer(r.sums, np.int64).reshape(SLICE, DIM)
+        table[r.part : r.part + SLICE] = np.frombuffer(r.n, np.int64).reshape(SLICE, DIM)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 

@@ -10,7 +10,6 @@ choice of t_i bits struck out; those that share a file are candidates, and are v
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, blocks, doc_shingles, mix, simhash, utf8
-from .storage import cut, fresh
+from .storage import added_tables, cut, fresh
 
 #: Members of a bucket that one task compares with each other; larger buckets are divided.
 BUCKET = 512
@@ -391,20 +390,16 @@ def shingle_levels(docs: DataFrame, shingle: int, bits: int = 22) -> np.ndarray:
         for k in range(len(n) // part):
             own = n[k * part : (k + 1) * part]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary())], names=["part", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.astype(np.int64).tobytes()], pa.binary())], names=["part", "n"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total.setdefault(k, np.zeros(part, np.int64))
-                total[k] += np.frombuffer(zlib.decompress(n.as_py()), np.uint32)
-        for k, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.round(2 * np.log2(n + 1)).astype(np.uint8).tobytes()], pa.binary())], names=["part", "n"])
+            n = [np.round(2 * np.log2(np.frombuffer(x.as_buffer(), np.int64) + 1)).astype(np.uint8).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.binary())], names=["part", "n"])
 
     out = np.zeros(1 << bits, np.uint8)
-    parts = fresh(docs, "text").mapInArrow(count, "part long, n binary").repartition((1 << bits) // part, "part")
-    for r in parts.mapInArrow(add, "part long, n binary").collect():  # 64 rows of 64 KB
+    sums = added_tables(fresh(docs, "text").mapInArrow(count, "part long, n binary"))
+    for r in sums.mapInArrow(levels, "part long, n binary").collect():  # 64 rows of 64 KB
         out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.n, np.uint8)
     return out
 

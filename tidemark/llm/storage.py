@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_path, shared_dir  # noqa: F401
 
@@ -10,3 +15,25 @@ from ..sources.shared import cut, new_path, shared_dir  # noqa: F401
 def fresh(df: DataFrame, *keep: str) -> DataFrame:
     """Only the named columns, so that extra columns of any name cannot clash."""
     return df.select(*[df[c] for c in keep])
+
+
+def added_tables(rows: DataFrame, spread: int = 1024) -> DataFrame:
+    """part, n: the sum of all tables (binary, 64-bit integers) of each part.
+
+    ``rows`` has one row a task and part. They are added in two steps, first the tasks of one of
+    ``spread`` shares, and batch by batch, so no task reads the rows of all tasks or holds more than
+    one table a part.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = np.frombuffer(n.as_buffer(), np.int64)
+                total[k] = total[k] + own if k in total else own
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
+
+    kinds = "part long, n binary"
+    shares = rows.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(spread))).repartition("part", "share").select("part", "n")
+    return shares.mapInArrow(add, kinds).repartition("part").mapInArrow(add, kinds)
