@@ -6,10 +6,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import glicko
+from tidemark.operators import glicko, profiles
 from tidemark.operators import models as M
 from tidemark.plans import QUERIES
-from tidemark.plans.models import samples
+from tidemark.plans.models import own_results, samples
 
 
 def plain_update(mu, phi, sigma, games):
@@ -106,3 +106,33 @@ def test_forecasts_see_the_past_only_and_learn(spark, sf):
     assert QUERIES["u6_release"](spark, sf).first().released
     test = {r.fold: r for r in QUERIES["u7_walk_forward_test"](spark, sf).collect()}
     assert set(test) == {0, 1, 2, 3} and all(r.bets <= r.n and r.turnover >= 0 for r in test.values())
+
+
+def test_rating_folds_equal_a_loop(spark, sf):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # players go on from batch to batch
+    got = {(r.player, r.surface): r for r in QUERIES["ag28_rating_folds"](spark, sf).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    want = {}
+    for r in sorted(own_results(spark, sf).collect(), key=lambda r: (r["at"], r.result)):
+        for surface in ("", r.surface):
+            s = want.setdefault((r.player, surface), [1500.0, 1500.0, 350.0, 0.06, 0])
+            s[0] = round(s[0] + 32 * (r.won - 1 / (1 + 10 ** ((1500 - s[0]) / 400))), 3)
+            mu, phi, sigma = plain_update((s[1] - 1500) / glicko.SCALE, s[2] / glicko.SCALE, s[3], [(0.0, 350 / glicko.SCALE, r.won)])
+            s[1:] = [round(1500 + glicko.SCALE * mu, 3), round(glicko.SCALE * phi, 3), round(sigma, 6), s[4] + 1]
+    assert got.keys() == want.keys()
+    for k, s in want.items():
+        assert (got[k].elo, got[k].matches) == (pytest.approx(s[0], abs=0.01), s[4])
+        if k[1] == "":
+            assert (got[k].rating, got[k].rd, got[k].volatility) == (pytest.approx(s[1], abs=0.05), pytest.approx(s[2], abs=0.05), pytest.approx(s[3], abs=1e-4))
+            assert got[k].deviation == pytest.approx(max(60, 350 / math.sqrt(1 + s[4] / 4)), abs=1e-3)
+        else:
+            assert got[k].rating is None
+
+
+def test_profiles_of_odd_rows(spark):
+    rows = [(1, "2020-01-01", 1, 1, "Clay", None, 10.0, 5.0, 2), (1, "2024-01-01", 2, 0, None, "itf", 0.0, 0.0, None), (None, "2024-01-01", 3, 1, None, None, None, None, 1), (2, None, 4, 1, None, None, None, None, 1), (3, "2024-01-01", 5, None, "x", None, None, None, 1)]
+    df = spark.createDataFrame(rows, "player int, at string, result int, won int, surface string, level string, serve_points double, serve_won double, sets int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    got = {(r.player, r.kind, r.name): (r.matches, r.wins, r.win_rate, r.points, r.sets) for r in profiles.profile_rows(df).collect()}
+    assert {k[0] for k in got} == {1} and got[1, "days", "365"] == (2, 1, 0.5, None, None) and got[1, "days", "90"] == (1, 0, 0.0, None, None)
+    assert got[1, "surface", "clay"][0] == got[1, "surface", "unknown"][0] == 1 and got[1, "serve", ""] == (1, 0, None, 10.0, None) and got[1, "load", "30"] == (1, 0, 0.0, None, 0)
+    assert profiles.profile_rows(df.limit(0)).count() == profiles.rating_folds(df.limit(0)).count() == 0

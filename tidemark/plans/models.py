@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import prices as P
-from ..operators import boosting, glicko, metrics, registry, waves
+from ..operators import boosting, glicko, metrics, profiles, registry, waves
 from ..operators import models as M
 from ..operators.ranking import ranked
 from ..sources.shared import cut, new_path
@@ -59,6 +59,46 @@ def ag28_player_folds(spark, sf):
     return glicko.player_folds(s.select(F.col("user_id").alias("player"), F.col("ts").alias("at"), F.col("event_id").alias("result"), F.col("y").alias("won")))
 
 
+_RESULTS = """SELECT user_id AS player, ts AS t, event_id AS result, CAST(k / 100.0 + value / 1000 + (event_id * 7919 % 101) / 101.0 > 1.1 AS BIGINT) AS w, event_type AS surface, ['atp', 'challenger', 'itf'][k % 3 + 1] AS level,
+  CASE WHEN value > 20 THEN 40 + k END AS sp, CASE WHEN k % 7 > 0 THEN 20 + k // 2 END AS sw, 2 + k % 2 AS sets FROM (SELECT *, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events)"""
+
+
+def own_results(spark, sf) -> DataFrame:
+    """Each event as a result of its user, with surface, level, serve points and sets."""
+    s = samples(spark, sf).join(table(spark, sf, "events").select("event_id", F.col("event_type").alias("surface")), "event_id")
+    k = F.col("k").cast("int")
+    return s.select(
+        F.col("user_id").alias("player"), F.col("ts").alias("at"), F.col("event_id").alias("result"), F.col("y").alias("won"), "surface", F.get(F.array(*map(F.lit, ("atp", "challenger", "itf"))), k % 3).alias("level"),
+        F.when(F.col("value") > 20, 40 + k).cast("double").alias("serve_points"), F.when(k % 7 > 0, 20 + F.floor(k / 2)).cast("double").alias("serve_won"), (2 + k % 2).alias("sets"),
+    )
+
+
+def _profile_sql() -> str:
+    tally = "count(*) AS matches, coalesce(sum(w), 0)::BIGINT AS wins"
+    none = "NULL::DOUBLE AS points, NULL::DOUBLE AS points_won"
+    cut_ = lambda kind, name, where, sets="NULL::BIGINT": f"SELECT player, '{kind}' AS kind, '{name}' AS name, count(*) FILTER ({where}) AS matches, coalesce(sum(w) FILTER ({where}), 0)::BIGINT AS wins, {none}, {sets} AS sets FROM r GROUP BY 1"
+    age = lambda d: f"t >= latest - INTERVAL {d} DAY"
+    parts = [f"SELECT player, '{c}' AS kind, {c} AS name, {tally}, {none}, NULL::BIGINT AS sets FROM r GROUP BY 1, 3" for c in ("surface", "level")]
+    parts += [cut_("overall", "", "true"), cut_("last", "10", "n <= 10"), cut_("last", "20", "n <= 20"), cut_("days", "90", age(90)), cut_("days", "365", f"n <= 20 OR {age(365)}")]
+    parts += [cut_("load", str(d), age(d), f"sum(sets) FILTER ({age(d)})::BIGINT") for d in (7, 30)]
+    ok = "sp > 0 AND sw IS NOT NULL"
+    parts.append(f"SELECT player, 'serve', '', count(*) FILTER (NOT coalesce({ok}, false)), 0::BIGINT, coalesce(sum(sp) FILTER ({ok}), 0)::DOUBLE, coalesce(sum(sw) FILTER ({ok}), 0)::DOUBLE, NULL::BIGINT FROM r GROUP BY 1")
+    return f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY player ORDER BY t DESC, result DESC) AS n, max(t) OVER (PARTITION BY player) AS latest FROM ({_RESULTS})), p AS ({" UNION ALL ".join(parts)})
+SELECT *, CASE WHEN matches > 0 AND kind <> 'serve' THEN round(wins / matches::DOUBLE, 6) END AS win_rate FROM p"""
+
+
+@query(_profile_sql())
+def ag28_player_profiles(spark, sf):
+    """Each player's counts in all, by surface and level, of the last results and days, load and serve."""
+    return profiles.profile_rows(own_results(spark, sf))
+
+
+@query()
+def ag28_rating_folds(spark, sf):
+    """Each player's ratings after the last result, in all and by surface, rounded after every result."""
+    return profiles.rating_folds(own_results(spark, sf))
+
+
 @query(f"""
 WITH m AS ({_MATCHES}), v AS (SELECT *, least(w, l) AS a, greatest(w, l) AS b FROM m WHERE w <> l),
 s AS (SELECT event_id, w AS player, 1 AS won, surface, ts, a, b FROM v UNION ALL SELECT event_id, l, 0, surface, ts, a, b FROM v)
