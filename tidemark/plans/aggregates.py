@@ -138,7 +138,9 @@ def ag24_consensus(spark, sf):
 @query("SELECT event_id, 1.0 / count(*) OVER (PARTITION BY user_id) AS weight FROM events")
 def ag26_unit_weight(spark, sf):
     """Each match weighs one in total."""
-    return table(spark, sf, "events").select("event_id", (F.lit(1.0) / F.count("*").over(Window.partitionBy("user_id"))).alias("weight"))
+    e = table(spark, sf, "events").select("event_id", "user_id")
+    sizes = e.groupBy(F.col("user_id").alias("u")).agg(F.count("*").alias("n"))
+    return e.join(sizes, F.col("user_id").eqNullSafe(F.col("u"))).select("event_id", (F.lit(1.0) / F.col("n")).alias("weight"))
 
 
 @query("""

@@ -248,16 +248,6 @@ def t4_best_of_eligible(spark, sf):
     return g.groupBy("mode").agg(F.min_by("grid", order).alias("grid"))
 
 
-@query("SELECT a.x AS low, b.x AS high, c.x AS stake FROM (VALUES (120), (150), (180)) a(x), (VALUES (200), (300)) b(x), (VALUES (50), (100), (200)) c(x) WHERE a.x + c.x < b.x + 60")
-def t8_grid(spark, sf):
-    """Every combination of a few stated values that meets the rule."""
-    axes = {"low": [120, 150, 180], "high": [200, 300], "stake": [50, 100, 200]}
-    one = spark.range(1)
-    for name, values in axes.items():
-        one = one.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return one.select(*axes).where("low + stake < high + 60")
-
-
 @query("SELECT conv_id, count(DISTINCT text) AS kept, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role <> 'user') AS answered FROM conversations GROUP BY 1")
 def t10_distinct_two_way(spark, sf):
     """Distinct entries, and a split in two."""

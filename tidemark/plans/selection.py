@@ -54,13 +54,6 @@ def w43_chronological_split(spark, sf):
     return rows.select("o_custkey", part.alias("part"))
 
 
-@query("SELECT a.n AS train, b.n AS step FROM (SELECT unnest([10, 20, 40]) AS n) a, (SELECT unnest([5, 10, 20]) AS n) b WHERE b.n <= a.n")
-def t12_window_grid(spark, sf):
-    """A small parameter grid under a constraint."""
-    a = spark.createDataFrame([(10,), (20,), (40,)], "train int")
-    return a.select("train", F.explode(F.array(*[F.lit(x) for x in (5, 10, 20)])).alias("step")).where("step <= train")
-
-
 @query("SELECT user_id, count(*) FILTER (event_type = 'error') AS invalid, count(*) AS n, count(*) FILTER (event_type = 'error') / CAST(count(*) AS DOUBLE) AS rate FROM events GROUP BY 1")
 def ag7_conditional_rates(spark, sf):
     bad = F.count_if(F.col("event_type") == "error")

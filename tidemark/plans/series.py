@@ -188,12 +188,14 @@ FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_
 """)
 def w34_recent_form(spark, sf):
     """Means of the last 10 and 20 rows and counts of the last 7, 30, 90 and 365 days as of a time."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
     now = "timestamp_ntz '2024-01-31'"
-    rows = table(spark, sf, "events").where(f"ts <= {now}").withColumn("k", k)
-    last = lambda n: F.avg(F.when(F.col("k") <= n, F.col("value")))
+    rows = table(spark, sf, "events").where(f"ts <= {now}")
     days = [F.count_if(F.expr(f"ts >= {now} - interval {n} days")).alias(f"n_{n}") for n in (7, 30, 90, 365)]
-    return rows.groupBy("user_id").agg(last(10).alias("last10"), last(20).alias("last20"), *days)
+    # Only a user's last twenty rows of each task go to the window; the counts are added up in the tasks.
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    newest = rows.select("user_id", "ts", "event_id", "value").withColumn("k", k).where("k <= 20")
+    last = lambda n: F.avg(F.when(F.col("k") <= n, F.col("value"))).alias(f"last{n}")
+    return rows.groupBy("user_id").agg(*days).join(newest.groupBy("user_id").agg(last(10), last(20)), "user_id").select("user_id", "last10", "last20", *[f"n_{n}" for n in (7, 30, 90, 365)])
 
 
 @query("""

@@ -182,40 +182,6 @@ def st3_resumed_consumer(spark, sf):
 RETRIES = 3
 
 
-def handled(rows: DataFrame, needed: str, path: str) -> None:
-    """Write the rows of a batch to ``done`` with their tries, or to ``dead`` with what went wrong after RETRIES.
-
-    ``needed``: SQL for how many tries the handler takes to succeed (null: it never does).
-    """
-    rows = rows.withColumn("tries", F.expr(needed)).withColumn("tries", F.when(F.col("tries") <= RETRIES, F.col("tries")))
-    rows.where("tries is not null").select("event_id", "tries").write.mode("overwrite").parquet(f"{path}/kind=done")
-    dead = rows.where("tries is null").select("event_id", F.lit(RETRIES).alias("tries"), F.concat(F.lit("failed: "), "event_type").alias("error"), F.sha2(F.col("event_id").cast("string"), 256).alias("message_id"))
-    dead.write.mode("overwrite").parquet(f"{path}/kind=dead")
-
-
-_NEEDED = "case when value > 480 then null when value > 450 then 4 when value > 400 then 3 when value > 350 then 2 else 1 end"
-_TRIES = "CASE WHEN value > 450 THEN NULL WHEN value > 400 THEN 3 WHEN value > 350 THEN 2 ELSE 1 END"
-_LETTERS = "event_id long, tries int, error string, message_id string, kind string"
-
-
-def _consumed(spark, sf) -> DataFrame:
-    e = stream(spark, sf, "events")
-    path = run_batches(deduplicated(e.union(e)), "messages", lambda batch, folder: handled(batch, _NEEDED, folder))
-    return spark.read.schema(_LETTERS).option("basePath", path).parquet(f"{path}/batch=*/")
-
-
-@query(f"SELECT event_id, coalesce({_TRIES}, 3) AS tries, ({_TRIES}) IS NULL AS dead FROM events")
-def st4_retried_messages(spark, sf):
-    """Messages handled once each by their idempotency key, tried three times at most, the rest dead letters."""
-    return _consumed(spark, sf).select("event_id", "tries", (F.col("kind") == "dead").alias("dead"))
-
-
-@query(f"SELECT event_id, 'failed: ' || event_type AS error, sha256(CAST(event_id AS VARCHAR)) AS message_id FROM events WHERE ({_TRIES}) IS NULL")
-def st5_dead_letters(spark, sf):
-    """The dead letters with their error and the id of the message they came from."""
-    return _consumed(spark, sf).where("kind = 'dead'").select("event_id", "error", "message_id")
-
-
 @query("""
 WITH l AS (SELECT user_id, max(ts) AS seen, max_by(event_type, (ts, event_id)) AS state FROM events GROUP BY 1), n AS (SELECT max(ts) AS now FROM events)
 SELECT user_id, state, CASE WHEN seen < now - INTERVAL 6 HOUR THEN 'interrupted' ELSE 'live' END AS status FROM l, n
