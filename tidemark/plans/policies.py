@@ -93,52 +93,6 @@ def fil12_proposals(spark, sf):
     return offers(spark, sf).select("event_id", reason.alias("reason"), F.when(reason == "", F.round(stake / 10000, 4)).otherwise(1.0).alias("risk"))
 
 
-#: The checks of a bet in their order. Each stands for one gate of the placing service.
-CHECKS = [
-    ("SCHEMA_VALIDATION", "k is null or value is null"),
-    ("SPORT_SUPPORT", "k = 97"),
-    ("SPORT_RULES", "k = 96"),
-    ("SPORT_EXECUTION", "k = 95"),
-    ("PREDICTION_FRESHNESS", "k = 94"),
-    ("MODEL_STATUS", "k % 37 = 1"),
-    ("LLM_FRESHNESS", "k = 92"),
-    ("LLM_VERDICT", "k = 91"),
-    ("EVENT_EXISTS", "c_custkey is null"),
-    ("EVENT_ACTIVE", "c_mktsegment = 'MACHINERY'"),
-    ("EVENT_IN_PLAY", "k % 29 = 2"),
-    ("EVENT_FRESHNESS", "k % 31 = 3"),
-    ("MARKET_EXISTS", "event_type = 'error'"),
-    ("MARKET_ACTIVE", "k % 23 = 4"),
-    ("SELECTION_EXISTS", "k % 19 = 5"),
-    ("SELECTION_ACTIVE", "k % 17 = 6"),
-    ("ODDS_FRESHNESS", "k % 13 = 7"),
-    ("CONFIDENCE_THRESHOLD", "p < 0.05"),
-    ("EDGE_THRESHOLD", "p * odds - 1 < -0.5"),
-    ("ODDS_BOUNDS", "odds < 1.05 or odds > 5.5"),
-    ("SLIPPAGE_EDGE", "k % 11 = 8"),
-    ("DUPLICATE_CHECK", "k % 41 = 9"),
-    ("STAKE_LIMITS", "value < 2"),
-    ("BANKROLL_SUFFICIENCY", "c_acctbal < -900"),
-    ("EXPOSURE_LIMIT", "k % 43 = 10"),
-    ("DAILY_LIMIT", "k % 47 = 11"),
-]
-
-
-def _checks_sql() -> str:
-    fails = ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in CHECKS)
-    return f"""WITH b AS (SELECT e.*, c.* FROM ({_E}) e LEFT JOIN customer c ON c_custkey = user_id + 1), f AS (SELECT event_id, list_filter([{fails}], lambda x: x IS NOT NULL) AS failed FROM b)
-SELECT event_id, coalesce(failed[1], '') AS reason, array_to_string(failed, ',') AS failed, {len(CHECKS)} - len(failed) AS passed FROM f"""
-
-
-@query(_checks_sql())
-def fil11_all_checks(spark, sf):
-    """All 26 checks of each bet in order: the first that fails is the reason, and the others are told as well."""
-    bets = offers(spark, sf).join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("user_id") + 1, "left")
-    broken = F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in CHECKS])
-    rows = bets.select("event_id", F.filter(broken, lambda x: x.isNotNull()).alias("f"))
-    return rows.select("event_id", F.coalesce(F.get("f", 0), F.lit("")).alias("reason"), F.array_join("f", ",").alias("failed"), (F.lit(len(CHECKS)) - F.size("f")).alias("passed"))
-
-
 @query(f"SELECT event_id FROM ({_E}) WHERE p - 1 / odds BETWEEN 0.02 AND 0.4 AND p BETWEEN 0.3 AND 0.9")
 def fil14_edge_window(spark, sf):
     """Candidates whose edge and confidence are in their windows, both ends inside."""
@@ -211,22 +165,6 @@ def fil24_labels_agree(spark, sf):
     return g.where(F.col("a").isNull() | F.col("b").isNull() | (P.set_winner(F.col("a"), F.col("b")) == F.col("stored"))).select("event_id")
 
 
-@query("""
-WITH g AS (SELECT user_id, date_diff('day', min(ts), max(ts)) AS days, count(*) AS n, (max(value) - avg(value)) / 1000 AS psi, avg(value - 40) AS roi, stddev_samp(value) / 5000 AS brier FROM events GROUP BY 1)
-SELECT user_id, array_to_string(list_filter([CASE WHEN days < 7 THEN 'shadow_days' END, CASE WHEN n < 100 THEN 'paired_observations' END, CASE WHEN psi > 0.25 THEN 'psi' END, CASE WHEN roi < 0 THEN 'counterfactual_roi' END,
-  CASE WHEN brier > 0.02 THEN 'brier_delta' END], lambda x: x IS NOT NULL), ',') AS blocked FROM g
-""")
-def fil28_promotion(spark, sf):
-    """The gates that keep a model from release: days in shadow, paired rows, drift, return and calibration."""
-    g = table(spark, sf, "events").groupBy("user_id").agg(
-        F.date_diff(F.max("ts"), F.min("ts")).alias("days"), F.count("*").alias("n"), ((F.max("value") - F.avg("value")) / 1000).alias("psi"),
-        F.avg(F.col("value") - 40).alias("roi"), (F.stddev_samp("value") / 5000).alias("brier"),
-    )
-    rules = {"shadow_days": "days < 7", "paired_observations": "n < 100", "psi": "psi > 0.25", "counterfactual_roi": "roi < 0", "brier_delta": "brier > 0.02"}
-    blocked = F.array_compact(F.array(*[F.when(F.expr(rule), F.lit(name)) for name, rule in rules.items()]))
-    return g.select("user_id", F.array_join(blocked, ",").alias("blocked"))
-
-
 @query(f"SELECT event_id, CASE WHEN len(l) < 2 THEN CAST(0 AS DOUBLE) ELSE list_max(l) - list_min(l) END AS spread FROM (SELECT event_id, CASE WHEN k % 6 = 0 THEN [p] ELSE [p, 1 / odds, value / 500] END AS l FROM ({_E}))")
 def sc48_disagreement(spark, sf):
     """How far the models' chances of one side lie apart; one model has no spread."""
