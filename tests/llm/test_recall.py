@@ -45,3 +45,17 @@ def test_recall_by_class_of_similarity(spark, size):
     assert all(r == 1 for r in recall.values()), recall
     alone = set(range(size)) - set(range(0, size, 3))
     assert all(group[k] == k for k in alone), "texts without a copy stay alone"
+
+
+def test_tables_of_many_tasks_are_added(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.storage import added_tables, packed, unpacked
+
+    rows = spark.range(2000, numPartitions=2000).select((F.col("id") % 3).alias("part"), "id")
+    pack = F.udf(lambda i: packed(np.array([i, -i, (1 << 40) * (i % 2)])), "binary")
+    got = {r.part: unpacked(r.n).tolist() for r in added_tables(rows.select("part", pack("id").alias("n")), 16).collect()}
+    own = lambda k: [i for i in range(2000) if i % 3 == k]
+    assert got == {k: [sum(own(k)), -sum(own(k)), (1 << 40) * sum(i % 2 for i in own(k))] for k in range(3)}
+    assert added_tables(rows.where("id < 0").select("part", pack("id").alias("n"))).count() == 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, bit_counts, blocks, utf8, word_hashes
-from .storage import added_tables, fresh
+from .storage import added_tables, fresh, packed, unpacked
 
 #: Rows of the hashed table of context vectors, their width, and the rows that are added up together. Words share
 #: rows however large the vocabulary: a pooled document is a mean over all its words, and what sharing adds to it
@@ -81,12 +81,12 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
                 total += _index_vectors(other[order], np.searchsorted(row[order], np.arange(ROWS + 1)))
         for s in range(0, ROWS, SLICE):
             if total[s : s + SLICE].any():
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([total[s : s + SLICE].tobytes()], pa.binary())], names=["part", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([packed(total[s : s + SLICE].ravel())], pa.binary())], names=["part", "n"])
 
     sums = added_tables(fresh(docs, "text").mapInArrow(run, "part long, n binary"))
     table = np.zeros((ROWS, DIM))
     for r in sums.collect():  # ROWS / SLICE rows
-        table[r.part : r.part + SLICE] = np.frombuffer(r.n, np.int64).reshape(SLICE, DIM)
+        table[r.part : r.part + SLICE] = unpacked(r.n).reshape(SLICE, DIM)
     return (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 

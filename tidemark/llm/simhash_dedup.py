@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, blocks, doc_shingles, mix, simhash, utf8
-from .storage import added_tables, cut, fresh
+from .storage import added_tables, cut, fresh, packed, unpacked
 
 #: Members of a bucket that one task compares with each other; larger buckets are divided.
 BUCKET = 512
@@ -390,11 +390,11 @@ def shingle_levels(docs: DataFrame, shingle: int, bits: int = 22) -> np.ndarray:
         for k in range(len(n) // part):
             own = n[k * part : (k + 1) * part]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([own.astype(np.int64).tobytes()], pa.binary())], names=["part", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(own.astype(np.int64))], pa.binary())], names=["part", "n"])
 
     def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [np.round(2 * np.log2(np.frombuffer(x.as_buffer(), np.int64) + 1)).astype(np.uint8).tobytes() for x in batch.column(1)]
+            n = [np.round(2 * np.log2(unpacked(x.as_py()) + 1)).astype(np.uint8).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.binary())], names=["part", "n"])
 
     out = np.zeros(1 << bits, np.uint8)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,18 @@ def fresh(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[df[c] for c in keep])
 
 
+def packed(table: np.ndarray) -> bytes:
+    """A table of 64-bit integers as compressed bytes, in 32 bits where its numbers fit."""
+    small = not len(table) or -(1 << 31) <= int(table.min()) <= int(table.max()) < 1 << 31
+    return (b"4" if small else b"8") + zlib.compress(table.astype("<i4" if small else "<i8").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), "<i4" if raw[:1] == b"4" else "<i8")
+
+
 def added_tables(rows: DataFrame, spread: int = 1024) -> DataFrame:
-    """part, n: the sum of all tables (binary, 64-bit integers) of each part.
+    """part, n: the sum of all ``packed`` tables of each part, packed.
 
     ``rows`` has one row a task and part. They are added in two steps, first the tasks of one of
     ``spread`` shares, and batch by batch, so no task reads the rows of all tasks or holds more than
@@ -29,10 +40,14 @@ def added_tables(rows: DataFrame, spread: int = 1024) -> DataFrame:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.frombuffer(n.as_buffer(), np.int64)
-                total[k] = total[k] + own if k in total else own
-        for k, n in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([n.tobytes()], pa.binary())], names=["part", "n"])
+                own = unpacked(n.as_py())
+                if k in total:
+                    total[k] += own
+                else:
+                    total[k] = own.astype(np.int64)
+        while total:
+            k, n = total.popitem()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(n)], pa.binary())], names=["part", "n"])
 
     kinds = "part long, n binary"
     shares = rows.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(spread))).repartition("part", "share").select("part", "n")
