@@ -7,6 +7,8 @@ delta-encoded. ``parts``: part and first (ids of all earlier parts).
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -33,8 +35,8 @@ LAYOUT = {
     "parquet.enable.dictionary#n_tokens": "false",
 }
 #: Units of one generation of a Python worker's memory (two are held), and the longest that is remembered:
-#: some 60 MB a generation at the most.
-REMEMBER, LONGEST = 350_000, 48
+#: some 45 MB a generation at the most.
+REMEMBER, LONGEST = 250_000, 48
 #: Classes of bytes: white space, ASCII letters, digits, ASCII marks, and what is left to the tokenizer.
 _KIND = np.full(256, 5, np.uint8)
 _KIND[33:127] = 4
@@ -189,6 +191,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def give_back() -> None:
+    """Return to the system what earlier stages left unused in this worker, before this one fills its memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> None:
     """Encode every whole text (null: empty), append ``end`` and write the data set at ``path``.
 
@@ -197,6 +207,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end: int = 2) -> No
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         own, part, place = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
             buf, off = utf8(batch.column(1))
@@ -242,6 +253,7 @@ def with_crc32(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32: of the ids as little-endian unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             col = batch.column(3)
             at = np.concatenate([[0], np.cumsum(np.asarray(col.value_lengths()))]).tolist()
