@@ -552,6 +552,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     least = F.min_by(F.struct("fp", "sig", "prefix"), "doc_id").alias("s")
     classes = own.groupBy(F.col("whole").alias("id")).agg(F.min("doc_id").alias("first"), least).where("first is not null")
     classes = cut(classes.select("id", "first", "s.fp", "s.sig", "s.prefix"), "classes_of_sets")
+    own = cut(own.select("doc_id", "whole"), "classes_of_documents", instead_of=own)
     real = classes.where("size(prefix) > 0")
     verify = lambda links: cut(verified_links(docs, classes, links, shingle, similarity), "verified")
     links = verify(cut(fingerprint_links(real.select("id", "fp"), radius), "links"))
@@ -561,7 +562,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     half = max(bucket // 2, 1)
     member = keys.join(sizes, "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1L, cast(ceil(c / {half}) as bigint))"))
     member = cut(member.select("key", "c", "nb", F.expr("pmod(xxhash64(id), nb)").alias("i"), "id"), "members")
-    open_ = cut(_apart(_tied(member, roots)), "open")
+    open_ = cut(_apart(_tied(member, roots)), "open", instead_of=member)
     # About a quarter of a block's size: the leaders of a large bucket, members of its first block.
     leaders = open_.where("nb > 1 and i = 0 and pmod(xxhash64(id, 7), 4) = 0").select("key", F.explode(F.expr("sequence(1L, nb - 1)")).alias("i"), "id", "tie")
     tried = cut(bucket_links(_blocks(open_.select("key", "i", "id", "tie").union(leaders), classes, "i"), similarity).distinct(), "links")
