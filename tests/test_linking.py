@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names as N
 from tidemark.functions import scores as S
-from tidemark.operators.linking import duplicates, near_in_time, only_candidate, roots, span_clusters
+from tidemark.operators.linking import contained, duplicates, first_near, near_in_time, only_candidate, roots, span_clusters
 
 
 def test_time_windows_have_inclusive_bounds(spark):
@@ -15,6 +15,21 @@ def test_time_windows_have_inclusive_bounds(spark):
     assert near_in_time(a, b.where("false"), "t", "at", 60, ("k",)).count() == 0
 
 
+def test_first_near_is_the_least_of_all_pairs_without_making_them(spark):
+    a = spark.range(300).selectExpr("id", "concat('u', hash(id) % 3) as k", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, pmod(hash(id, 1), 900)) as t")
+    b = spark.range(300).selectExpr("id as other", "concat('u', hash(id) % 3) as k", "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, pmod(hash(id, 2), 900)) as at")
+    want = {r.id: r.m for r in near_in_time(a, b, "t", "at", 60, ("k",)).groupBy("id").agg(F.min("other").alias("m")).collect()}
+    found = first_near(a, b, "t", "at", 60, ["k"], "other")
+    assert {r.id: r.other for r in found.collect() if r.other is not None} == want and found.count() == 300
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_names_that_stand_in_others(spark):
+    a, b = spark.createDataFrame([("u1",), ("u12",), ("",), (None,)], "a string"), spark.createDataFrame([("team u12",), ("u1",), ("u2",), ("",), (None,)], "b string")
+    assert sorted(tuple(r) for r in contained(b, "b", a, "a").where("part <> ''").collect()) == [("team u12", "u1"), ("team u12", "u12"), ("u1", "u1")]
+    assert {r.b for r in contained(b, "b", a, "a").where("part = ''").collect()} == {"team u12", "u1", "u2", ""}
+
+
 def test_unique_candidates_and_survivors(spark):
     rows = spark.createDataFrame([("a", 1), ("a", 1), ("b", 1), ("b", 2), (None, 7), (None, 9)], "k string, v int")
     assert {r.k: r.v for r in only_candidate(rows, ["k"], "v").collect()} == {"a": 1}

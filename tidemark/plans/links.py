@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.asof import asof_backward, latest_per_key
-from ..operators.linking import duplicates, near_in_time, only_candidate, similarity, span_clusters
+from ..operators.linking import contained, duplicates, first_near, near_in_time, only_candidate, similarity, span_clusters
 from ..sources.tables import table
 from .registry import query
 
@@ -54,8 +54,13 @@ def j11_contained_names(spark, sf):
     """The first record near in time whose name holds the other's."""
     a = _of(spark, sf, "signup", event_id="event_id", ts="ts", user="user_id").withColumn("name", F.concat(F.lit("u"), "user"))
     b = _of(spark, sf, "error", other="event_id", at="ts", user_b="user_id").withColumn("name_b", F.concat(F.lit("team u"), "user_b"))
-    pairs = near_in_time(a, b, "ts", "at", 43200).where(F.col("name_b").contains(F.col("name")) | F.col("name").contains(F.col("name_b")))
-    return pairs.groupBy("event_id").agg(F.min("other").alias("matched"))
+    # Rows meet under the name that the other one holds: each under its own, and under the other side's names that stand in it.
+    # way 0: the record's name stands in the other's; 1: the other's in the record's.
+    in_b, in_a = contained(b, "name_b", a, "name"), contained(a, "name", b, "name_b")
+    left = a.select("event_id", "ts", F.col("name").alias("part"), F.lit(0).alias("way")).union(a.join(in_a, "name").select("event_id", "ts", "part", F.lit(1)))
+    right = b.join(in_b, "name_b").select("other", "at", "part", F.lit(0).alias("way")).union(b.select("other", "at", F.col("name_b"), F.lit(1)))
+    found = first_near(left, right, "ts", "at", 43200, ["part", "way"], "other")
+    return found.groupBy("event_id").agg(F.min("other").alias("matched")).where("matched is not null")
 
 
 @query("""
