@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from tidemark.operators.placing import Limits, checked, checks
+from tidemark.operators.placing import Limits, _cents, checked, checks
 
 NOW = datetime(2024, 1, 1, 12)
 GOOD = {
@@ -34,3 +34,12 @@ def test_each_check_at_its_bound(spark):
     loose = {r.bet_id: r.reason for r in checked(df, Limits(live_only=False, most_edge=0.1)).collect()}
     assert loose[1] == "EDGE_THRESHOLD" and loose[2 + [n for n, _ in BREAKS].index("EVENT_IN_PLAY")] == "EDGE_THRESHOLD"
     assert checked(df.where(F.lit(False))).count() == 0
+
+
+def test_stakes_are_held_against_cents_of_the_stored_number(spark):
+    # Shares of 0.11499999999999999 and 1.035 (stored as a little less): 0.12 and 1.03.
+    rows = [GOOD | {"balance": 0.575, "stake": 0.12}, GOOD | {"balance": 5.175, "stake": 1.04}]
+    df = spark.createDataFrame([tuple((r | {"bet_id": k}).values()) for k, r in enumerate(rows)], KINDS)
+    got = {r.bet_id: r.failed for r in checked(df, Limits(least_stake=0.0)).collect()}
+    assert "STAKE_LIMITS" not in got[0] and "STAKE_LIMITS" in got[1]
+    assert spark.range(1).select(_cents(F.lit(0.575) * 0.2)).first()[0] == 0.12

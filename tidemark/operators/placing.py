@@ -38,6 +38,11 @@ def age(at: str) -> Column:
     return (F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col(at).cast("timestamp"))) / 1_000_000
 
 
+def _cents(x: Column) -> Column:
+    """Rounded to cents by the number as it is stored: a share of 1.035 is less than its decimals tell, so 1.03."""
+    return F.round(x * 100) / 100
+
+
 def checks(limits: Limits = Limits()) -> list[tuple[str, Column]]:
     """Name and failure of each check. Columns are read by name:
 
@@ -75,7 +80,7 @@ def checks(limits: Limits = Limits()) -> list[tuple[str, Column]]:
         ("ODDS_BOUNDS", ~F.col("current_odds").between(*limits.odds)),
         ("SLIPPAGE_EDGE", beyond(effective) | (F.col("current_odds") < F.col("odds") * (1 - limits.slippage))),
         ("DUPLICATE_CHECK", F.coalesce("doubled", F.lit(False))),
-        ("STAKE_LIMITS", (F.col("stake") < limits.least_stake) | (F.col("stake") > F.round(F.col("balance") * limits.most_stake, 2))),
+        ("STAKE_LIMITS", (F.col("stake") < limits.least_stake) | (F.col("stake") > _cents(F.col("balance") * limits.most_stake))),
         ("BANKROLL_SUFFICIENCY", F.col("stake") > F.col("balance")),
         ("EXPOSURE_LIMIT", F.col("exposure") + F.col("stake") > F.col("first_balance") * limits.most_exposure),
         ("DAILY_LOSS_LIMIT", F.col("lost_today") >= F.col("first_balance") * limits.daily_loss),
