@@ -76,3 +76,11 @@ def test_name_tokens_and_namesakes(spark):
     for r in got:
         assert rows[r.i][4] == r.a, rows[r.i]
         assert rows[r.i][3] is None or set(r.k) == rows[r.i][3]
+
+
+def test_equal_modes_go_to_the_first_seen(spark, tmp_path):
+    from tidemark.plans import QUERIES
+
+    rows = [(k, u, t, 5.0) for k, (u, t) in enumerate((u, t) for u in range(40) for t in (("view", "click", "error") if u % 2 else ("error", "view", "click")))]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: r.mode for r in QUERIES["t6_preferred_mode"](spark, str(tmp_path)).collect()} == {u: "view" if u % 2 else "error" for u in range(40)}
