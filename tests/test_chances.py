@@ -61,3 +61,19 @@ def test_ratings(spark):
         n = {k: n[k] + played[k] for k in n}
     assert {k: n[k] for k in n} == {k: v[1] for k, v in got.items()}
     assert all(got[k][0] == pytest.approx(r[k]) for k in r)
+
+
+def test_large_batches_are_reckoned_in_parts():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    n = 4_000
+    k = np.arange(n)
+    score = pd.DataFrame({"sets_a": k % 2, "sets_b": 0, "games_a": k % 6, "games_b": k % 5, "points_a": k % 4, "points_b": 0, "p_a": 0.55 + k % 20 / 100, "p_b": 0.6, "server": "a", "need": 2 + k % 2})
+    tracemalloc.start()
+    got = C.match_win.func(score)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and np.array_equal(got, np.concatenate([C.match_win.func(score[i : i + 100]) for i in range(0, n, 100)]))

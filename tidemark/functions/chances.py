@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 
+#: Rows whose tables of states are filled at once.
+ROWS = 2_000
+
+
 def _deuce(p):
     return p * p / (p * p + (1 - p) * (1 - p))
 
@@ -83,8 +87,13 @@ def _first_server(serves_a: np.ndarray, played: np.ndarray) -> np.ndarray:
 def tiebreak_win(a: pd.Series, b: pd.Series, p_a: pd.Series, p_b: pd.Series, serves_a: pd.Series) -> pd.Series:
     """Chance of side a in a tie-break whose next point ``serves_a`` tells the server of."""
     x, y = a.to_numpy(int), b.to_numpy(int)
-    v = tiebreak_table(p_a.to_numpy(float), p_b.to_numpy(float), _first_server(serves_a.to_numpy(bool), x + y))
-    return pd.Series(v[x, y, np.arange(len(x))])
+    one, two, first = p_a.to_numpy(float), p_b.to_numpy(float), _first_server(serves_a.to_numpy(bool), x + y)
+    out = np.empty(len(x))
+    for k in range(0, len(x), ROWS):
+        r = slice(k, k + ROWS)
+        v = tiebreak_table(one[r], two[r], first[r])
+        out[r] = v[x[r], y[r], np.arange(v.shape[2])]
+    return pd.Series(out)
 
 
 def _bounded(p):
@@ -123,34 +132,44 @@ def match_win(score: pd.DataFrame) -> pd.Series:
     """Chance of side a; columns sets_a, sets_b, games_a, games_b, points_a, points_b, p_a, p_b, server, need.
 
     A server that is neither a nor b gives the mean of both. Held within 0.02 and 0.98; a decided match is
-    at a bound. Rows of one score are computed together.
+    at a bound. Rows of one score are computed together, and tables are filled for distinct chances, ``ROWS``
+    of them at a time: they hold some 3,000 numbers each.
     """
     out = np.full(len(score), np.nan)
     score = score.reset_index(drop=True)
     for need, part in score.groupby("need"):
-        m = Match(_bounded(part.p_a.to_numpy(float)), _bounded(part.p_b.to_numpy(float)), int(need))
-        place = dict(zip(part.index, range(len(part))))
-        keys = ["sets_a", "sets_b", "games_a", "games_b", "points_a", "points_b", "server"]
-        for (sa, sb, ga, gb, pa, pb, server), rows in part.groupby(keys, dropna=False):
-            i = [place[r] for r in rows.index]
-            if sa >= need or sb >= need:
-                out[rows.index] = 0.98 if sa >= need else 0.02
-                continue
-            got = []
-            for serve in {"a": (1,), "b": (0,)}.get(server, (1, 0)):
-                if ga == gb == 6:
-                    first = bool(serve) ^ bool((pa + pb + 1) // 2 % 2)
-                    t = m.ties[int(first)][pa, pb]
-                    v = t * m.next_set(sa + 1, sb, serve) + (1 - t) * m.next_set(sa, sb + 1, serve)
-                elif max(ga, gb) >= 6 and abs(ga - gb) >= 2:
-                    v = m.at(sa, sb, ga, gb, serve)
-                else:
-                    v = m.after_game(sa, sb, ga, gb, serve, _game(pa, pb, m.p[serve]))
-                got.append(v[i])
-            out[rows.index] = np.clip(np.mean(got, axis=0), 0.02, 0.98)
+        chances, pair = np.unique(_bounded(part[["p_a", "p_b"]].to_numpy(float)), axis=0, return_inverse=True)
+        pair = pair.ravel()
+        for k in range(0, len(chances), ROWS):
+            here = (pair >= k) & (pair < k + ROWS)
+            p = chances[k : k + ROWS]
+            _fill(out, part[here], pair[here] - k, Match(p[:, 0], p[:, 1], int(need)))
     return pd.Series(out)
 
 
+def _fill(out: np.ndarray, part: pd.DataFrame, pair: np.ndarray, m: Match) -> None:
+    """Chances of rows of one ``need``; ``pair`` is a row's place in the tables of ``m``."""
+    keys = ["sets_a", "sets_b", "games_a", "games_b", "points_a", "points_b", "server"]
+    for (sa, sb, ga, gb, pa, pb, server), i in part.groupby(keys, dropna=False).indices.items():
+        rows = part.index[i]
+        if sa >= m.need or sb >= m.need:
+            out[rows] = 0.98 if sa >= m.need else 0.02
+            continue
+        got = []
+        for serve in {"a": (1,), "b": (0,)}.get(server, (1, 0)):
+            if ga == gb == 6:
+                first = bool(serve) ^ bool((pa + pb + 1) // 2 % 2)
+                t = m.ties[int(first)][pa, pb]
+                v = t * m.next_set(sa + 1, sb, serve) + (1 - t) * m.next_set(sa, sb + 1, serve)
+            elif max(ga, gb) >= 6 and abs(ga - gb) >= 2:
+                v = m.at(sa, sb, ga, gb, serve)
+            else:
+                v = m.after_game(sa, sb, ga, gb, serve, _game(pa, pb, m.p[serve]))
+            got.append(v[pair[i]])
+        out[rows] = np.clip(np.mean(got, axis=0), 0.02, 0.98)
+    m.at = None  # a cycle: with it the tables would stay until the next collection
+
+
 @cache
 def _start_chances(need: int) -> np.ndarray:
     """Side a's chance at 0-0 by its serve-point share in thousandths, 400 to 840; the other side's is 1240 less it."""
