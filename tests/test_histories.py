@@ -2,6 +2,8 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from tidemark.operators.points import point_events
 from tidemark.sources.histories import _Page, feed_games, feed_records, page_games
 from tidemark.sources.merging import upsert
@@ -140,3 +142,22 @@ def test_merges_rewrite_only_what_changed(spark, tmp_path):
     spark.createDataFrame([(3, "a", 1)], "id long, v string, at int").coalesce(1).write.parquet(f"{path}/season=2003")
     assert upsert(path, everything, ["id"], "season", "at")["partitions"] == 2 and table()[3] == ("moved", 2009) and spark.read.parquet(path).count() == 41
     assert upsert(path, everything.limit(0), ["id"], "season", "at")["partitions"] == 0
+
+
+def test_looked_up_points_are_those_of_the_rules(spark):
+    from tidemark.operators.points import _CODES, _WON, point_code, point_pair, point_winner
+
+    pairs = [(*x, *y, w) for (x, y), w in zip(((x, y) for x in _CODES for y in _CODES), _WON, strict=True)]
+    df = spark.createDataFrame(pairs, "a int, b int, c int, d int, w int")
+    want = point_winner(F.struct("a", "b"), F.struct(F.col("c").alias("a"), F.col("d").alias("b")))
+    assert df.where(~want.cast("int").eqNullSafe(F.col("w"))).count() == 0
+    texts = [(t,) for t in ("0:0", "A:40", "40:AD", "ad:40", " 15 - 30 x", "115:0", "", "x", "40:A", None)]
+    got = spark.createDataFrame(texts, "t string").select(point_code(F.col("t")).alias("c"), point_pair(F.col("t")).alias("p")).collect()
+    assert [r.c for r in got] == [None if r.p is None else 5 * r.p.a + r.p.b for r in got] and [r.c for r in got][1:4] == [23, 19, 23]
+
+
+def test_feeds_and_pages_are_read_once(spark):
+    games, _ = feed_games(spark.createDataFrame([(1, "HA÷Set 1¬~HC÷1¬HE÷0¬HL÷15:0¬HK÷1¬")], "doc int, payload string"))
+    assert "ArrayTransform" not in (plan := games._jdf.queryExecution().optimizedPlan().toString()) and "split" not in plan
+    games, _ = page_games(spark.createDataFrame([(1, "<p>")], "doc int, html string"))
+    assert "MapInArrow" not in games._jdf.queryExecution().optimizedPlan().toString()

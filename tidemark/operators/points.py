@@ -44,6 +44,42 @@ def point_winner(before: Column, after: Column) -> Column:
     return F.when(ok & (db == 0) & back(da, before["a"], after["b"]), 1).when(ok & (da == 0) & back(db, before["b"], after["a"]), 0).when(ok, one)
 
 
+# A game's score as one small number, 5 a + b, and what follows from one or two of them: looked up, not reckoned for every point.
+_CODES = [(a, b) for a in range(5) for b in range(5)]
+
+
+def _won(before: tuple[int, int], after: tuple[int, int]) -> int | None:
+    """``point_winner`` of two places."""
+    legal = lambda a, b: max(a, b) <= 2 or (a == 3 and b <= 3) or (b == 3 and a <= 3) or (a, b) in ((4, 3), (3, 4))
+    if not (legal(*before) and legal(*after)):
+        return None
+    step = (after[0] - before[0], after[1] - before[1])
+    if step == (-1, 0) and before[0] == 4 and after[1] == 3:
+        return 1
+    if step == (0, -1) and before[1] == 4 and after[0] == 3:
+        return 0
+    return {(1, 0): 0, (0, 1): 1}.get(step)
+
+
+def _able(a: int, b: int) -> bool:
+    return a == 4 or (a == 3 and b <= 2)
+
+
+_WON = [_won(x, y) for x in _CODES for y in _CODES]
+_CAN = [None if _able(a, b) == _able(b, a) else int(_able(b, a)) for a, b in _CODES]
+
+
+def _looked_up(values: list, at: Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), at)
+
+
+def point_code(text: Column) -> Column:
+    """5 a + b of ``point_pair``; the usual spellings are looked up."""
+    usual = [F.lit(x) for a, b in _CODES for n, m in [(SCORES[a], SCORES[b])] for x, y in {(f"{n}:{m}", 0), (f"{n}:{m}".replace("AD", "A"), 0)} for x in (x, 5 * a + b)]
+    pair = point_pair(text)
+    return F.coalesce(F.try_element_at(F.create_map(*usual), text), pair["a"] * 5 + pair["b"])
+
+
 def tie_winner(before: Column, after: Column) -> Column:
     a, b = after["a"] - before["a"], after["b"] - before["b"]
     return F.when((a == 1) & (b == 0), 0).when((b == 1) & (a == 0), 1)
@@ -80,22 +116,22 @@ def game_events(games: DataFrame, strict: bool) -> DataFrame:
     last_game = Window.partitionBy("doc", "set_no").orderBy("seq")
     before = F.struct(F.coalesce(F.lag("a").over(last_game), F.lit(0)).alias("a"), F.coalesce(F.lag("b").over(last_game), F.lit(0)).alias("b"))
     rows = rows.withColumn("done", tie_winner(before, F.struct("a", "b")))
-    pairs = F.transform("states", point_pair)
-    rows = rows.withColumns({"s": F.filter(pairs, lambda x: x.isNotNull()), "bad": F.size(F.filter(pairs, lambda x: x.isNull()))})
+    rows = rows.withColumn("codes", F.transform("states", point_code))
+    rows = rows.withColumns({"s": F.array_compact("codes"), "bad": F.size("codes") - F.size(F.array_compact("codes"))})
     score = F.concat("a", F.lit(":"), "b")
+    texts = [f"{SCORES[a]}:{SCORES[b]}" for a, b in _CODES]
 
     def point(after: Column, i: Column) -> Column:
-        was = F.when(i == 0, _zero()).otherwise(F.get("s", i - 1))
-        won = point_winner(was, after)
-        return _event(i, shown(was, SCORES), shown(after, SCORES), won, F.when(won.isNull(), "ambiguous").otherwise("confirmed"))
+        was = F.when(i == 0, 0).otherwise(F.get("s", i - 1))
+        both = was * 25 + after
+        return _event(i, _looked_up(texts, was), _looked_up(texts, after), _looked_up(_WON, both), _looked_up(["ambiguous" if w is None else "confirmed" for w in _WON], both))
 
     n = F.size("s")
     rows = rows.withColumns({"points": F.transform("s", point), "end": F.get("s", n - 1)})
-    able = lambda x, y: (F.col(f"end.{x}") == 4) | ((F.col(f"end.{x}") == 3) & (F.col(f"end.{y}") <= 2))
-    rows = rows.withColumn("can", F.when(able("a", "b") & ~able("b", "a"), 0).when(able("b", "a") & ~able("a", "b"), 1))
+    rows = rows.withColumn("can", _looked_up(_CAN, F.col("end")))
     proved = F.coalesce((F.col("can") == F.col("done")) & (F.col("told").isNull() | (F.col("told") == F.col("can"))), F.lit(False))
     ended = (n > 0) & F.col("closed")
-    terminal = F.when(ended & proved, _event(n, shown(F.col("end"), SCORES), score, F.col("can"), F.lit("terminal_from_game_result")))
+    terminal = F.when(ended & proved, _event(n, _looked_up(texts, F.col("end")), score, F.col("can"), F.lit("terminal_from_game_result")))
     gaps = [_gap(ended & ~proved, "ambiguous_terminal_point"), _gap((n == 0) & (F.lit(True) if strict else F.col("closed")), "point_sequence_missing")]
     if strict:
         gaps += [_gap((n > 0) & ~F.col("closed"), "game_result_missing"), _gap(F.col("done").isNull(), "game_score_transition_missing_or_invalid")]

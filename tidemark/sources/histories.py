@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import cut
+
 #: Fixed values of the feed: what parts records, fields, and a field's key from its value.
 RECORD, FIELD, VALUE = "~", "¬", "÷"
 _SET = r"(?i)(?:set|сет)\s*(\d+)|(\d+)\s*[-–]?\s*(?:й\s*)?(?:set|сет)"
@@ -32,14 +34,27 @@ def feed_records(payloads: DataFrame) -> DataFrame:
     return rows.select("doc", "seq", F.map_from_entries(once).alias("fields"))
 
 
+_FIELDS = ["HA", "HB", "HC", "HD", "HE", "HF", "HG", "HN", "HK", "HL"]
+
+
+def feed_fields(payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """doc, seq and the value of each of ``keys`` of every record, null where it is not there; the last of doubled keys counts."""
+    records = F.filter(F.split("payload", RECORD), lambda r: r != "")
+    rows = payloads.select("doc", F.posexplode(records).alias("seq", "record"))
+    fields = F.reverse(F.split("record", FIELD))
+    own = lambda k: F.get(F.filter(F.col("_fields"), lambda c: F.startswith(c, F.lit(k + VALUE))), F.lit(0))
+    return rows.select("doc", "seq", fields.alias("_fields")).select("doc", "seq", *[F.substring(own(k), len(k + VALUE) + 1, 1 << 30).alias(k) for k in keys])
+
+
 def feed_games(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The games of feeds (doc, payload), and gaps (doc, seq, set_no, what): records that are no game, tie-breaks without points, feeds without a set.
 
     A title gives the set of the records after it. Records before any title are passed over. Null
     and empty payloads are feeds without a set.
     """
-    rows = feed_records(payloads)
-    f = lambda k: F.try_element_at("fields", F.lit(k))
+    # Only the fields that are read below, and each feed is taken apart once, however many readers its games have.
+    rows = feed_fields(payloads, _FIELDS)
+    f = F.col
     tie_title = f("HB").isNotNull() & f("HB").rlike(_TIE)
     here = Window.partitionBy("doc").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     titled = F.when(tie_title, F.coalesce(set_number(f("HB")), set_number(f("HA")))).when(f("HA").isNotNull(), set_number(f("HA")))
@@ -47,20 +62,24 @@ def feed_games(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumns({"title": F.when(tie_title, 2).when(f("HA").isNotNull(), 1), "own": F.when(f("HA").isNotNull() & ~tie_title, F.coalesce(titled, F.lit(-1))).when(tie_title, titled)})
     rows = rows.withColumns({"set_no": F.nullif(F.last("own", True).over(here), F.lit(-1)), "section": F.last("title", True).over(here)})
     whole = lambda k: F.when(f(k).rlike(r"^\s*[+-]?\d{1,9}\s*$"), F.trim(f(k)).cast("int"))
-    games = rows.where(F.col("set_no").isNotNull() & f("HC").isNotNull() & f("HE").isNotNull()).withColumns({"a": whole("HC"), "b": whole("HE"), "tie": F.col("section") == 2})
+    rows = rows.withColumns({"a": whole("HC"), "b": whole("HE"), "tie": F.col("section") == 2})
     points = F.filter(F.transform(F.split(F.coalesce(f("HL"), F.lit("")), ","), lambda p: F.trim(F.substring_index(p, "|", 1))), lambda p: p != "")
-    result = ~F.col("tie") & (F.size(points) == 0) & f("HD").isNotNull() & f("HF").isNotNull() & (F.least("a", "b") == 6) & (F.greatest("a", "b") == 7)
-    games = games.withColumns({"states": points, "result": F.coalesce(result, F.lit(False))})
+    game = F.col("set_no").isNotNull() & f("HC").isNotNull() & f("HE").isNotNull()
+    rows = rows.withColumns({"states": F.when(game, points), "game": game})
+    result = ~F.col("tie") & (F.size("states") == 0) & f("HD").isNotNull() & f("HF").isNotNull() & (F.least("a", "b") == 6) & (F.greatest("a", "b") == 7)
     side = lambda c: F.when(c == "1", 0).when(c == "2", 1)
-    ok = games.where("a is not null and b is not null and not result")
-    out = ok.select(
+    rows = cut(rows.select(
         "doc", "seq", "set_no", "tie", "a", "b", side(F.coalesce(f("HG"), f("HN"))).alias("server"), "states", F.coalesce(f("HK").isin("1", "2"), F.lit(False)).alias("closed"),
-        side(f("HK")).alias("told"), F.lit(None).cast("int").alias("marker"),
-    )
+        side(f("HK")).alias("told"), F.lit(None).cast("int").alias("marker"), "game", (F.col("game") & F.coalesce(result, F.lit(False))).alias("result"),
+    ), "feeds")
+    games = rows.where("game")
+    ok = games.where("a is not null and b is not null and not result")
+    out = ok.drop("game", "result")
     named = lambda rows, reason: rows.select("doc", "seq", "set_no", F.lit(reason).alias("what"))
     gaps = named(games.where("a is null or b is null"), "invalid_game_score")
     played = ok.where("tie").select("doc", "set_no").distinct()
-    gaps = gaps.union(named(games.where("result").join(played, ["doc", "set_no"], "left_anti"), "tiebreak_point_sequence_missing"))
+    gaps = gaps.union(named(games.where("result and a is not null and b is not null").join(played, ["doc", "set_no"], "left_anti"), "tiebreak_point_sequence_missing"))
+    # A feed's records without a set do not count; a feed without any record is in no row, so feeds are told apart by their payloads.
     with_set = rows.where("set_no is not null").select("doc").distinct()
     bare = payloads.select("doc").distinct().join(with_set, "doc", "left_anti")
     return out, gaps.union(named(bare.select("doc", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("int").alias("set_no")), "point_by_point_feed_missing"))
@@ -201,7 +220,8 @@ def page_games(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
                 rows.append((page.finished(), page.titles))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g for g, _ in rows], pa.list_(_GAME)), pa.array([t for _, t in rows], pa.int32())], names=["doc", "games", "titles"])
 
-    read = pages.select("doc", "html").mapInArrow(run, f"doc {kind}, games array<{_GAME_SQL}>, titles int")
+    # Pages are read once, however many readers their games have.
+    read = cut(pages.select("doc", "html").mapInArrow(run, f"doc {kind}, games array<{_GAME_SQL}>, titles int"), "pages")
     games = read.select("doc", F.explode("games").alias("g")).select("doc", "g.*")
     bare = read.where("titles = 0").select("doc", F.lit(None).cast("int").alias("seq"), F.lit(None).cast("int").alias("set_no"), F.lit("point_by_point_markup_missing").alias("what"))
     return games, bare
