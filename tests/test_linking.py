@@ -84,3 +84,11 @@ def test_equal_modes_go_to_the_first_seen(spark, tmp_path):
     rows = [(k, u, t, 5.0) for k, (u, t) in enumerate((u, t) for u in range(40) for t in (("view", "click", "error") if u % 2 else ("error", "view", "click")))]
     spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").repartition(7).write.parquet(f"{tmp_path}/events.parquet")
     assert {r.user_id: r.mode for r in QUERIES["t6_preferred_mode"](spark, str(tmp_path)).collect()} == {u: "view" if u % 2 else "error" for u in range(40)}
+
+
+def test_a_name_is_read_once_a_part(spark, sf):
+    from tidemark.plans import QUERIES
+
+    plan = QUERIES["sc62_namesakes"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.split("Join")[0]  # what is reckoned after the joins
+    assert "p_name" in plan and "own#" in last and "regexp_extract_all(coalesce(p_name" not in last

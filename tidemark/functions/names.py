@@ -122,7 +122,11 @@ def about(name: Column, title: Column, url: Column) -> Column:
     letter is the person's own; after any other word it is a namesake's. Names without a surname or a
     first letter cannot be told from namesakes: ``absent``.
     """
-    own = surnames_and_letters(name)
+    return about_person(surnames_and_letters(name), title, url)
+
+
+def about_person(own: Column, title: Column, url: Column) -> Column:
+    """``about`` of a column of ``surnames_and_letters``. It is asked for every word, so where it is no plain column it is reckoned for every word."""
     surnames, letters = own["surnames"], own["letters"]
     fits = lambda w: F.array_contains(letters, F.substring(F.lower(w), 1, 1)) | F.array_contains(letters, F.substring(latin_letters(F.lower(w)), 1, 1))
     surname = lambda w: F.array_contains(surnames, folded_word(w))

@@ -209,10 +209,12 @@ def sc62_namesakes(spark, sf):
     """Whether a page's title or address means the part of this name, another of the same surname, or both."""
     line, part = table(spark, sf, "lineitem"), table(spark, sf, "part").select("p_partkey", "p_name")
     named = lambda c: part.toDF(f"{c}_key", c)
-    t = line.join(named("name"), F.col("l_partkey") == F.col("name_key")).join(named("a"), F.col("l_suppkey") == F.col("a_key")).join(named("b"), F.col("l_orderkey") % 97 == F.col("b_key"))
+    # A part's own name is read once a part, before it meets its lines.
+    own = part.select(F.col("p_partkey").alias("name_key"), N.surnames_and_letters(F.col("p_name")).alias("own"))
+    t = line.join(own, F.col("l_partkey") == F.col("name_key")).join(named("a"), F.col("l_suppkey") == F.col("a_key")).join(named("b"), F.col("l_orderkey") % 97 == F.col("b_key"))
     title = F.concat("a", F.lit(" vs "), "b", F.lit(": preview"))
     url = F.when(F.col("l_linenumber") % 5 == 0, F.concat(F.lit("https://x.org/person/"), F.replace("b", F.lit(" "), F.lit("-")), F.lit("?a=1"))).otherwise("https://x.org/news/1")
-    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.about(F.col("name"), title, url).alias("about"))
+    return t.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", N.about_person(F.col("own"), title, url).alias("about"))
 
 
 _PUBLISHED = [
