@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.plans import QUERIES
 from tidemark.sources.tables import table
+from tidemark.streaming import feeds
 
 
 def test_windows_equal_the_closed_batch_windows(spark, sf):
@@ -32,3 +33,24 @@ def test_cache_equals_a_loop(spark, sf):
         if not want[r.event_id]:
             stored[key] = r.ts
     assert {r.event_id: r.hit for r in QUERIES["st11_cached_states"](spark, sf).collect()} == want and 0 < sum(want.values()) < len(want)
+
+
+def test_cache_goes_on_from_batch_to_batch_with_a_state_per_bucket(spark, sf, tmp_path):
+    e = table(spark, sf, "events").select("event_id", "user_id", "event_type", "ts").withColumn("ts", F.col("ts").cast("timestamp")).where("event_type in ('view', 'error')")
+    rows = sorted(e.collect(), key=lambda r: (r.ts, r.event_id))
+    half = rows[len(rows) // 2].ts
+    for k, part in enumerate((e.where(F.col("ts") < half), e.where(F.col("ts") >= half))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(e.schema).parquet(f"{tmp_path}/in")
+        q = feeds.cached(stream, 12 * 3600, buckets=3).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint")
+        q = q.trigger(availableNow=True).start()
+        q.awaitTermination()
+        held = [s["numRowsTotal"] for p in q.recentProgress for s in p["stateOperators"]]
+        assert max(held) <= 3 < len({(r.user_id, r.event_type) for r in rows}), "a group a key costs its start for each key"
+    stored, want = {}, {}
+    for r in rows:
+        key = (r.user_id, r.event_type)
+        want[r.event_id] = key in stored and (r.ts - stored[key]).total_seconds() <= 12 * 3600
+        if not want[r.event_id]:
+            stored[key] = r.ts
+    assert {r.event_id: r.hit for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want

@@ -84,31 +84,40 @@ def confirmed(rows: DataFrame, required: int, late: str = "1 day", keep_days: in
     )
 
 
-def cached(rows: DataFrame, ttl_seconds: int, late: str = "1 day") -> DataFrame:
+#: Groups into which the keys of a cache are dealt: a group costs some 10 ms a batch of the stream, whatever it holds.
+BUCKETS = 1024
+
+
+def cached(rows: DataFrame, ttl_seconds: int, late: str = "1 day", buckets: int = BUCKETS) -> DataFrame:
     """event_id, hit: whether the row's key was stored no longer than ``ttl_seconds`` ago.
 
-    A miss stores the key at its time; a hit does not renew it. State is that one time, dropped once the
-    watermark has passed it.
+    A miss stores the key at its time; a hit does not renew it. Keys are dealt into ``buckets``; the state of
+    one holds these times of its keys, each dropped once the watermark has passed it.
     """
+    ttl = ttl_seconds * 1_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        stored = state.get[0] if state.exists else None
-        out = []
-        for r in pd.concat(frames).sort_values(["ts", "event_id"]).itertuples():
-            at = r.ts.value // 1000
-            hit = stored is not None and at - stored <= ttl_seconds * 1_000_000
-            if not hit:
-                stored = at
-            out.append((r.event_id, hit))
-        state.update((stored,))
-        state.setTimeoutTimestamp(max(stored // 1000, state.getCurrentWatermarkMs()) + ttl_seconds * 1000 + 1)
-        yield pd.DataFrame(out, columns=["event_id", "hit"])
+        stored = dict(zip(*state.get, strict=True)) if state.exists else {}
+        all_rows, hits = pd.concat(frames).sort_values(["ts", "event_id"]), []
+        for k, at in zip(all_rows.state_hash.tolist(), all_rows.ts.dt.as_unit("us").astype("int64").tolist(), strict=True):
+            since = stored.get(k)
+            hits.append(since is not None and at - since <= ttl)
+            if not hits[-1]:
+                stored[k] = at
+        passed = state.getCurrentWatermarkMs() * 1000 - ttl
+        last = max(stored.values())
+        stored = {k: at for k, at in stored.items() if at >= passed}
+        state.update((list(stored), list(stored.values())))
+        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + ttl_seconds * 1000 + 1)
+        yield pd.DataFrame({"event_id": all_rows.event_id, "hit": hits})
 
     keyed = rows.withColumn("state_hash", F.sha2(F.concat_ws("|", "user_id", "event_type"), 256)).withWatermark("ts", late)
-    return keyed.groupBy("state_hash").applyInPandasWithState(step, "event_id long, hit boolean", "stored long", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = keyed.select("event_id", "ts", "state_hash", F.pmod(F.xxhash64("state_hash"), F.lit(buckets)).alias("bucket"))
+    kind = "keys array<string>, stored array<bigint>"
+    return keyed.groupBy("bucket").applyInPandasWithState(step, "event_id long, hit boolean", kind, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def changed(rows: DataFrame, late: str = "1 day", keep_days: int = 30) -> DataFrame:
