@@ -161,3 +161,18 @@ def test_feeds_and_pages_are_read_once(spark):
     assert "ArrayTransform" not in (plan := games._jdf.queryExecution().optimizedPlan().toString()) and "split" not in plan
     games, _ = page_games(spark.createDataFrame([(1, "<p>")], "doc int, html string"))
     assert "MapInArrow" not in games._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_result_pages_are_read_once_and_plain_ones_as_the_parser_reads_them(spark, sf):
+    from tidemark.plans.histories import result_pages
+    from tidemark.sources.results import _rows_of
+
+    plan = result_rows(result_pages(spark, sf))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    row = '<table class="result"><tr class="bott"><td class=first title="x">a &amp; b</td><td><a href="/player/ann-1/">Ann</a></td><td><a href="/match-detail/?id=7">i</a></td></tr><tr><td><a href="/player/bea/">Bea</a><sup>5</sup></table>'
+    plain = [row, "x &lt; y" + row + "tail &am", "<title>t</title>" + row, row.replace("<tr>", "<tr hidden>\n"), "<p>1 > 0</p>" + row]
+    other = [row.replace("/ann-1/", "/ann&amp;1/"), "<!-- <tr> -->" + row, "<TITLE>t</TITLE>" + row, "<script>'<tr>'</script>" + row, "<title>a <b>c</title>" + row, row + "<br/>", "a < b" + row, row[:-3]]
+    for page, kind in [(p, True) for p in plain] + [(p, False) for p in other]:
+        want = _Table()
+        want.feed(page)
+        assert _Table().fed_plain(page) is kind and _rows_of(page) == want.finished()[1], page

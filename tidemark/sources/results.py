@@ -5,22 +5,38 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .histories import _VOID
 
-_ROW = pa.struct([("head", pa.bool_()), ("text", pa.string()), ("notes", pa.string()), ("href", pa.string()), ("label", pa.string()), ("match", pa.string()), ("players", pa.list_(pa.string())), ("names", pa.list_(pa.string())), ("result", pa.string()), ("results", pa.int32()), ("sets", pa.list_(pa.string())), ("time", pa.string())])
-_ROW_SQL = (
-    "struct<head: boolean, text: string, notes: string, href: string, label: string, match: string, players: array<string>, names: array<string>, result: string, results: int, sets: array<string>, time: string>"
-)
+#: Pages whose rows are held as Python objects at a time.
+PAGES = 64
+#: What is told of a match's row; of its opponent's the same.
+_ROW = {"text": pa.string(), "notes": pa.string(), "match": pa.string(), "players": pa.list_(pa.string()), "names": pa.list_(pa.string()), "result": pa.string(), "results": pa.int32(), "sets": pa.list_(pa.string()), "time": pa.string()}
+_ROW_SQL = {pa.string(): "string", pa.int32(): "int", pa.list_(pa.string()): "array<string>"}
 #: Words of a match that was not played out, and of tours, the first that occurs.
 REJECTED = ["walkover", "w/o", "retired", "abandoned", "cancelled", "canceled"]
 TOURS = [("challenger", ["challenger"]), ("itf", ["itf", "future"]), ("wta", ["wta", "women"]), ("atp", ["atp", "men"])]
 GENDERS = [("w", ["wta", "women", "female", "itf-w"]), ("m", ["atp", "men", "challenger", "itf-m"])]
+#: What stands between < and > in a plain tag: lower case, no reference in an attribute, no element whose text is not markup but a title.
+_PLAIN = re.compile(r"""/?(?!(?:script|style|textarea|iframe|xmp|noembed|noframes|noscript|plaintext)\b)([a-z][a-z0-9]*)((?:[ \n\t]+[a-z][a-z0-9-]*(?:="[^"<>&]*"|=[A-Za-z0-9_.-]+)?)*)[ \n\t]*""")
+_ATTRIBUTE = re.compile(r"""[ \n\t]([a-z][a-z0-9-]*)(?:="([^"]*)"|=([A-Za-z0-9_.-]+))?""")
+
+
+@lru_cache(4096)
+def _plain(text: str) -> tuple[str, dict[str, str], list[str]] | None:
+    """Name, attributes and classes of a plain tag; None for any other."""
+    m = _PLAIN.fullmatch(text)
+    if not m or (text[0] == "/" and len(m[1]) + 1 != len(text)):
+        return None
+    own = {k: a or b for k, a, b in _ATTRIBUTE.findall(m[2])}
+    return m[1], own, own.get("class", "").split()
 
 
 class _Table(HTMLParser):
@@ -40,7 +56,9 @@ class _Table(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         own = {k: v or "" for k, v in attrs}
-        classes = own.get("class", "").split()
+        self._open(tag, own, own.get("class", "").split())
+
+    def _open(self, tag: str, own: dict[str, str], classes: list[str]) -> None:
         part = ""
         if tag == "table" and "result" in classes:
             part, self.tables = "table", self.tables + 1
@@ -101,6 +119,27 @@ class _Table(HTMLParser):
         if row is not None and self.rows:
             self.rows[-1].append(row)
 
+    def fed_plain(self, html: str) -> bool:
+        """Read a page of plain tags and text as ``feed`` does, only faster; False where it holds anything else."""
+        before, *pieces = html.split("<")
+        if before:
+            self.handle_data(unescape(before))
+        title = False
+        for piece in pieces:
+            tag, end, text = piece.partition(">")
+            own = _plain(tag) if end else None
+            if own is None or (title and tag != "/title"):
+                return False
+            if tag[0] == "/":
+                self.handle_endtag(own[0])
+                title = False
+            else:
+                self._open(*own)
+                title = own[0] == "title"
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+        return not title
+
     def finished(self) -> tuple[str, list[list[dict]]]:
         self.close()
         self._close_row()
@@ -131,6 +170,14 @@ def _told(row: dict) -> dict:
     }
 
 
+def _rows_of(html: str) -> list[list[dict]]:
+    table = _Table()
+    if not table.fed_plain(html):
+        table = _Table()
+        table.feed(html)
+    return table.finished()[1]
+
+
 def _pairs(tables: list[list[dict]]) -> list[dict]:
     """Rows of a match and its opponent's, under the last header of their table."""
     out = []
@@ -165,40 +212,45 @@ def result_rows(pages: DataFrame) -> DataFrame:
     first row does, the others are ``repeated``. Null and empty pages have no rows.
     """
     kind = pages.schema["doc"].dataType.simpleString()
-    pair = pa.struct([("event", pa.string()), ("address", pa.string()), ("one", _ROW), ("two", _ROW)])
+    fields = [(side, c) for side in ("one", "two") for c in _ROW]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for html in batch.column(1):
-                table = _Table()
-                table.feed(html.as_py() or "")
-                found.append(_pairs(table.finished()[1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pair))], names=["doc", "pairs"])
-
-    read = pages.select("doc", "html").mapInArrow(run, f"doc {kind}, pairs array<struct<event: string, address: string, one: {_ROW_SQL}, two: {_ROW_SQL}>>")
-    m = read.select("doc", F.posexplode("pairs").alias("k", "p")).select("doc", "k", "p.*")
+        parts = (batch.slice(k, PAGES) for batch in batches for k in range(0, batch.num_rows, PAGES))
+        for batch in parts:
+            found = [_pairs(_rows_of(html.as_py() or "")) for html in batch.column(1)]
+            pairs = [p for own in found for p in own]
+            doc = batch.column(0).take(pa.array([k for k, own in enumerate(found) for _ in own], pa.int64()))
+            columns = [doc, pa.array([k for own in found for k in range(len(own))], pa.int32()), *(pa.array([p[c] for p in pairs], pa.string()) for c in ("event", "address"))]
+            columns += [pa.array([p[side][c] for p in pairs], _ROW[c]) for side, c in fields]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "k", "event", "address", *(f"{side}_{c}" for side, c in fields)])
+
+    told = ", ".join(f"{side}_{c} {_ROW_SQL[_ROW[c]]}" for side, c in fields)
+    m = pages.select("doc", "html").mapInArrow(run, f"doc {kind}, k int, event string, address string, {told}")
     context = F.lower(F.concat_ws(" ", F.coalesce("address", F.lit("")), F.coalesce("event", F.lit(""))))
-    told = F.lower(F.concat_ws(" ", "one.text", "two.text", "one.notes", "two.notes"))
-    number = lambda side: F.when((F.col(f"{side}.results") == 1) & F.col(f"{side}.result").rlike(r"^\d{1,2}$"), F.col(f"{side}.result").cast("int"))
+    told = F.lower(F.concat_ws(" ", "one_text", "two_text", "one_notes", "two_notes"))
+    number = lambda side: F.when((F.col(f"{side}_results") == 1) & F.col(f"{side}_result").rlike(r"^\d{1,2}$"), F.col(f"{side}_result").cast("int"))
     m = m.withColumns({"tour": F.coalesce(_first_of(context, TOURS), F.lit("unknown")), "gender": F.coalesce(_first_of(context, GENDERS), F.lit("unknown")), "a": number("one"), "b": number("two")})
     bad = F.lit(False)
     for w in REJECTED:
         bad = bad | F.contains(told, F.lit(w))
-    n, o = F.size("one.sets"), F.size("two.sets")
+    n, o = F.size("one_sets"), F.size("two_sets")
     reason = (
-        F.when(F.size("two.players") != 1, "opponent_unknown").when(bad, "not_played_out").when(F.col("one.match") == "", "match_id_missing").when(F.col("a").isNull() | F.col("b").isNull(), "result_missing")
+        F.when(F.size("two_players") != 1, "opponent_unknown").when(bad, "not_played_out").when(F.col("one_match") == "", "match_id_missing").when(F.col("a").isNull() | F.col("b").isNull(), "result_missing")
         .when((F.col("a") == F.col("b")) | (F.greatest("a", "b") < 2), "not_decided").when((n < 2) | (n != o), "sets_missing").when((F.col("tour") == "unknown") | (F.col("gender") == "unknown"), "event_unknown")
     )
     m = m.withColumn("reason", reason)
-    first = m.where("reason is null").groupBy(F.col("doc").alias("_doc"), F.col("one.match").alias("_match")).agg(F.min("k").alias("_first"))
-    m = m.join(first, (F.col("doc") == F.col("_doc")) & (F.col("one.match") == F.col("_match")), "left")
-    m = m.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("k") != F.col("_first")), "repeated").otherwise(F.col("reason")))
     won = F.col("a") > F.col("b")
     known = lambda x: F.when(F.col("reason").isNull(), x)
-    side = lambda f, winner: known(F.when(won == winner, F.get(F.col(f"one.{f}"), F.lit(0))).otherwise(F.get(F.col(f"two.{f}"), F.lit(0))))
-    score = F.array_join(F.zip_with(F.when(won, F.col("one.sets")).otherwise(F.col("two.sets")), F.when(won, F.col("two.sets")).otherwise(F.col("one.sets")), lambda x, y: F.concat(x, F.lit("-"), y)), " ")
+    side = lambda f, winner: known(F.when(won == winner, F.get(F.col(f"one_{f}"), F.lit(0))).otherwise(F.get(F.col(f"two_{f}"), F.lit(0))))
+    score = F.array_join(F.zip_with(F.when(won, F.col("one_sets")).otherwise(F.col("two_sets")), F.when(won, F.col("two_sets")).otherwise(F.col("one_sets")), lambda x, y: F.concat(x, F.lit("-"), y)), " ")
+    told = {
+        "winner_id": side("players", True), "loser_id": side("players", False), "winner": side("names", True), "loser": side("names", False), "score": known(score),
+        "best_of": known(F.when(F.greatest("a", "b") >= 3, 5).otherwise(3)),
+    }
+    m = m.select("doc", "k", F.nullif(F.col("one_match"), F.lit("")).alias("match_id"), "event", "tour", "gender", F.col("one_time").alias("time"), *(x.alias(c) for c, x in told.items()), "reason")
+    # A window, not a join of the rows with their firsts: pages are read once, and only what is told is shuffled.
+    first = F.min(F.when(F.col("reason").isNull(), F.col("k"))).over(Window.partitionBy("doc", "match_id"))
+    m = m.withColumn("again", F.coalesce(F.col("reason").isNull() & F.col("doc").isNotNull() & (F.col("k") != first), F.lit(False)))
     return m.select(
-        "doc", F.nullif(F.col("one.match"), F.lit("")).alias("match_id"), "event", "tour", "gender", F.col("one.time").alias("time"), side("players", True).alias("winner_id"), side("players", False).alias("loser_id"),
-        side("names", True).alias("winner"), side("names", False).alias("loser"), known(score).alias("score"), known(F.when(F.greatest("a", "b") >= 3, 5).otherwise(3)).alias("best_of"), "reason",
-    )
+        "doc", "match_id", "event", "tour", "gender", "time", *(F.when(~F.col("again"), F.col(c)).alias(c) for c in told), F.when(F.col("again"), "repeated").otherwise(F.col("reason")).alias("reason")
+    )
