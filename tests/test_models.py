@@ -136,3 +136,16 @@ def test_profiles_of_odd_rows(spark):
     assert {k[0] for k in got} == {1} and got[1, "days", "365"] == (2, 1, 0.5, None, None) and got[1, "days", "90"] == (1, 0, 0.0, None, None)
     assert got[1, "surface", "clay"][0] == got[1, "surface", "unknown"][0] == 1 and got[1, "serve", ""] == (1, 0, None, 10.0, None) and got[1, "load", "30"] == (1, 0, 0.0, None, 0)
     assert profiles.profile_rows(df.limit(0)).count() == profiles.rating_folds(df.limit(0)).count() == 0
+
+
+def test_player_folds_go_on_from_batch_to_batch(spark, sf):
+    want = {tuple(r) for r in QUERIES["ag28_player_folds"](spark, sf).collect()}
+    got = QUERIES["ag28_player_folds"](spark, sf)
+    assert "MapInArrow" in got._jdf.queryExecution().executedPlan().toString(), "players of a batch are folded side by side, not row by row"
+    for size in ("1", "7"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        rows = QUERIES["ag28_player_folds"](spark, sf).collect()
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        assert len(rows) == len(want)
+        for a, b in zip(sorted(map(tuple, rows)), sorted(want), strict=True):
+            assert a == pytest.approx(b, abs=1e-9)

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,37 +104,63 @@ def player_folds(results: DataFrame, load_days: int = 7, recent: int = 10) -> Da
     """One row a player of results (player, at, result, won): state after the last result, each played against a neutral opponent.
 
     elo, mu, phi, sigma, played, wins, load (results of the last days, the last included) and form (share
-    won of the last results). Results come sorted to the tasks and are read batch by batch; what is held is
-    one player's state. Rows without player, time or outcome take no part.
+    won of the last results). Results come sorted to the tasks and are read batch by batch, the next result of
+    every player of a batch at once; what is carried over is the state of the batch's last player. Rows without
+    player, time or outcome take no part.
     """
     rows = results.select(F.col("player").cast("long").alias("player"), F.unix_micros(F.col("at").cast("timestamp")).alias("at"), F.col("result").cast("long").alias("result"), F.col("won").cast("int").alias("won")).dropna()
+    span = load_days * 86_400_000_000
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, s = None, None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = DEVIATION / SCALE
         g = 1 / np.sqrt(1 + 3 * one * one / np.pi**2)
+        # The last player's number, state, and the times and outcomes that load and form still need.
+        key, carried, times, last = None, None, np.empty(0, np.int64), np.empty(0, np.int64)
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if r.player != key:
-                    if s:
-                        out.append(_row(key, s))
-                    key, s = r.player, {"elo": 1500.0, "mu": 0.0, "phi": one, "sigma": VOLATILITY, "played": 0, "wins": 0, "times": [], "last": []}
-                s["elo"] += 32.0 * (r.won - 1 / (1 + 10 ** ((1500.0 - s["elo"]) / 400)))
-                e = 1 / (1 + np.exp(-g * s["mu"]))
-                s["mu"], s["phi"], s["sigma"] = (float(x[0]) for x in updated(*(np.array([x]) for x in (s["mu"], s["phi"], s["sigma"], g * g * e * (1 - e), g * (r.won - e)))))
-                s["played"], s["wins"] = s["played"] + 1, s["wins"] + r.won
-                s["times"] = [t for t in s["times"] if t > r.at - load_days * 86_400_000_000] + [r.at]
-                s["last"] = (s["last"] + [r.won])[-recent:]
-            yield pd.DataFrame(out, columns=_COLUMNS)
-        if s:
-            yield pd.DataFrame([_row(key, s)], columns=_COLUMNS)
-
-    return rows.repartition("player").sortWithinPartitions("player", "at", "result").mapInPandas(fold, "player long, elo double, mu double, phi double, sigma double, played long, wins long, load long, form double")
+            if not b.num_rows:
+                continue
+            player, at, won = (b.column(c).to_numpy() for c in ("player", "at", "won"))
+            start = np.flatnonzero(np.append(True, player[1:] != player[:-1]))
+            end = np.append(start[1:], len(player))
+            state = np.tile(np.array([1500.0, 0.0, one, VOLATILITY, 0.0, 0.0]), (len(start), 1))
+            if key is not None and player[0] != key:
+                yield _told([key], carried[None], [_load_and_form(times, last, span, recent)])
+                times, last = times[:0], last[:0]
+            elif key is not None:
+                state[0] = carried
+            by_size = np.argsort(start - end, kind="stable")
+            size = (end - start)[by_size]
+            for k in range(int(size[0])):
+                live = by_size[: int(np.searchsorted(-size, -k, "left"))]
+                w, s = won[start[live] + k], state[live]
+                s[:, 0] += 32.0 * (w - 1 / (1 + 10 ** ((1500.0 - s[:, 0]) / 400)))
+                e = 1 / (1 + np.exp(-g * s[:, 1]))
+                s[:, 1:4] = np.stack(updated(s[:, 1], s[:, 2], s[:, 3], g * g * e * (1 - e), g * (w - e)), 1)
+                s[:, 4] += 1
+                s[:, 5] += w
+                state[live] = s
+            ends = []
+            for a, z in zip(start.tolist(), end.tolist(), strict=True):
+                times, last = (np.append(times, at[a:z]), np.append(last, won[a:z])) if a == 0 else (at[a:z], won[a:z])
+                ends.append(_load_and_form(times, last, span, recent))
+            if len(start) > 1:
+                yield _told(player[start[:-1]], state[:-1], ends[:-1])
+            key, carried = int(player[-1]), state[-1]
+            times, last = times[times > times[-1] - span], last[-recent:]
+        if key is not None:
+            yield _told([key], carried[None], [_load_and_form(times, last, span, recent)])
+
+    kinds = "player long, elo double, mu double, phi double, sigma double, played long, wins long, load long, form double"
+    return rows.repartition("player").sortWithinPartitions("player", "at", "result").select("player", "at", "won").mapInArrow(fold, kinds)
 
 
 _COLUMNS = ["player", "elo", "mu", "phi", "sigma", "played", "wins", "load", "form"]
 
 
-def _row(key: int, s: dict) -> tuple:
-    return key, s["elo"], s["mu"], s["phi"], s["sigma"], s["played"], s["wins"], len(s["times"]), sum(s["last"]) / len(s["last"])
+def _load_and_form(times: np.ndarray, won: np.ndarray, span: int, recent: int) -> tuple[int, float]:
+    return int((times > times[-1] - span).sum()), float(won[-recent:].mean())
+
+
+def _told(players: np.ndarray | list, state: np.ndarray, ends: list[tuple[int, float]]) -> pa.RecordBatch:
+    numbers = [pa.array(state[:, c].astype(np.int64) if c > 3 else state[:, c]) for c in range(6)]
+    return pa.RecordBatch.from_arrays([pa.array(players, pa.int64()), *numbers, pa.array([x for x, _ in ends], pa.int64()), pa.array([x for _, x in ends], pa.float64())], names=_COLUMNS)
