@@ -129,6 +129,18 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 98: 98, 99: 98} | {k: 20 for k in range(20, 61)}
 
 
+def test_components_of_a_slice_equal_those_of_rounds_in_one_job(spark):
+    edges = spark.createDataFrame([(k * 37 % 400, k * 91 % 211 + 1000 * (k % 3)) for k in range(150)], "winner long, loser long")
+    told = lambda rows: {r.player: r.component for r in rows.collect()}
+    want = told(waves.components(edges))
+    assert len(set(want.values())) > 3
+    spark.sparkContext.setJobGroup("components", "of a slice")
+    got = told(waves.slice_components(edges))
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == want and len(jobs) <= 6, "no rounds"
+
+
 def test_corrections_and_odd_rows(spark):
     row = lambda i, known, w, lo, ok=True, surface="Clay": (i, f"2024-01-{known:02d} 00:00:00", "2024-01-01 00:00:00", w, lo, surface, None, ok, 50.0, 30.0, None, None)
     rows = [row(1, 1, "a", "b"), row(1, 5, "b", "a"), row(2, 1, "a", "a"), row(3, 1, None, "a"), row(4, 1, "c", "d"), row(4, 2, "c", "d", False), row(None, 1, "x", "y"), row(5, 1, "e", "f", True, None), row(5, 1, "e", "f", True, None)]

@@ -9,6 +9,7 @@ table, written anew once a slice, so only the number of slices is sequential on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -99,6 +100,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def slice_components(edges: DataFrame) -> DataFrame:
+    """The same as ``components`` for the edges of one slice, in one pass of one task: a slice's length bounds its players."""
+    player = edges.schema["winner"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict = {}
+
+        def top(x):
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(x), top(y)))
+                above[high] = low
+        names = list(above)
+        for k in range(0, len(names), 100_000):
+            own = names[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own, kind), pa.array([top(x) for x in own], kind)], names=["player", "component"])
+
+    dealt = edges.select("winner", "loser").distinct().repartition(1)
+    return cut(dealt.mapInArrow(run, f"player {player}, component {player}"), "components")
+
+
 def fold_matches(matches: DataFrame, rule: Rule = RESULTS, slice_rows: int = SLICE, alone: int = ALONE) -> tuple[DataFrame, DataFrame]:
     """Both sides' states before each match, and each player's state after the last one.
 
@@ -125,7 +153,7 @@ def fold_matches(matches: DataFrame, rule: Rule = RESULTS, slice_rows: int = SLI
         now = rows.where(F.col("slice") == s.slice)
         players = now.select(F.explode(F.array("winner", "loser")).alias("player")).distinct()
         if s.n > alone:
-            found = components(now)
+            found = slice_components(now)
             now = now.join(found.withColumnRenamed("player", "winner"), "winner")
             players = found.toDF("player", "own")
         else:
