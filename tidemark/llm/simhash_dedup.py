@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, blocks, doc_shingles, mix, simhash, utf8
-from .storage import added_tables, cut, fresh, packed, unpacked
+from .storage import added_tables, cut, fresh, packed
 
 #: Members of a bucket that one task compares with each other; larger buckets are divided.
 BUCKET = 512
@@ -392,14 +392,9 @@ def shingle_levels(docs: DataFrame, shingle: int, bits: int = 22) -> np.ndarray:
             if own.any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(own.astype(np.int64))], pa.binary())], names=["part", "n"])
 
-    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = [np.round(2 * np.log2(unpacked(x.as_py()) + 1)).astype(np.uint8).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.binary())], names=["part", "n"])
-
     out = np.zeros(1 << bits, np.uint8)
-    sums = added_tables(fresh(docs, "text").mapInArrow(count, "part long, n binary"))
-    for r in sums.mapInArrow(levels, "part long, n binary").collect():  # 64 rows of 64 KB
+    rows = fresh(docs, "text").mapInArrow(count, "part long, n binary")
+    for r in added_tables(rows, last=lambda n: np.round(2 * np.log2(n + 1)).astype(np.uint8).tobytes()).collect():  # 64 rows of 64 KB
         out[r.part * part : (r.part + 1) * part] = np.frombuffer(r.n, np.uint8)
     return out
 

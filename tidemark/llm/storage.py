@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +28,16 @@ def unpacked(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), "<i4" if raw[:1] == b"4" else "<i8")
 
 
-def added_tables(rows: DataFrame, spread: int = 1024) -> DataFrame:
-    """part, n: the sum of all ``packed`` tables of each part, packed.
+def added_tables(rows: DataFrame, spread: int = 1024, last: Callable[[np.ndarray], bytes] = packed) -> DataFrame:
+    """part, n: the sum of all ``packed`` tables of each part, as ``last`` writes it.
 
     ``rows`` has one row a task and part. They are added in two steps, first the tasks of one of
     ``spread`` shares, and batch by batch, so no task reads the rows of all tasks or holds more than
-    one table a part.
+    one table a part. A further Python step on the result would take a second worker for each task,
+    and executors keep these; ``last`` spares it.
     """
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch], write: Callable[[np.ndarray], bytes] = packed) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -47,8 +48,8 @@ def added_tables(rows: DataFrame, spread: int = 1024) -> DataFrame:
                     total[k] = own.astype(np.int64)
         while total:
             k, n = total.popitem()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(n)], pa.binary())], names=["part", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([write(n)], pa.binary())], names=["part", "n"])
 
     kinds = "part long, n binary"
     shares = rows.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(spread))).repartition("part", "share").select("part", "n")
-    return shares.mapInArrow(add, kinds).repartition("part").mapInArrow(add, kinds)
+    return shares.mapInArrow(add, kinds).repartition("part").mapInArrow(lambda batches: add(batches, last), kinds)
