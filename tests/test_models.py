@@ -149,3 +149,20 @@ def test_player_folds_go_on_from_batch_to_batch(spark, sf):
         assert len(rows) == len(want)
         for a, b in zip(sorted(map(tuple, rows)), sorted(want), strict=True):
             assert a == pytest.approx(b, abs=1e-9)
+
+
+def test_estimators_read_rows_dealt_evenly(spark, sf, monkeypatch):
+    """A table of one file is dealt over several parts before the estimators pass over it, and no row is lost."""
+    from tidemark.plans import models as plans
+
+    seen, of = [], plans.M.fitted
+    monkeypatch.setattr(plans.M, "fitted", lambda rows, *how: (seen.append((len(rows.inputFiles()), rows.count())), of(rows, *how))[1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = QUERIES["u5_estimators"](spark, sf).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    rows = samples(spark, sf)
+    early = rows.where("ts < timestamp_ntz '2024-01-22'").count()
+    assert len(seen) == 4 and all(files > 1 and n == early for files, n in seen)
+    assert {r.n for r in got} == {rows.count() - early}
