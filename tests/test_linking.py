@@ -86,6 +86,25 @@ def test_equal_modes_go_to_the_first_seen(spark, tmp_path):
     assert {r.user_id: r.mode for r in QUERIES["t6_preferred_mode"](spark, str(tmp_path)).collect()} == {u: "view" if u % 2 else "error" for u in range(40)}
 
 
+def test_a_mode_without_drawdown_or_name_comes_last(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import ORACLES, QUERIES
+
+    nan = float("nan")
+    modes = {
+        1: [("a", None), ("b", 5.0)], 2: [("a", 5.0), ("b", None)], 3: [(None, 1.0), ("b", 5.0)], 4: [(None, None), ("b", 3.0)], 5: [(None, 1.0)], 6: [("a", nan), ("b", None)],
+        7: [("a", None), ("b", None), ("b", None)], 8: [("a", 0.0), ("b", -0.0), ("b", -0.0)], None: [("a", 2.0), (None, 1.0)],
+    }
+    rows = [(u, *m) for u, own in modes.items() for m in own]
+    spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.mode for r in QUERIES["t6_preferred_mode"](spark, str(tmp_path)).collect()}
+    assert got == {1: "b", 2: "a", 3: "b", 4: "b", 5: None, 6: "a", 7: "b", 8: "b", None: "a"}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got == dict(con.execute(ORACLES["t6_preferred_mode"]).fetchall())
+
+
 def test_a_name_is_read_once_a_part(spark, sf):
     from tidemark.plans import QUERIES
 

@@ -144,9 +144,13 @@ def t1_weighted_composite(spark, sf):
 SELECT user_id, min_by(event_type, (worst, -total)) AS mode FROM (SELECT user_id, event_type, max(value) AS worst, count(*) AS total FROM events GROUP BY 1, 2) GROUP BY 1
 """)
 def t6_preferred_mode(spark, sf):
-    """The mode of least drawdown; of equal ones that of the larger bank, and of these the one seen first."""
+    """The mode of least drawdown; of equal ones that of the larger bank, and of these the one seen first.
+
+    A mode without any drawdown comes after all others, and one without a name is taken only where no other is.
+    """
     modes = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("value").alias("worst"), F.count("*").alias("total"), F.min("event_id").alias("first"))
-    return modes.groupBy("user_id").agg(F.min_by("event_type", F.struct(F.col("worst"), -F.col("total"), F.col("first"))).alias("mode"))
+    rank = F.struct(F.col("worst").isNull(), F.col("worst"), -F.col("total"), F.col("first"), F.col("event_type"))
+    return modes.groupBy("user_id").agg(F.min_by("event_type", F.when(F.col("event_type").isNotNull(), rank)).alias("mode"))
 
 
 @query("""
