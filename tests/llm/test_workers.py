@@ -57,3 +57,22 @@ def test_levels_of_shingles_are_those_of_their_counts(spark, sf):
     for _, _, h, _ in doc_shingles(docs.toArrow().column("text"), 5):
         np.add.at(n, (h >> U64(64 - 18)).astype(np.int64), 1)
     assert (simhash_dedup.shingle_levels(docs, 5, 18) == np.round(2 * np.log2(n + 1)).astype(np.uint8)).all()
+
+
+def test_near_duplicates_broadcast_no_table(spark, monkeypatch):
+    """Explodes and Python steps hold many times what Spark estimates, so the driver would hold what it can not foresee."""
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (simhash_dedup, components):
+        monkeypatch.setattr(module, "cut", lambda df, *more, _cut=module.cut, **how: _cut(planned(df), *more, **how))
+    words = [f"w{k}" for k in range(60)]
+    rows = [(d, " ".join(words[d % 7 : 40 + d % 7] + [f"x{d // 3}"])) for d in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = planned(simhash_dedup.keep_one_of_each(docs, bucket=8)).count()
+    planned(simhash_dedup.simhash_components(docs)).count()
+    assert 0 < kept < 40 and sum("Join" in p for p in plans) > 10
+    assert not [p for p in plans if "Broadcast" in p]

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import cut
+from .storage import cut, shuffled
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges``: a, b of one type. Returns node, root: the smallest node of its component.
 
     Each step is a grouping and a join on the node, so nothing is gathered and a hub of any degree
-    is split by adaptive execution. Nodes without an edge to another node are not returned. Nulls
+    is split by adaptive execution; nothing is broadcast. Nodes without an edge to another node are not returned. Nulls
     link nothing. A finished step is a table that replaces the one before, and the loop ends when a step
     changes nothing.
     """
@@ -24,9 +24,9 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(shuffled(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = large.join(shuffled(low), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         e = cut(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges", instead_of=e)
         now = _mark(e)
         if now == mark:

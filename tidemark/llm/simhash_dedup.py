@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .kernels import U64, blocks, doc_shingles, mix, simhash, utf8
-from .storage import added_tables, cut, fresh, packed
+from .storage import added_tables, cut, fresh, packed, shuffled
 
 #: Members of a bucket that one task compares with each other; larger buckets are divided.
 BUCKET = 512
@@ -344,7 +344,7 @@ def hamming_links(fps: DataFrame, radius: int, parts: int | None = None) -> tupl
     while True:
         depth += 1
         sizes = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-        rows = cut(rows.join(sizes, "key"), "buckets")
+        rows = cut(rows.join(shuffled(sizes), "key"), "buckets")
         found = fp_bucket_links(rows.where(f"c <= {BUCKET}"), radius)
         links = found if links is None else links.union(found)
         rows = rows.where(f"c > {BUCKET}")
@@ -365,11 +365,11 @@ def simhash_components(docs: DataFrame, shingle: int = 3, radius: int = 2, text:
     classes = cut(fps.groupBy("fp").agg(F.min(key).alias("first")), "classes")
     links, _ = hamming_links(classes, radius)
     roots = components(links)
-    member = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    member = classes.join(shuffled(roots), classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     member = cut(member, "roots")
     least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = member.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(key, "fp", "component_id")
+    named = member.join(shuffled(least), "root").select("fp", "component_id")
+    return fps.join(shuffled(named), "fp").select(key, "fp", "component_id")
 
 
 # ------------------------------------------------------------------ near-duplicates of documents
@@ -456,7 +456,7 @@ def set_signatures(docs: DataFrame, shingle: int, words: int, similarity: float)
 def verified_links(docs: DataFrame, classes: DataFrame, links: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those links a, b of ``classes`` whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
     ids = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    first = classes.join(ids, "id", "left_semi").select(F.col("first").alias("doc_id"))
+    first = classes.join(shuffled(ids), "id", "left_semi").select(F.col("first").alias("doc_id"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -464,8 +464,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, links: DataFrame, shingl
                 yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["id", "s"])
 
     # A doc_id may stand on several texts, so a set is told by its own hash.
-    have = fresh(docs, "doc_id", "text").join(first.distinct(), "doc_id", "left_semi").select("text").mapInArrow(sets, "id long, s binary")
-    have = cut(have.join(ids, "id", "left_semi").dropDuplicates(["id"]), "sets")
+    have = fresh(docs, "doc_id", "text").join(shuffled(first.distinct()), "doc_id", "left_semi").select("text").mapInArrow(sets, "id long, s binary")
+    have = cut(have.join(shuffled(ids), "id", "left_semi").dropDuplicates(["id"]), "sets")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -476,7 +476,8 @@ def verified_links(docs: DataFrame, classes: DataFrame, links: DataFrame, shingl
                 ok.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    pairs = links.join(have.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(have.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    sets_of = lambda c: shuffled(have.select(F.col("id").alias(c), F.col("s").alias(f"s{c}")))
+    pairs = links.join(sets_of("a"), "a").join(sets_of("b"), "b")
     return pairs.select("a", "b", "sa", "sb").mapInArrow(judge, "a long, b long")
 
 
@@ -486,29 +487,29 @@ def fingerprint_links(classes: DataFrame, radius: int) -> DataFrame:
     Classes of one SimHash are tied to its least, and the least of those within the radius to each other.
     """
     least = cut(classes.groupBy("fp").agg(F.min("id").alias("least")), "fingerprints")
-    same = classes.join(least, "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
+    same = classes.join(shuffled(least), "fp").where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b"))
     near, _ = hamming_links(least, radius)
-    side = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id"))
+    side = lambda c: shuffled(least.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_id")))
     near = near.join(side("a"), "a").join(side("b"), "b").select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
     return same.union(near).distinct()
 
 
 def _blocks(member: DataFrame, classes: DataFrame, *block: str) -> DataFrame:
     """ids, ties, words of each block of a bucket that holds two members or more."""
-    member = member.join(classes.select("id", "sig"), "id")
+    member = member.join(shuffled(classes.select("id", "sig")), "id")
     lists = member.groupBy("key", *block).agg(F.collect_list("id").alias("ids"), F.collect_list("tie").alias("ties"), F.collect_list("sig").alias("words"))
     return lists.where("size(ids) > 1")
 
 
 def _tied(member: DataFrame, roots: DataFrame) -> DataFrame:
     """``member`` with tie: the component of each member by the links found so far."""
-    return member.join(roots, F.col("id") == F.col("node"), "left").withColumn("tie", F.coalesce("root", "id")).drop("node", "root")
+    return member.join(shuffled(roots), F.col("id") == F.col("node"), "left").withColumn("tie", F.coalesce("root", "id")).drop("node", "root")
 
 
 def _apart(tied: DataFrame) -> DataFrame:
     """The members of the buckets that are not yet one component."""
     keys = tied.groupBy("key").agg(F.min("tie").alias("one"), F.max("tie").alias("other")).where("one <> other").select("key")
-    return tied.join(keys, "key")
+    return tied.join(shuffled(keys), "key")
 
 
 def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
@@ -521,7 +522,7 @@ def _rest_of_large(large: DataFrame, roots: DataFrame, half: int) -> DataFrame:
     counts = tied.groupBy("key", "tie").agg(F.count("*").alias("n"))
     great = counts.groupBy("key").agg(F.max_by("tie", F.struct("n", "tie")).alias("great"), (F.sum("n") - F.max("n")).alias("others"))
     great = great.where("others > 0").withColumn("no", F.expr(f"cast(ceil(others / {half}) as bigint)"))
-    tied = tied.join(great, "key").withColumn("o", F.expr("pmod(xxhash64(id, 3), no)"))
+    tied = tied.join(shuffled(great), "key").withColumn("o", F.expr("pmod(xxhash64(id, 3), no)"))
     side = tied.where("tie <> great").select("key", "id", "tie", "o", F.explode(F.expr("sequence(0L, nb - 1)")).alias("i"))
     every = tied.select("key", "id", "tie", F.explode(F.expr("sequence(0L, no - 1)")).alias("o"), "i")
     return side.union(every).distinct()
@@ -555,7 +556,7 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     keys = real.select("id", F.explode("prefix").alias("key"))
     sizes = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     half = max(bucket // 2, 1)
-    member = keys.join(sizes, "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1L, cast(ceil(c / {half}) as bigint))"))
+    member = keys.join(shuffled(sizes), "key").withColumn("nb", F.expr(f"if(c <= {bucket}, 1L, cast(ceil(c / {half}) as bigint))"))
     member = cut(member.select("key", "c", "nb", F.expr("pmod(xxhash64(id), nb)").alias("i"), "id"), "members")
     open_ = cut(_apart(_tied(member, roots)), "open", instead_of=member)
     # About a quarter of a block's size: the leaders of a large bucket, members of its first block.
@@ -569,11 +570,11 @@ def near_duplicate_groups(docs: DataFrame, shingle: int = 5, similarity: float =
     large = open_.where("nb > 1").select("key", "nb", "i", "id")
     if not large.isEmpty():
         more = more.union(bucket_links(_blocks(_rest_of_large(large, roots, half), classes, "i", "o"), similarity, every=True))
-    more = cut(more.distinct().join(tried, ["a", "b"], "left_anti"), "links")
+    more = cut(more.distinct().join(shuffled(tried), ["a", "b"], "left_anti"), "links")
     roots = components(links.union(verify(more)))
-    member = classes.select("id", "first").join(roots, F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
-    named = member.join(member.groupBy("root").agg(F.min("first").alias("group_id")), "root").select(F.col("id").alias("whole"), "group_id")
-    return own.select("doc_id", "whole").join(named, "whole", "left").select("doc_id", "group_id")
+    member = classes.select("id", "first").join(shuffled(roots), F.col("id") == F.col("node"), "left").select("id", "first", F.coalesce("root", "id").alias("root"))
+    named = member.join(shuffled(member.groupBy("root").agg(F.min("first").alias("group_id"))), "root").select(F.col("id").alias("whole"), "group_id")
+    return own.select("doc_id", "whole").join(shuffled(named), "whole", "left").select("doc_id", "group_id")
 
 
 def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
@@ -583,4 +584,4 @@ def keep_one_of_each(docs: DataFrame, **how) -> DataFrame:
     """
     groups = near_duplicate_groups(docs, **how)
     gone = groups.where("doc_id <> group_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(shuffled(gone), "doc_id", "left_anti").select(docs.columns)

@@ -18,6 +18,15 @@ def fresh(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*[df[c] for c in keep])
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that is shuffled, never broadcast.
+
+    Spark estimates a table by its compressed files and a Python step or ``explode`` by what it reads,
+    and both may hold many times that. The driver holds all of a broadcast table, once as rows and once as blocks.
+    """
+    return side.hint("merge")
+
+
 def packed(table: np.ndarray) -> bytes:
     """A table of 64-bit integers as compressed bytes, in 32 bits where its numbers fit."""
     small = not len(table) or -(1 << 31) <= int(table.min()) <= int(table.max()) < 1 << 31
