@@ -86,6 +86,42 @@ def test_pages_are_read_in_linear_time():
         assert took[1] < 40 * took[0] + 0.3, unit
 
 
+def test_plain_pages_are_read_as_by_the_general_parser(monkeypatch):
+    import random
+    import re
+    from html.parser import HTMLParser
+
+    from tidemark.sources.histories import read
+
+    def general(html):
+        own = _Page()
+        HTMLParser.feed(own, html)
+        return own.finished(), own.titles
+
+    told = lambda html: (lambda own: (own.finished(), own.titles))(read(_Page, html))
+    tie = '<h2 class="sectionHeader">Tie break &amp; set 1</h2>' + "".join(f'<div class="matchHistoryRow"><b data-testid="wcl-pointByPointScore" data-winning="true">{k}</b><b data-testid="wcl-pointByPointScore">0</b></div>' for k in range(3))
+    whole = HEAD + "<div>" + game(1, 0, ["15:0", "30:0<b>x</b>", "40:0"]) * 3 + game(2, 0, [], False) + "<p>" + game(2, 1, ["0:15<br>"]) + "</div>" + tie + "<footer>40:0</footer>"
+    bits = ["</div>", "<div>", "<br>", "<span>", "</span>", "<sup>", "</title>", "<title>", HEAD, '<div class="matchHistoryRow">', '<div class="matchHistoryRow__fifteens">', "&lt", "<!-- x -->", "<script>", ">", "x", '<img class="matchHistoryRow">', "</p>"]
+    rng = random.Random(5)
+    for k in range(600):
+        parts = re.findall(r"<[^<>]*>|[^<>]+", whole)[rng.randrange(40) if k % 2 else 0 :]
+        for _ in range(rng.choice([0, 1, 2, 5])):
+            at = rng.randrange(len(parts) + 1)
+            parts[at : at + rng.choice([0, 0, 1, 3])] = [rng.choice(bits)]
+        html = (HEAD if k % 3 else "") + "".join(parts)
+        assert told(html) == general(html), html
+    want = general(whole)
+    assert len(want[0]) == 8 and want[1] == 2
+    monkeypatch.setattr(HTMLParser, "feed", None)  # a plain page needs no general parser
+    assert told(whole) == want
+
+
+def test_text_of_a_row_within_a_score_stops_no_page(spark):
+    odd = '<div class="matchHistoryRow"><div class="matchHistoryRow__scoreBox"><span><div class="matchHistoryRow"></div>5</span></div></div>'
+    games, found, bare = page(spark, HEAD + odd + game(1, 0, ["15:0", "30:0", "40:0"]), '<p class="sectionHeader">Set 1')
+    assert [r.a for r in games.collect()] == [1] and not bare and len(found) == 4
+
+
 def match(k, a, b, one="ann-1", two="bea-2", sets=(("6", "4"), ("6", "4")), more="", id_="?id="):
     link = lambda p: f'<td><a href="/player/{p}/">{p}</a>'
     cells = lambda i: "".join(f'<td class="score x">{s[i]}</td>' for s in sets)

@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from html import unescape
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .histories import _VOID
+from .histories import _VOID, Reader, read
 
 #: Pages whose rows are held as Python objects at a time.
 PAGES = 64
@@ -24,28 +20,13 @@ _ROW_SQL = {pa.string(): "string", pa.int32(): "int", pa.list_(pa.string()): "ar
 REJECTED = ["walkover", "w/o", "retired", "abandoned", "cancelled", "canceled"]
 TOURS = [("challenger", ["challenger"]), ("itf", ["itf", "future"]), ("wta", ["wta", "women"]), ("atp", ["atp", "men"])]
 GENDERS = [("w", ["wta", "women", "female", "itf-w"]), ("m", ["atp", "men", "challenger", "itf-m"])]
-#: What stands between < and > in a plain tag: lower case, no reference in an attribute, no element whose text is not markup but a title.
-_PLAIN = re.compile(r"""/?(?!(?:script|style|textarea|iframe|xmp|noembed|noframes|noscript|plaintext)\b)([a-z][a-z0-9]*)((?:[ \n\t]+[a-z][a-z0-9-]*(?:="[^"<>&]*"|=[A-Za-z0-9_.-]+)?)*)[ \n\t]*""")
-_ATTRIBUTE = re.compile(r"""[ \n\t]([a-z][a-z0-9-]*)(?:="([^"]*)"|=([A-Za-z0-9_.-]+))?""")
 
 
-@lru_cache(4096)
-def _plain(text: str) -> tuple[str, dict[str, str], list[str]] | None:
-    """Name, attributes and classes of a plain tag; None for any other."""
-    m = _PLAIN.fullmatch(text)
-    if not m or (text[0] == "/" and len(m[1]) + 1 != len(text)):
-        return None
-    own = {k: a or b for k, a, b in _ATTRIBUTE.findall(m[2])}
-    return m[1], own, own.get("class", "").split()
-
-
-class _Table(HTMLParser):
+class _Table(Reader):
     """The rows of all tables of class ``result``: links, cells by their class, and all text, in one pass."""
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: Counter[str] = Counter()
-        self.stack: list[tuple[str, str]] = []
+        super().__init__()
         self.tables = 0
         self.rows: list[list[dict]] = []
         self.row: dict | None = None
@@ -54,11 +35,8 @@ class _Table(HTMLParser):
         self.sup = 0
         self.title: list[str] = []
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        own = {k: v or "" for k, v in attrs}
-        self._open(tag, own, own.get("class", "").split())
-
-    def _open(self, tag: str, own: dict[str, str], classes: list[str]) -> None:
+    def _open(self, tag: str, told: tuple[dict[str, str], list[str]]) -> None:
+        own, classes = told
         part = ""
         if tag == "table" and "result" in classes:
             part, self.tables = "table", self.tables + 1
@@ -119,27 +97,6 @@ class _Table(HTMLParser):
         if row is not None and self.rows:
             self.rows[-1].append(row)
 
-    def fed_plain(self, html: str) -> bool:
-        """Read a page of plain tags and text as ``feed`` does, only faster; False where it holds anything else."""
-        before, *pieces = html.split("<")
-        if before:
-            self.handle_data(unescape(before))
-        title = False
-        for piece in pieces:
-            tag, end, text = piece.partition(">")
-            own = _plain(tag) if end else None
-            if own is None or (title and tag != "/title"):
-                return False
-            if tag[0] == "/":
-                self.handle_endtag(own[0])
-                title = False
-            else:
-                self._open(*own)
-                title = own[0] == "title"
-            if text:
-                self.handle_data(unescape(text) if "&" in text else text)
-        return not title
-
     def finished(self) -> tuple[str, list[list[dict]]]:
         self.close()
         self._close_row()
@@ -171,11 +128,7 @@ def _told(row: dict) -> dict:
 
 
 def _rows_of(html: str) -> list[list[dict]]:
-    table = _Table()
-    if not table.fed_plain(html):
-        table = _Table()
-        table.feed(html)
-    return table.finished()[1]
+    return read(_Table, html).finished()[1]
 
 
 def _pairs(tables: list[list[dict]]) -> list[dict]:
